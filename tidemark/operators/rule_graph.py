@@ -32,8 +32,10 @@ RULE_SCHEMA = T.StructType(
 CLOSURE_SCHEMA = "attribute string, src string, dst string, hops int"
 RANK_SCHEMA = "attribute string, value string, level int, rank int"
 
-# Largest edge count compiled on the driver; also bounds what is broadcast.
+# Largest edge count compiled on the driver, and largest closure listed there;
+# they also bound every broadcast of rules.
 MAX_DRIVER_EDGES = 10_000
+MAX_DRIVER_PAIRS = 200_000
 
 
 class RuleSetTooLarge(ValueError):
@@ -138,6 +140,9 @@ class RuleBook:
         """Order of an attribute; empty (nothing comparable) without state rules."""
         return self._orders.get(attribute) or _order_of(attribute, ())
 
+    def closure_pairs(self) -> int:
+        return sum(mask.bit_count() for order in self._orders.values() for mask in order.older)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(a, s, d, "state") for a, pairs in self.states.items() for s, d in pairs]
         rows += [(a, s, d, "monotone") for a, (s, d) in self.monotone.items()]
@@ -204,9 +209,12 @@ def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None)
     Columns ``attribute, src, dst, hops``. Raises ValueError on cyclic rules.
     """
     book = compile_rules(rules)
-    if book is not None:
-        return book.closure(spark or rules.sparkSession)
-    return _closure_by_joins(rule_edges(rules))
+    if book is None:
+        return _closure_by_joins(rule_edges(rules))
+    spark = spark or rules.sparkSession
+    if book.closure_pairs() > MAX_DRIVER_PAIRS:
+        return _closure_by_joins(rule_edges(book.frame(spark)))
+    return book.closure(spark)
 
 
 def _closure_by_joins(edges: DataFrame) -> DataFrame:
@@ -271,7 +279,7 @@ def relation(
     book = compile_rules(rules)
     closure = rule_closure(book or rules, df.sparkSession)
     closure = closure.filter(F.col("attribute") == attribute).select("src", "dst")
-    if book is not None:  # at most V^2/2 pairs of a driver-sized rule set
+    if book is not None and book.closure_pairs() <= MAX_DRIVER_PAIRS:
         closure = F.broadcast(closure)
     forward = closure.select(F.col("src").alias("_fs"), F.col("dst").alias("_fd"), F.lit(True).alias("_fwd"))
     backward = closure.select(F.col("src").alias("_bs"), F.col("dst").alias("_bd"), F.lit(True).alias("_bwd"))

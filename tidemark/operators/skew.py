@@ -15,6 +15,8 @@ from tidemark.session import materialize
 
 # A window partition above this many rows is cut into slices.
 MAX_GROUP_ROWS = 5_000_000
+MAX_LARGE_GROUPS = 10_000
+MAX_SLICES = 4_096
 # A run is hot when it holds more than 1/MAX_HOT_RUNS of all rows, so there are
 # fewer than MAX_HOT_RUNS hot runs whatever the data: safe to broadcast.
 MAX_HOT_RUNS = 1_000
@@ -22,20 +24,55 @@ MIN_HOT_ROWS = 1_000_000
 HOT_SALTS = 1_000
 
 
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of each key with its prefixed twin."""
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return condition
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest group. Reads only the key columns, counts map-side."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
-def slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
-    """Range-partition by (keys, order) into sorted slices of about ``rows`` rows.
+def split_groups(
+    df: DataFrame, keys: Sequence[str], limit: int
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """``df`` as (rows of ordinary groups, rows of large groups or None, large row count).
+
+    A group is large above ``limit`` rows and above 1/MAX_LARGE_GROUPS of all
+    rows. The second bound keeps the list of large groups short whatever the
+    data, so it can be broadcast.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    stats = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    bound = max(limit, (stats["total"] or 0) // MAX_LARGE_GROUPS)
+    if (stats["largest"] or 0) <= bound:
+        return df, None, 0
+    if not keys:
+        return df.limit(0), df, stats["total"]
+    large = materialize(
+        sizes.filter(F.col("_n") > bound).select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n")
+    )
+    rows = large.agg(F.sum("_n")).first()[0]
+    large = F.broadcast(large.drop("_n"))
+    same = same_keys(keys, "_g_")
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi"), rows
+
+
+def slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, rows: int
+) -> DataFrame:
+    """Range-partition ``total`` rows by (keys, order) into sorted slices of about ``rows`` rows.
 
     Adds ``_slice``, which grows along the order. The result is materialized, so
-    slice numbers stay the same when tasks are retried.
+    slice numbers stay the same when tasks are retried. Above MAX_SLICES slices
+    the slices get longer instead.
     """
-    total = df.count()
-    parts = max(2, -(-total // max(1, rows)))
+    parts = min(MAX_SLICES, max(2, -(-total // max(1, rows))))
     by = [F.col(k) for k in keys] + list(order)
     cut = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     return materialize(cut.withColumn("_slice", F.spark_partition_id()))
@@ -48,13 +85,25 @@ def row_numbers(
     name: str,
     max_group_rows: int | None = None,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` for groups of any size."""
+    """``row_number() over (partition by keys order by order)`` for groups of any size.
+
+    The order must be total within a group.
+    """
     limit = max_group_rows or MAX_GROUP_ROWS
-    if largest_group(df, keys) <= limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window))
-    sliced = slices(df, keys, order, limit)
-    # one row per (group, slice): at most groups + slices rows
+    ordinary, large, total = split_groups(df, keys, limit)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    numbered = ordinary.withColumn(name, F.row_number().over(window))
+    if large is None:
+        return numbered
+    return numbered.unionByName(
+        _number_slices(slices(large, keys, order, total, limit), keys, order, df.columns, name)
+    )
+
+
+def _number_slices(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], name: str
+) -> DataFrame:
+    # At most one row per slice and per large group: a short table.
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
@@ -66,13 +115,12 @@ def row_numbers(
         )
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    same = F.col("_slice") == F.col("_o_slice")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
     return (
         sliced.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, same)
-        .select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+        .join(
+            F.broadcast(offsets), (F.col("_slice") == F.col("_o_slice")) & same_keys(keys, "_o_")
+        )
+        .select(*columns, (F.col("_inside") + F.col("_offset")).alias(name))
     )
 
 
@@ -85,21 +133,22 @@ def with_next(
 ) -> DataFrame:
     """Add the next row's value of each column (``{source: new name}``) in group order."""
     limit = max_group_rows or MAX_GROUP_ROWS
-    if largest_group(df, keys) <= limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        leads = [F.lead(c, 1).over(window).alias(n) for c, n in columns.items()]
-        return df.select("*", *leads)
+    ordinary, large, total = split_groups(df, keys, limit)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    out = ordinary.select("*", *[F.lead(c, 1).over(window).alias(n) for c, n in columns.items()])
+    if large is None:
+        return out
     # (group, row number) is unique, so this self-join cannot be skewed
-    numbered = materialize(row_numbers(df, keys, order, "_rn", limit))
+    sliced = slices(large, keys, order, total, limit)
+    numbered = materialize(_number_slices(sliced, keys, order, df.columns, "_rn"))
     following = numbered.select(
         *[F.col(k).alias(f"_f_{k}") for k in keys],
         (F.col("_rn") - 1).alias("_f_rn"),
         *[F.col(c).alias(n) for c, n in columns.items()],
     )
-    same = F.col("_rn") == F.col("_f_rn")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
-    return numbered.join(following, same, "left").select(*df.columns, *columns.values())
+    same = (F.col("_rn") == F.col("_f_rn")) & same_keys(keys, "_f_")
+    joined = numbered.join(following, same, "left").select(*df.columns, *columns.values())
+    return out.unionByName(joined)
 
 
 def join_runs(
@@ -118,50 +167,35 @@ def join_runs(
     """
     payload = [c for c in runs.columns if c not in on]
 
-    def attach(left: DataFrame, right: DataFrame, prefix: str, extra: Column | None = None) -> DataFrame:
-        right = right.select(
-            *[F.col(c).alias(f"{prefix}{c}") for c in on],
-            *[F.col(c).alias(f"{prefix}{c}") for c in payload],
-            F.lit(0).alias(f"{prefix}salt"),
-        )
-        if extra is None:
-            right = F.broadcast(right)
-        same = F.lit(True) if extra is None else extra == F.col(f"{prefix}salt")
-        for c in on:
-            same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
-        return left.join(right, same, "left")
+    def twin(right: DataFrame, prefix: str) -> DataFrame:
+        return right.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*on, *payload]])
 
     if hot is None:
-        right = runs.select(
-            *[F.col(c).alias(f"_c_{c}") for c in on], *[F.col(c).alias(f"_c_{c}") for c in payload]
-        )
-        same = F.lit(True)
-        for c in on:
-            same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-        joined = rows.join(right, same, "left")
+        joined = rows.join(twin(runs, "_c_"), same_keys(on, "_c_"), "left")
         return joined.select(*rows.columns, *[F.col(f"_c_{c}").alias(c) for c in payload])
 
-    answered = attach(rows, hot, "_h_").withColumn(
-        "_salt",
-        F.when(F.col("_h_salt").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS)) + 1)
-        .otherwise(0)
-        .cast("int"),
+    is_hot = F.coalesce(F.col("_h_found"), F.lit(False))
+    found = twin(hot, "_h_").withColumn("_h_found", F.lit(True))
+    answered = rows.join(F.broadcast(found), same_keys(on, "_h_"), "left").withColumn(
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS)) + 1).otherwise(0)
+    )
+    others = twin(runs, "_c_").withColumn("_c_salt", F.lit(0).cast("long"))
+    joined = answered.join(
+        others, (F.col("_salt") == F.col("_c_salt")) & same_keys(on, "_c_"), "left"
     )
-    joined = attach(answered, runs, "_c_", F.col("_salt"))
     return joined.select(
         *rows.columns,
-        *[
-            F.when(F.col("_h_salt").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c)
-            for c in payload
-        ],
+        *[F.when(is_hot, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in payload],
     )
 
 
-def hot_runs(runs: DataFrame, count: str, min_rows: int | None = None) -> DataFrame | None:
-    """Runs that hold more than 1/MAX_HOT_RUNS of all rows, or None if there are none."""
+def hot_runs(
+    runs: DataFrame, count: str, total: int, largest: int, min_rows: int | None = None
+) -> DataFrame | None:
+    """Runs that hold more than 1/MAX_HOT_RUNS of all rows, or None if there are none.
+
+    ``total`` and ``largest`` are the sum and maximum of ``count`` over all runs.
+    """
     floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    size = runs.agg(F.sum(count).alias("total"), F.max(count).alias("largest")).first()
-    bound = max(floor, (size["total"] or 0) // MAX_HOT_RUNS)
-    if (size["largest"] or 0) <= bound:
-        return None
-    return runs.filter(F.col(count) > bound)
+    bound = max(floor, total // MAX_HOT_RUNS)
+    return runs.filter(F.col(count) > bound) if largest > bound else None
