@@ -1,0 +1,60 @@
+"""Data currency of versioned tables on Spark: scores, error detection, repair."""
+
+from tidemark.functions import average_score, combine_scores, entity_filter
+from tidemark.operators.determine import cvq, hsq
+from tidemark.operators.histogram import (
+    latest_values,
+    present_edges,
+    value_counts,
+    value_versions,
+)
+from tidemark.operators.ordering import (
+    dense_topo_rank,
+    run_compress,
+    static_rank,
+    topo_row_number,
+)
+from tidemark.operators.repair import (
+    detect_errors,
+    join_back,
+    repair,
+    repaired_cells,
+)
+from tidemark.operators.rule_graph import (
+    RuleBook,
+    relation,
+    rule_closure,
+    rule_edges,
+    rule_rank,
+)
+from tidemark.sources import load_rules, load_table, preview, register, save_table
+
+__all__ = [
+    "RuleBook",
+    "average_score",
+    "combine_scores",
+    "cvq",
+    "dense_topo_rank",
+    "detect_errors",
+    "entity_filter",
+    "hsq",
+    "join_back",
+    "latest_values",
+    "load_rules",
+    "load_table",
+    "present_edges",
+    "preview",
+    "register",
+    "relation",
+    "repair",
+    "repaired_cells",
+    "rule_closure",
+    "rule_edges",
+    "rule_rank",
+    "run_compress",
+    "save_table",
+    "static_rank",
+    "topo_row_number",
+    "value_counts",
+    "value_versions",
+]

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.histogram import (
     _width,
-    any_common,
     code_bit,
     coded,
     latest_values,
     long_array,
+    long_text,
     maskable,
     presence,
+    shares,
     value_counts,
     word,
     words_of,
@@ -54,35 +55,31 @@ def _cvq_counted(df: DataFrame, keys: Sequence[str], attributes: Sequence[str],
     most = max(len(book.order(a)) for a in attributes)
     rows = coded(df, keys, attributes, book)
     first = rows.groupBy(*keys, "slot", "odd").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col("code") == v).alias(f"c{v}") for v in range(1, most + 1)],
+        F.count("*").alias("n"), *[F.expr(f"count_if(code = {v}) as c{v}") for v in range(1, most + 1)]
     )
     aggs: list[Column] = []
     for i, a in enumerate(attributes):
-        mine = F.col("slot") == i
         aggs += [
-            F.coalesce(F.sum(F.when(mine, F.col(f"c{v}"))), F.lit(0)).alias(f"c{i}_{v}")
+            F.expr(f"coalesce(sum(if(slot = {i}, c{v}, null)), 0) as c{i}_{v}")
             for v in range(1, len(book.order(a)) + 1)
         ]
-        aggs += _odd_aggs(i, mine & F.col("odd").isNotNull())
+        aggs += _odd_aggs(i, f"slot = {i} and odd is not null")
     counted = first.groupBy(*keys).agg(*aggs)
 
+    latest = []
     scores = []
     for i, a in enumerate(attributes):
         order = book.order(a)
-        latest = []
+        candidates = []
         for v in range(len(order)):
-            newer = [F.col(f"c{i}_{u + 1}") for u in range(len(order)) if order.newer[v] >> u & 1]
-            is_latest = F.col(f"c{i}_{v + 1}") > 0
-            for other in newer:
-                is_latest = is_latest & (other == 0)
-            latest.append(F.when(is_latest, F.col(f"c{i}_{v + 1}")))
-        rarest = F.least(*latest, F.col(f"odd_min{i}")) if latest else F.col(f"odd_min{i}")
-        total = F.col(f"odd_sum{i}")
-        for x in latest:
-            total = total + F.coalesce(x, F.lit(0))
-        scores.append(_ratio(rarest, total).alias(f"{a}_cvq"))
-    return counted.select(*keys, *scores)
+            newer = [f"c{i}_{u + 1} = 0" for u in range(len(order)) if order.newer[v] >> u & 1]
+            test = " and ".join([f"c{i}_{v + 1} > 0", *newer])
+            latest.append(f"if({test}, c{i}_{v + 1}, null) as l{i}_{v}")
+            candidates.append(f"l{i}_{v}")
+        rarest = f"least({', '.join([*candidates, f'odd_min{i}'])})" if candidates else f"odd_min{i}"
+        total = " + ".join([f"odd_sum{i}", *[f"coalesce({c}, 0)" for c in candidates]])
+        scores.append(_ratio(F.expr(rarest), F.expr(total)).alias(f"{a}_cvq"))
+    return counted.select("*", *[F.expr(x) for x in latest]).select(*keys, *scores)
 
 
 def _cvq_collected(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
@@ -91,41 +88,38 @@ def _cvq_collected(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]
     cells = (
         coded(df, keys, attributes, book).groupBy(*keys, "slot", "code", "odd").agg(F.count("*").alias("n"))
     )
-    code = F.col("code")
     aggs: list[Column] = []
     for i, a in enumerate(attributes):
-        mine = F.col("slot") == i
-        aggs.append(F.collect_list(F.when(mine & (code > 0), F.struct("code", "n"))).alias(f"known{i}"))
+        item = f"if(slot = {i} and code > 0, named_struct('code', code, 'n', n), null)"
+        aggs.append(F.expr(f"collect_list({item}) as known{i}"))
         aggs += [
-            F.bit_or(F.when(mine, code_bit(code, w)).otherwise(F.lit(0).cast("long"))).alias(f"p{i}_{w}")
+            F.expr(f"bit_or(if(slot = {i}, {code_bit(w)}, 0L)) as p{i}_{w}")
             for w in range(words_of(book.order(a)))
         ]
-        aggs += _odd_aggs(i, mine & (code == 0))
+        aggs += _odd_aggs(i, f"slot = {i} and code = 0")
     gathered = cells.groupBy(*keys).agg(*aggs)
 
     scores = []
     for i, a in enumerate(attributes):
         order = book.order(a)
         words = range(words_of(order))
-        newer = [long_array([word(m, w) for m in order.newer]) for w in words]
-        present = [F.col(f"p{i}_{w}") for w in words]
-        counts = F.transform(
-            F.filter(
-                F.col(f"known{i}"),
-                lambda x: ~any_common([F.get(newer[w], x["code"] - 1) for w in words], present),
-            ),
-            lambda x: x["n"],
+        newer = [f"get({long_array([word(m, w) for m in order.newer])}, x.code - 1)" for w in words]
+        scores.append(
+            F.expr(
+                f"""aggregate(
+                  filter(known{i}, x -> not {shares(newer, [f"p{i}_{w}" for w in words])}),
+                  named_struct('rarest', odd_min{i}, 'total', odd_sum{i}),
+                  (s, x) -> named_struct('rarest', least(s.rarest, x.n), 'total', s.total + x.n),
+                  s -> try_divide(cast(s.rarest as double), cast(s.total as double)))"""
+            ).alias(f"{a}_cvq")
         )
-        rarest = F.least(F.array_min(counts), F.col(f"odd_min{i}"))
-        total = F.aggregate(counts, F.col(f"odd_sum{i}"), lambda s, n: s + n)
-        scores.append(_ratio(rarest, total).alias(f"{a}_cvq"))
     return gathered.select(*keys, *scores)
 
 
-def _odd_aggs(i: int, odd: Column) -> list[Column]:
+def _odd_aggs(i: int, odd: str) -> list[Column]:
     return [
-        F.min(F.when(odd, F.col("n"))).alias(f"odd_min{i}"),
-        F.coalesce(F.sum(F.when(odd, F.col("n"))), F.lit(0)).alias(f"odd_sum{i}"),
+        F.expr(f"min(if({odd}, n, null)) as odd_min{i}"),
+        F.expr(f"coalesce(sum(if({odd}, n, null)), 0) as odd_sum{i}"),
     ]
 
 
@@ -164,55 +158,41 @@ def hsq(
     scores = []
     for i, a in enumerate(attributes):
         order = book.order(a)
-        present = [F.col(f"p{i}_{w}") for w in range(words_of(order))]
-        known = F.bit_count(present[0])
-        for p in present[1:]:
-            known = known + F.bit_count(p)
-        odd = F.col(f"odd{i}")
-        chain = F.greatest(_chain_length(order, present), F.when(odd > 0, 1).otherwise(0))
-        scores.append(_ratio(chain, known + odd).alias(f"{a}_hsq"))
+        present = [f"p{i}_{w}" for w in range(words_of(order))]
+        known = " + ".join(f"bit_count({p})" for p in present)
+        chain = f"greatest({_chain_length(order, present)}, if(odd{i} > 0, 1, 0))"
+        scores.append(_ratio(F.expr(chain), F.expr(f"{known} + odd{i}")).alias(f"{a}_hsq"))
     return masks.select(*keys, *scores)
 
 
-def _chain_length(order: AttributeOrder, present: Sequence[Column]) -> Column:
-    """Longest chain among the present values.
+def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
+    """SQL for the longest chain among the present values.
 
     Folds the values in rank order into one mask per chain length. If some older
     value ends a chain of length d, then by transitivity another one ends a chain
     of every shorter length, so the longest is the number of masks hit.
     """
     if not len(order):
-        return F.lit(0)
+        return "0"
     words = range(len(present))
-    fields = []
-    for i in range(len(order)):
-        parts = []
-        for w in words:
-            parts.append(f"'b{w}', cast('{word(1 << i, w)}' as bigint)")
-            parts.append(f"'o{w}', cast('{word(order.older[i], w)}' as bigint)")
-        fields.append(f"named_struct({', '.join(parts)})")
-    values = F.expr("array(" + ", ".join(fields) + ")")
-    level_type = "array<struct<" + ",".join(f"l{w}:bigint" for w in words) + ">>"
-    none = F.expr(f"cast(array() as {level_type})")
-
-    def step(levels: Column, x: Column) -> Column:
-        below = F.size(
-            F.filter(levels, lambda l: any_common([l[f"l{w}"] for w in words], [x[f"o{w}"] for w in words]))
-        )
-        bit = F.struct(*[x[f"b{w}"].alias(f"l{w}") for w in words])
-        grown = F.when(below == F.size(levels), F.concat(levels, F.array(bit))).otherwise(
-            F.transform(
-                levels,
-                lambda l, d: F.when(
-                    d == below,
-                    F.struct(*[l[f"l{w}"].bitwiseOR(x[f"b{w}"]).alias(f"l{w}") for w in words]),
-                ).otherwise(l),
-            )
-        )
-        here = any_common([x[f"b{w}"] for w in words], present)
-        return F.when(here, grown).otherwise(levels)
 
-    return F.size(F.aggregate(values, none, step))
+    def mask(name: str, bits: int) -> str:
+        return ", ".join(f"'{name}{w}', {long_text(word(bits, w))}" for w in words)
+
+    values = ", ".join(
+        f"named_struct({mask('b', 1 << i)}, {mask('o', order.older[i])})" for i in range(len(order))
+    )
+    level = ", ".join(f"l{w}: bigint" for w in words)
+    here = shares([f"x.b{w}" for w in words], present)
+    below = shares([f"l.l{w}" for w in words], [f"x.o{w}" for w in words])
+    alone = "named_struct(" + ", ".join(f"'l{w}', x.b{w}" for w in words) + ")"
+    joined = "named_struct(" + ", ".join(f"'l{w}', l.l{w} | x.b{w}" for w in words) + ")"
+    return f"""size(aggregate(array({values}), cast(array() as array<struct<{level}>>), (levels, x) ->
+      if({here},
+        get(transform(array(size(filter(levels, l -> {below}))), d ->
+          if(d = size(levels), concat(levels, array({alone})),
+            transform(levels, (l, i) -> if(i = d, {joined}, l)))), 0),
+        levels)))"""
 
 
 def _hsq_by_joins(

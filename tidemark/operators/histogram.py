@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.rule_graph import (
@@ -67,6 +67,9 @@ def value_versions(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]
 
 
 # --- bit masks over the values of one attribute ------------------------------
+#
+# Mask expressions are SQL text: a wide rule set needs hundreds of terms, and one
+# parsed text builds much faster than as many Column objects.
 
 
 def words_of(order: AttributeOrder) -> int:
@@ -79,26 +82,26 @@ def word(mask: int, w: int) -> int:
     return bits - 2**WORD if bits >= 2 ** (WORD - 1) else bits
 
 
-def long_array(values: Sequence[int]) -> Column:
-    """A literal array of longs, indexed by value; parsed as one expression."""
+def long_text(value: int) -> str:
+    return f"{value}L" if value > -(2**63) else "(-9223372036854775807L - 1L)"
+
+
+def long_array(values: Sequence[int]) -> str:
+    """A literal array of longs."""
     if not values:
-        return F.expr("cast(array() as array<bigint>)")
-    return F.expr("array(" + ",".join(f"cast('{v}' as bigint)" for v in values) + ")")
+        return "cast(array() as array<bigint>)"
+    return "array(" + ", ".join(map(long_text, values)) + ")"
 
 
-def code_bit(code: Column, w: int) -> Column:
+def code_bit(w: int, code: str = "code") -> str:
     """The bit of a 1-based code in word ``w``, else 0."""
-    inside = (code > WORD * w) & (code <= WORD * (w + 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (code - 1 - WORD * w).cast("int"))
-    return F.when(inside, bit).otherwise(F.lit(0).cast("long"))
+    low = WORD * w
+    return f"if({code} > {low} and {code} <= {low + WORD}, shiftleft(1L, {code} - {low + 1}), 0L)"
 
 
-def any_common(left: Sequence[Column], right: Sequence[Column]) -> Column:
+def shares(left: Sequence[str], right: Sequence[str]) -> str:
     """True if two masks, given as words, share a bit."""
-    hit = left[0].bitwiseAND(right[0])
-    for a, b in zip(left[1:], right[1:]):
-        hit = hit.bitwiseOR(a.bitwiseAND(b))
-    return hit != 0
+    return "((" + " | ".join(f"({a} & {b})" for a, b in zip(left, right)) + ") <> 0)"
 
 
 def maskable(book: RuleBook | None, attributes: Sequence[str]) -> bool:
@@ -180,9 +183,7 @@ def latest_values(
     same = (F.col("attribute") == F.col("_m_attribute")) & F.col("odd").eqNullSafe(F.col("_m_odd"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    is_old = any_common(
-        [code_bit(F.col("code"), w) for w in range(width)], [F.col(f"_m_{o}") for o in older]
-    )
+    is_old = F.expr(shares([code_bit(w) for w in range(width)], [f"_m_{o}" for o in older]))
     return (
         ranked.join(dominated, same, "left")
         .filter(F.col("code").isNull() | ~is_old)
@@ -220,21 +221,12 @@ def present_edges(
         edges = rule_edges(rules if isinstance(rules, DataFrame) else book.frame(df.sparkSession))
         return _edges_by_joins(value_counts(df, keys, attributes), keys, edges)
     masks = presence(df, keys, attributes, book)
-    parts = []
-    for i, a in enumerate(attributes):
-        order = book.order(a)
-        if not len(order):
-            continue
-        width = words_of(order)
-        present = [F.col(f"p{i}_{w}") for w in range(width)]
-        parts.append(
-            F.transform(_bridge(order, present), lambda e, a=a: F.struct(F.lit(a).alias("attribute"), e["src"], e["dst"]))
-        )
+    parts = [_bridged(i, a, book.order(a)) for i, a in enumerate(attributes) if len(book.order(a))]
     if not parts:
         return masks.select(
             *keys, *[F.lit(None).cast("string").alias(c) for c in ("attribute", "src", "dst")]
         ).filter(F.lit(False))
-    return masks.select(*keys, F.inline(F.concat(*parts)))
+    return masks.select(*keys, F.expr(f"inline(concat({', '.join(parts)}))"))
 
 
 def presence(
@@ -250,59 +242,46 @@ def presence(
     rows = coded(df, keys, attributes, book)
     width = _width(book, attributes)
     first = rows.groupBy(*keys, "slot", "odd").agg(
-        *[F.bit_or(code_bit(F.col("code"), w)).alias(f"m{w}") for w in range(width)]
+        *[F.expr(f"bit_or({code_bit(w)}) as m{w}") for w in range(width)]
     )
     aggs = []
     for i, a in enumerate(attributes):
-        mine = F.col("slot") == i
         for w in range(words_of(book.order(a))):
-            aggs.append(F.coalesce(F.bit_or(F.when(mine, F.col(f"m{w}"))), F.lit(0).cast("long")).alias(f"p{i}_{w}"))
-        aggs.append(F.count(F.when(mine & F.col("odd").isNotNull(), 1)).alias(f"odd{i}"))
+            aggs.append(F.expr(f"coalesce(bit_or(if(slot = {i}, m{w}, null)), 0L) as p{i}_{w}"))
+        aggs.append(F.expr(f"count_if(slot = {i} and odd is not null) as odd{i}"))
     return first.groupBy(*keys).agg(*aggs)
 
 
-def _bridge(order: AttributeOrder, present: Sequence[Column]) -> Column:
-    """Array of {src, dst}: bridged edges among the present values."""
-    width = len(present)
-    fields = []
-    for i, v in enumerate(order.values):
-        parts = [f"'v', '{_sql_text(v)}'"]
-        for w in range(width):
-            parts.append(f"'b{w}', cast('{word(1 << i, w)}' as bigint)")
-            parts.append(f"'q{w}', cast('{word(order.parents[i], w)}' as bigint)")
-        fields.append(f"named_struct({', '.join(parts)})")
-    values = F.expr("array(" + ", ".join(fields) + ")")
-    words = range(width)
-    zeros = F.struct(*[F.lit(0).cast("long").alias(f"r{w}") for w in words])
-
-    def targets(u: Column) -> Column:
-        # Values reached from u along absent values only, in rank order.
-        def step(reach: Column, x: Column) -> Column:
-            open_ = [
-                u[f"b{w}"].bitwiseOR(reach[f"r{w}"].bitwiseAND(F.bitwise_not(present[w]))) for w in words
-            ]
-            hit = any_common([x[f"q{w}"] for w in words], open_)
-            grown = F.struct(*[reach[f"r{w}"].bitwiseOR(x[f"b{w}"]).alias(f"r{w}") for w in words])
-            return F.when(hit, grown).otherwise(reach)
-
-        reach = F.array(F.aggregate(values, zeros, step))
-        return F.flatten(
-            F.transform(
-                reach,
-                lambda r: F.transform(
-                    F.filter(
-                        values,
-                        lambda x: any_common(
-                            [x[f"b{w}"] for w in words], [r[f"r{w}"].bitwiseAND(present[w]) for w in words]
-                        ),
-                    ),
-                    lambda x: F.struct(u["v"].alias("src"), x["v"].alias("dst")),
-                ),
-            )
-        )
+def _bridged(slot: int, attribute: str, order: AttributeOrder) -> str:
+    """SQL array of {attribute, src, dst}: bridged edges among the present values.
 
-    here = F.filter(values, lambda x: any_common([x[f"b{w}"] for w in words], present))
-    return F.flatten(F.transform(here, targets))
+    Values are visited in rank order. The sources of a value are its present
+    parents, and the sources of its absent parents.
+    """
+    words = range(words_of(order))
+
+    def fields(i: int) -> str:
+        bits = ", ".join(f"'b{w}', {long_text(word(1 << i, w))}" for w in words)
+        return f"'c', {i}, {bits}"
+
+    blank = ", ".join(f"b{w}: bigint" for w in words)
+    values = []
+    for i, mask in enumerate(order.parents):
+        parents = ", ".join(f"named_struct({fields(p)})" for p in range(len(order)) if mask >> p & 1)
+        typed = f"array({parents})" if parents else f"cast(array() as array<struct<c: int, {blank}>>)"
+        values.append(f"named_struct({fields(i)}, 'parents', {typed})")
+    table = f"array({', '.join(values)})"
+    names = "array(" + ", ".join(f"'{_sql_text(v)}'" for v in order.values) + ")"
+    present = [f"p{slot}_{w}" for w in words]
+    x_here = shares([f"x.b{w}" for w in words], present)
+    p_here = shares([f"q.b{w}" for w in words], present)
+    return f"""flatten(transform(
+      array(aggregate({table}, cast(array() as array<array<int>>), (found, x) ->
+        concat(found, array(array_distinct(flatten(transform(x.parents, q ->
+          if({p_here}, array(q.c), get(found, q.c))))))))),
+      sources -> flatten(transform(filter({table}, x -> {x_here}), x ->
+        transform(get(sources, x.c), u -> named_struct(
+          'attribute', '{_sql_text(attribute)}', 'src', get({names}, u), 'dst', get({names}, x.c)))))))"""
 
 
 def _edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def dense_topo_rank(
     limit = max_group_rows or MAX_GROUP_ROWS
     if largest_group(df, keys) <= limit:
         window = Window.partitionBy(*keys).orderBy("_rank", attribute)
-        return ranked.withColumn(name, F.dense_rank().over(window)).drop("_rank")
+        return ranked.withColumn(name, F.dense_rank().over(window).cast("long")).drop("_rank")
     # Some entity is too large for one window: number its distinct values and
     # send the numbers back to the rows.
     values = ranked.groupBy(*keys, "_rank", attribute).agg(F.count("*").alias("_rows"))

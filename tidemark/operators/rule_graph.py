@@ -219,29 +219,37 @@ def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None)
 
 def _closure_by_joins(edges: DataFrame) -> DataFrame:
     # Path doubling: round k knows every path of up to 2^k edges, so the number
-    # of rounds is the logarithm of the longest path.
-    paths = materialize(edges.withColumn("hops", F.lit(1)))
-    known = None
+    # of rounds is the logarithm of the longest path. Only pairs of which one half
+    # was found or lengthened in the last round can give something new.
+    paths = materialize(edges.withColumns({"hops": F.lit(1), "round": F.lit(0)}))
+    current = 0
     while True:
-        size = paths.agg(
-            F.count("*").alias("pairs"),
-            F.sum("hops").alias("hops"),
+        news = paths.agg(
+            F.count_if(F.col("round") == current).alias("pairs"),
             F.count_if(F.col("src") == F.col("dst")).alias("loops"),
         ).first()
-        if size["loops"]:
+        if news["loops"]:
             raise ValueError("rules form a cycle")
-        if size == known or not size["pairs"]:
-            return paths
-        known = size
-        left = paths.select("attribute", "src", F.col("dst").alias("mid"), "hops")
+        if not news["pairs"]:
+            return paths.drop("round")
+        left = paths.select(
+            "attribute", "src", F.col("dst").alias("mid"), "hops", F.col("round").alias("left_round")
+        )
         right = paths.select(
-            "attribute", F.col("src").alias("mid"), "dst", F.col("hops").alias("more")
+            "attribute", F.col("src").alias("mid"), "dst", F.col("hops").alias("more"), "round"
         )
-        longer = left.join(right, ["attribute", "mid"]).select(
-            "attribute", "src", "dst", (F.col("hops") + F.col("more")).alias("hops")
+        longer = (
+            left.join(right, ["attribute", "mid"])
+            .filter((F.col("left_round") == current) | (F.col("round") == current))
+            .select("attribute", "src", "dst", (F.col("hops") + F.col("more")).alias("hops"))
         )
+        current += 1
+        best = F.max(F.struct("hops", (-F.col("round")).alias("age")))  # on a tie the older round stays
         paths = materialize(
-            paths.unionByName(longer).groupBy("attribute", "src", "dst").agg(F.max("hops").alias("hops"))
+            paths.unionByName(longer.withColumn("round", F.lit(current)))
+            .groupBy("attribute", "src", "dst")
+            .agg(best.alias("best"))
+            .select("attribute", "src", "dst", F.col("best.hops").alias("hops"), (-F.col("best.age")).alias("round"))
         )
 
 

@@ -92,7 +92,7 @@ def row_numbers(
     limit = max_group_rows or MAX_GROUP_ROWS
     ordinary, large, total = split_groups(df, keys, limit)
     window = Window.partitionBy(*keys).orderBy(*order)
-    numbered = ordinary.withColumn(name, F.row_number().over(window))
+    numbered = ordinary.withColumn(name, F.row_number().over(window).cast("long"))
     if large is None:
         return numbered
     return numbered.unionByName(

@@ -1,0 +1,11 @@
+"""Reading and writing version tables and rule tables."""
+
+from tidemark.sources.tables import (
+    load_rules,
+    load_table,
+    preview,
+    register,
+    save_table,
+)
+
+__all__ = ["load_rules", "load_table", "preview", "register", "save_table"]
