@@ -78,7 +78,12 @@ def topo_row_number(
     name: str = "sort_id",
     max_group_rows: int | None = None,
 ) -> DataFrame:
-    """Consecutive numbers within ``keys`` by (rank, value, version)."""
+    """Consecutive numbers within ``keys`` by (rank, value, version).
+
+    To number within reference groups, name the reference attribute itself among
+    the keys rather than its ``group_id``: the groups are the same, and their sizes
+    can then be checked on the stored columns alone.
+    """
     ranked = static_rank(df, attribute, rules, "_rank")
     order = [F.col("_rank"), F.col(attribute), F.col(vid)]
     return row_numbers(ranked, keys, order, name, max_group_rows).drop("_rank")
@@ -123,7 +128,7 @@ def run_compress(
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """First row of every run, with its ``run_id`` in the entity and ``run_rows``."""
-    runs = (
+    runs = materialize(
         repair_keys(df, reference, repair, rules)
         .groupBy(*keys, reference, repair, "_ref", "_ref_odd", "_rep", "_rep_odd")
         .agg(F.min(vid).alias(vid), F.count("*").alias("run_rows"))

@@ -51,7 +51,7 @@ def detect_errors(
     Columns ``keys, vid, next_vid, value, next_value``. Neighbours inside a run
     are equal, so only the ends of runs are compared.
     """
-    runs = (
+    runs = materialize(
         repair_keys(df, reference, repair, rules)
         .withColumn("value", F.col(repair).cast("string"))
         .groupBy(*keys, "_ref", "_ref_odd", "_rep", "_rep_odd", "value")
@@ -309,12 +309,13 @@ def join_back(
 ) -> DataFrame:
     """Replace ``column`` of ``base`` by the repaired cells; inner join on (keys, vid).
 
-    ``check`` first makes sure that (keys, vid) is unique, as repeated keys would
-    multiply rows.
+    With ``check`` a repeated (keys, vid) among the cells, which would multiply
+    rows, makes the query fail. The check rides on the exchange of the join.
     """
+    on = [*keys, vid]
+    cells = cells.select(*on, column)
     if check:
-        repeated = cells.groupBy(*keys, vid).count().filter("count > 1")
-        if not repeated.isEmpty():
-            raise ValueError(f"({', '.join(keys)}, {vid}) is not unique")
-    joined = base.drop(column).join(cells.select(*keys, vid, column), [*keys, vid], "inner")
-    return joined.select(*base.columns)
+        message = f"({', '.join(on)}) is not unique"
+        once = F.when(F.count("*") > 1, F.raise_error(F.lit(message))).otherwise(F.first(column))
+        cells = cells.groupBy(*on).agg(once.cast(cells.schema[column].dataType).alias(column))
+    return base.drop(column).join(cells, on, "inner").select(*base.columns)

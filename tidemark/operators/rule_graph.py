@@ -244,12 +244,15 @@ def _closure_by_joins(edges: DataFrame) -> DataFrame:
             .select("attribute", "src", "dst", (F.col("hops") + F.col("more")).alias("hops"))
         )
         current += 1
-        best = F.max(F.struct("hops", (-F.col("round")).alias("age")))  # on a tie the older round stays
+        # Longest first; on a tie the older round stays. Packed into one number
+        # so that the maximum is a hash aggregate; 64 rounds cover 2^64 edges.
+        best = F.max(F.col("hops").cast("long") * 64 - F.col("round"))
         paths = materialize(
             paths.unionByName(longer.withColumn("round", F.lit(current)))
             .groupBy("attribute", "src", "dst")
             .agg(best.alias("best"))
-            .select("attribute", "src", "dst", F.col("best.hops").alias("hops"), (-F.col("best.age")).alias("round"))
+            .withColumn("hops", F.ceil(F.col("best") / 64).cast("int"))
+            .select("attribute", "src", "dst", "hops", (F.col("hops") * 64 - F.col("best")).cast("int").alias("round"))
         )
 
 

@@ -171,9 +171,10 @@ def topo_dense_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topo_row_number(spark: SparkSession, d: str) -> DataFrame:
-    return tm.topo_row_number(
-        topo_dense_rank(spark, d), [*ORDER_KEYS, "group_id"], "o_orderstatus", RULES, "o_orderkey"
+    numbered = tm.topo_row_number(
+        _slim_orders(spark, d), [*ORDER_KEYS, "o_orderpriority"], "o_orderstatus", RULES, "o_orderkey"
     )
+    return tm.dense_topo_rank(numbered, ORDER_KEYS, "o_orderpriority", RULES, "o_orderkey")
 
 
 def run_compress(spark: SparkSession, d: str) -> DataFrame:
