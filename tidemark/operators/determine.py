@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.histogram import (
-    _width,
     code_bit,
     coded,
+    coded_wide,
     latest_values,
     long_array,
     long_text,
@@ -52,17 +52,13 @@ def cvq(
 def _cvq_counted(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
     # One counter column per ruled value: every exchange carries one fixed-width
     # row per entity (plus the odd values), and no arrays are built.
-    most = max(len(book.order(a)) for a in attributes)
-    rows = coded(df, keys, attributes, book)
+    rows = coded_wide(df, keys, attributes, book)
+    counters = [(i, v) for i, a in enumerate(attributes) for v in range(1, len(book.order(a)) + 1)]
     first = rows.groupBy(*keys, "slot", "odd").agg(
-        F.count("*").alias("n"), *[F.expr(f"count_if(code = {v}) as c{v}") for v in range(1, most + 1)]
+        F.count("*").alias("n"), *[F.expr(f"count_if(code{i} = {v}) as c{i}_{v}") for i, v in counters]
     )
-    aggs: list[Column] = []
-    for i, a in enumerate(attributes):
-        aggs += [
-            F.expr(f"coalesce(sum(if(slot = {i}, c{v}, null)), 0) as c{i}_{v}")
-            for v in range(1, len(book.order(a)) + 1)
-        ]
+    aggs = [F.expr(f"sum(c{i}_{v}) as c{i}_{v}") for i, v in counters]
+    for i in range(len(attributes)):
         aggs += _odd_aggs(i, f"slot = {i} and odd is not null")
     counted = first.groupBy(*keys).agg(*aggs)
 
@@ -160,11 +156,32 @@ def hsq(
         order = book.order(a)
         present = [f"p{i}_{w}" for w in range(words_of(order))]
         known = " + ".join(f"bit_count({p})" for p in present)
-        chain = f"greatest({_chain_length(order, present)}, if(odd{i} > 0, 1, 0))"
+        if 0 < len(order) <= MAX_COUNTED_VALUES:
+            masks, longest = _with_depths(masks, i, order)
+        else:
+            longest = _chain_length(order, present)
+        chain = f"greatest({longest}, if(odd{i} > 0, 1, 0))"
         scores.append(_ratio(F.expr(chain), F.expr(f"{known} + odd{i}")).alias(f"{a}_hsq"))
     return masks.select(*keys, *scores)
 
 
+def _with_depths(masks: DataFrame, i: int, order: AttributeOrder) -> tuple[DataFrame, str]:
+    """One column per value: the longest chain that ends in it, 0 if it is absent.
+
+    A select per level of the rule graph, all compiled into the same stage.
+    """
+    for level in range(max(order.levels) + 1):
+        columns = []
+        for v in range(len(order)):
+            if order.levels[v] == level:
+                below = ["0", "0", *[f"d{i}_{u}" for u in range(len(order)) if order.older[v] >> u & 1]]
+                here = f"p{i}_0 & {1 << v}L <> 0"
+                columns.append(F.expr(f"if({here}, 1 + greatest({', '.join(below)}), 0) as d{i}_{v}"))
+        masks = masks.select("*", *columns)
+    ends = ["0", "0", *[f"d{i}_{v}" for v in range(len(order))]]
+    return masks, f"greatest({', '.join(ends)})"
+
+
 def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
     """SQL for the longest chain among the present values.
 

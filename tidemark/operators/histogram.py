@@ -7,17 +7,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.rule_graph import (
     AttributeOrder,
     RuleBook,
+    _bits,
     compile_rules,
     rule_closure,
     rule_edges,
 )
-from tidemark.session import materialize, small_frame
+from tidemark.session import materialize
 
 WORD = 64
 # Above this many ruled values per attribute, bit masks in the plan get too wide
@@ -108,40 +112,65 @@ def maskable(book: RuleBook | None, attributes: Sequence[str]) -> bool:
     return book is not None and all(len(book.order(a)) <= MAX_MASK_VALUES for a in attributes)
 
 
-def coded(
-    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Tall rows as numbers: ``slot`` (attribute index), ``code``, ``odd``.
+def coded(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
+    """Tall rows as numbers: ``keys, slot`` (attribute index), ``code, odd``.
 
     ``code`` is the 1-based rank of a ruled value, 0 for a value no rule names
     (kept in ``odd``) and -1 for null. The lookup table has at most two rows per
     rule edge, and a RuleBook is bounded, so it is broadcast.
     """
-    spark = df.sparkSession
-    codes = book.codes(spark, attributes).select(
+    codes = book.codes(df.sparkSession, attributes).select(
         F.col("attribute").alias("_ra"), F.col("value").alias("_rv"), "code"
     )
     slot = F.expr(
         "case attribute "
-        + " ".join(f"when '{_sql_text(a)}' then {i}" for i, a in enumerate(attributes))
+        + " ".join(f"when '{sql_text(a)}' then {i}" for i, a in enumerate(attributes))
         + " end"
     )
-    rows = tall(df, keys, attributes, carry)
-    joined = rows.join(
+    joined = tall(df, keys, attributes).join(
         F.broadcast(codes),
         (F.col("attribute") == F.col("_ra")) & (F.col("value") == F.col("_rv")),
         "left",
     )
     return joined.select(
         *keys,
-        *carry,
         slot.cast("int").alias("slot"),
         F.when(F.col("value").isNull(), -1).otherwise(F.coalesce("code", F.lit(0))).alias("code"),
         F.when(F.col("code").isNull(), F.col("value")).alias("odd"),
     )
 
 
-def _sql_text(text: str) -> str:
+def coded_wide(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook
+) -> DataFrame:
+    """One row per version with ``code0, code1, ...``, plus one per value no rule names.
+
+    The row of a version has slot -1. A value outside the rules of attribute i
+    gets a row of its own with slot i and the value in ``odd``; its codes are null.
+    Codes are null for values that have none.
+    """
+    spark = df.sparkSession
+    out = df.select(*keys, *[F.col(a).cast("string").alias(f"_v{i}") for i, a in enumerate(attributes)])
+    for i, a in enumerate(attributes):
+        codes = book.codes(spark, [a]).select(F.col("value").alias(f"_r{i}"), F.col("code").alias(f"_c{i}"))
+        out = out.join(F.broadcast(codes), F.col(f"_v{i}") == F.col(f"_r{i}"), "left")
+    slots = range(len(attributes))
+    odds = [f"if(_c{i} is null, _v{i}, null)" for i in slots]
+    out = out.select(*keys, *[f"_c{i}" for i in slots], *[F.expr(f"{o} as _o{i}") for i, o in zip(slots, odds)])
+    if len(attributes) == 1:
+        return out.select(
+            *keys, F.expr("if(_o0 is null, -1, 0) as slot"), F.col("_o0").alias("odd"), F.col("_c0").alias("code0")
+        )
+    own = "named_struct('slot', -1, 'odd', cast(null as string))"
+    none = " and ".join(f"_o{i} is null" for i in slots)
+    each = ", ".join(f"named_struct('slot', {i}, 'odd', _o{i})" for i in slots)
+    spread = f"inline(if({none}, array({own}), filter(array({own}, {each}), x -> x.slot = -1 or x.odd is not null)))"
+    return out.select(*keys, *[f"_c{i}" for i in slots], F.expr(spread)).select(
+        *keys, "slot", "odd", *[F.expr(f"if(slot = -1, _c{i}, null) as code{i}") for i in slots]
+    )
+
+
+def sql_text(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
@@ -157,44 +186,33 @@ def latest_values(
     if not maskable(book, attributes):
         return _latest_by_joins(counts, keys, rule_closure(book or rules, df.sparkSession))
 
-    rows = [
-        (a, v, i + 1, *[word(book.order(a).older[i], w) for w in range(_width(book, attributes))])
-        for a in dict.fromkeys(attributes)
-        for i, v in enumerate(book.order(a).values)
-    ]
-    width = _width(book, attributes)
-    older = [f"older{w}" for w in range(width)]
-    lookup = small_frame(
-        df.sparkSession, rows, "_ra string, _rv string, code int, " + ", ".join(f"{o} bigint" for o in older)
-    )
-    ranked = counts.join(
-        F.broadcast(lookup),
-        (F.col("attribute") == F.col("_ra")) & (F.col("value") == F.col("_rv")),
-        "left",
+    # A window per (entity, attribute, odd value): at most one row per ruled value,
+    # and values outside the rules stay alone, so no window is large.
+    cells = coded(df, keys, attributes, book).filter("code >= 0")
+    cells = cells.groupBy(*keys, "slot", "code", "odd").agg(F.count("*").alias("cnt"))
+    width = max(words_of(book.order(a)) for a in attributes)
+    older = []
+    for w in range(width):
+        lists = [long_array([word(m, w) for m in book.order(a).older]) for a in attributes]
+        older.append(f"coalesce(get(get(array({', '.join(lists)}), slot), code - 1), 0L)")
+    group = Window.partitionBy(*keys, "slot", "odd")
+    marked = cells.select("*", *[F.expr(o).alias(f"older{w}") for w, o in enumerate(older)]).select(
+        "*", *[F.bit_or(f"older{w}").over(group).alias(f"dominated{w}") for w in range(width)]
     )
-    # Values outside the rules need no mask; keeping them in the join key spreads them.
-    ranked = ranked.withColumn("odd", F.when(F.col("code").isNull(), F.col("value")))
-    dominated = (
-        ranked.filter(F.col("code").isNotNull())
-        .groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("attribute").alias("_m_attribute"))
-        .agg(*[F.bit_or(o).alias(f"_m_{o}") for o in older])
-        .withColumn("_m_odd", F.lit(None).cast("string"))
-    )
-    same = (F.col("attribute") == F.col("_m_attribute")) & F.col("odd").eqNullSafe(F.col("_m_odd"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    is_old = F.expr(shares([code_bit(w) for w in range(width)], [f"_m_{o}" for o in older]))
-    return (
-        ranked.join(dominated, same, "left")
-        .filter(F.col("code").isNull() | ~is_old)
-        .select(*keys, "attribute", "value", "cnt")
+    is_old = shares([code_bit(w) for w in range(width)], [f"dominated{w}" for w in range(width)])
+    names = [
+        "cast(array(" + ", ".join(f"'{sql_text(v)}'" for v in book.order(a).values) + ") as array<string>)"
+        for a in attributes
+    ]
+    attribute = "array(" + ", ".join(f"'{sql_text(a)}'" for a in attributes) + ")[slot]"
+    return marked.filter(f"code = 0 or not {is_old}").select(
+        *keys,
+        F.expr(attribute).alias("attribute"),
+        F.expr(f"if(code = 0, odd, get(get(array({', '.join(names)}), slot), code - 1))").alias("value"),
+        "cnt",
     )
 
 
-def _width(book: RuleBook, attributes: Sequence[str]) -> int:
-    return max(words_of(book.order(a)) for a in attributes)
-
-
 def _latest_by_joins(counts: DataFrame, keys: Sequence[str], closure: DataFrame) -> DataFrame:
     dominated = (
         counts.join(
@@ -221,12 +239,62 @@ def present_edges(
         edges = rule_edges(rules if isinstance(rules, DataFrame) else book.frame(df.sparkSession))
         return _edges_by_joins(value_counts(df, keys, attributes), keys, edges)
     masks = presence(df, keys, attributes, book)
-    parts = [_bridged(i, a, book.order(a)) for i, a in enumerate(attributes) if len(book.order(a))]
-    if not parts:
-        return masks.select(
-            *keys, *[F.lit(None).cast("string").alias(c) for c in ("attribute", "src", "dst")]
-        ).filter(F.lit(False))
-    return masks.select(*keys, F.expr(f"inline(concat({', '.join(parts)}))"))
+    orders = [(a, book.order(a)) for a in attributes]
+    schema = T.StructType(
+        [masks.schema[k] for k in keys]
+        + [T.StructField(c, T.StringType()) for c in ("attribute", "src", "dst")]
+    )
+    keys = list(keys)
+
+    def expand(batches):
+        for batch in batches:
+            for i, (a, order) in enumerate(orders):
+                words = [batch.column(f"p{i}_{w}").to_numpy(False) for w in range(words_of(order))]
+                names = pa.array(order.values, pa.string())
+                for part in _in_chunks(bridged_edges(order, words)):
+                    rows, src, dst = (pa.array(np.concatenate(x)) for x in zip(*part))
+                    columns = [batch.column(k).take(rows) for k in keys]
+                    columns += [pa.array([a] * len(rows), pa.string()), names.take(src), names.take(dst)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, "attribute", "src", "dst"])
+
+    return masks.mapInArrow(expand, schema)
+
+
+def _in_chunks(edges, rows: int = 100_000):
+    chunk, size = [], 0
+    for edge in edges:
+        chunk.append(edge)
+        size += len(edge[0])
+        if size >= rows:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
+def bridged_edges(order: AttributeOrder, words: Sequence[np.ndarray]):
+    """Bridged edges of many entities at once, given their present values as mask words.
+
+    Yields arrays (row numbers, src index, dst index). Values are visited in rank order; the sources
+    of a value are its present parents, and the sources of its absent parents.
+    """
+
+    def bit(v: int, masks: Sequence[np.ndarray]) -> np.ndarray:
+        return (masks[v // WORD] >> np.int64(v % WORD)) & 1 == 1
+
+    sources: list[list[np.ndarray]] = []
+    present = [bit(v, words) for v in range(len(order))]
+    for v in range(len(order)):
+        reach = [np.zeros_like(w) for w in words]
+        for p in _bits(order.parents[v]):
+            for w in range(len(words)):
+                own = np.int64(word(1 << p, w))
+                reach[w] |= np.where(present[p], own, sources[p][w])
+        sources.append(reach)
+        for u in _bits(order.older[v]):
+            rows = np.flatnonzero(bit(u, reach) & present[v])
+            if len(rows):
+                yield rows, np.full(len(rows), u), np.full(len(rows), v)
 
 
 def presence(
@@ -239,49 +307,15 @@ def presence(
     exchange carries one small row per entity and map task plus the odd values,
     and the second one row per entity.
     """
-    rows = coded(df, keys, attributes, book)
-    width = _width(book, attributes)
+    rows = coded_wide(df, keys, attributes, book)
+    words = [(i, w) for i, a in enumerate(attributes) for w in range(words_of(book.order(a)))]
     first = rows.groupBy(*keys, "slot", "odd").agg(
-        *[F.expr(f"bit_or({code_bit(w)}) as m{w}") for w in range(width)]
+        *[F.expr(f"bit_or({code_bit(w, f'code{i}')}) as p{i}_{w}") for i, w in words]
+    )
+    return first.groupBy(*keys).agg(
+        *[F.expr(f"coalesce(bit_or(p{i}_{w}), 0L) as p{i}_{w}") for i, w in words],
+        *[F.expr(f"count_if(slot = {i} and odd is not null) as odd{i}") for i in range(len(attributes))],
     )
-    aggs = []
-    for i, a in enumerate(attributes):
-        for w in range(words_of(book.order(a))):
-            aggs.append(F.expr(f"coalesce(bit_or(if(slot = {i}, m{w}, null)), 0L) as p{i}_{w}"))
-        aggs.append(F.expr(f"count_if(slot = {i} and odd is not null) as odd{i}"))
-    return first.groupBy(*keys).agg(*aggs)
-
-
-def _bridged(slot: int, attribute: str, order: AttributeOrder) -> str:
-    """SQL array of {attribute, src, dst}: bridged edges among the present values.
-
-    Values are visited in rank order. The sources of a value are its present
-    parents, and the sources of its absent parents.
-    """
-    words = range(words_of(order))
-
-    def fields(i: int) -> str:
-        bits = ", ".join(f"'b{w}', {long_text(word(1 << i, w))}" for w in words)
-        return f"'c', {i}, {bits}"
-
-    blank = ", ".join(f"b{w}: bigint" for w in words)
-    values = []
-    for i, mask in enumerate(order.parents):
-        parents = ", ".join(f"named_struct({fields(p)})" for p in range(len(order)) if mask >> p & 1)
-        typed = f"array({parents})" if parents else f"cast(array() as array<struct<c: int, {blank}>>)"
-        values.append(f"named_struct({fields(i)}, 'parents', {typed})")
-    table = f"array({', '.join(values)})"
-    names = "array(" + ", ".join(f"'{_sql_text(v)}'" for v in order.values) + ")"
-    present = [f"p{slot}_{w}" for w in words]
-    x_here = shares([f"x.b{w}" for w in words], present)
-    p_here = shares([f"q.b{w}" for w in words], present)
-    return f"""flatten(transform(
-      array(aggregate({table}, cast(array() as array<array<int>>), (found, x) ->
-        concat(found, array(array_distinct(flatten(transform(x.parents, q ->
-          if({p_here}, array(q.c), get(found, q.c))))))))),
-      sources -> flatten(transform(filter({table}, x -> {x_here}), x ->
-        transform(get(sources, x.c), u -> named_struct(
-          'attribute', '{_sql_text(attribute)}', 'src', get({names}, u), 'dst', get({names}, x.c)))))))"""
 
 
 def _edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def repair(
     runs = materialize(_runs(rows, keys, vid, compress_runs))
     limit = max_entity_runs or MAX_ENTITY_RUNS
     relations = relations_of(order)
-    ordinary, large, total = split_groups(runs, keys, limit)
+    votes = runs.drop("_rows")
+    ordinary, large, total = split_groups(votes, keys, limit)
     scanned = _scan_by_entity(ordinary, keys, relations)
     if large is not None:
         scanned = scanned.unionByName(_scan_by_slice(large, keys, relations, total, limit))
@@ -167,7 +168,7 @@ def _runs(rows: DataFrame, keys: Sequence[str], vid: str, compress: bool) -> Dat
 def _scan_schema(runs: DataFrame) -> T.StructType:
     return T.StructType(
         [
-            *[f for f in runs.schema.fields if f.name != "_slice"],
+            *[f for f in runs.schema.fields if f.name != "_votes"],
             T.StructField("_body", T.IntegerType()),
             T.StructField("_last", T.IntegerType()),
         ]
@@ -178,7 +179,7 @@ def _scan_by_entity(runs: DataFrame, keys: Sequence[str], relations: Relations)
     keys = list(keys)
 
     def scan(batches):
-        yield from scan_stream(batches, keys, relations)
+        yield from scan_stream(batches, keys, relations, changed_only=True)
 
     placed = runs.repartition(*keys) if keys else runs.coalesce(1)
     return placed.sortWithinPartitions(*keys, *RUN).mapInArrow(scan, _scan_schema(runs))
@@ -239,6 +240,7 @@ def _scan_by_slice(
                 entries.get(first),
                 coming.get(first, NONE),
                 tail.get(first, NONE),
+                changed_only=True,
             )
 
     return sliced.mapInArrow(scan, _scan_schema(runs))

@@ -138,9 +138,12 @@ def scan_stream(
     entry: State | None = None,
     coming: int = NONE,
     tail_blame: int = NONE,
+    changed_only: bool = False,
 ) -> Iterator[pa.RecordBatch]:
     """Append ``_body`` and ``_last`` to sorted runs, holding two rows at a time.
 
+    With ``changed_only`` runs that keep their value are left out, and so are votes.
+
     ``entry``, ``coming`` and ``tail_blame`` connect a slice to its neighbours
     when an entity is cut: the state it starts from, the code that follows it and
     what the next slice decides about its last row.
@@ -153,7 +156,12 @@ def scan_stream(
     def emit(table: pa.Table, bodies: list[int], blames: list[int]) -> Iterator[pa.RecordBatch]:
         lasts = [b if x == NONE else x for b, x in zip(bodies, blames)]
         out = table.append_column("_body", pa.array(bodies, pa.int32()))
-        yield from out.append_column("_last", pa.array(lasts, pa.int32())).to_batches()
+        out = out.append_column("_last", pa.array(lasts, pa.int32()))
+        if changed_only:
+            kept = out.column("_rep")
+            moved = pc.or_(pc.not_equal(out.column("_body"), kept), pc.not_equal(out.column("_last"), kept))
+            out = out.filter(moved).drop_columns(["_votes"])
+        yield from out.to_batches()
 
     for batch in batches:
         if not batch.num_rows:

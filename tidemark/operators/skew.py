@@ -170,18 +170,28 @@ def join_runs(
     def twin(right: DataFrame, prefix: str) -> DataFrame:
         return right.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*on, *payload]])
 
+    def same(prefix: str) -> Column:
+        # plain equality where the rows cannot be null: half the join keys
+        condition = F.lit(True)
+        for c in on:
+            if rows.schema[c].nullable:
+                condition = condition & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+            else:
+                condition = condition & (F.col(c) == F.col(f"{prefix}{c}"))
+        return condition
+
     if hot is None:
-        joined = rows.join(twin(runs, "_c_"), same_keys(on, "_c_"), "left")
+        joined = rows.join(twin(runs, "_c_"), same("_c_"), "left")
         return joined.select(*rows.columns, *[F.col(f"_c_{c}").alias(c) for c in payload])
 
     is_hot = F.coalesce(F.col("_h_found"), F.lit(False))
     found = twin(hot, "_h_").withColumn("_h_found", F.lit(True))
-    answered = rows.join(F.broadcast(found), same_keys(on, "_h_"), "left").withColumn(
+    answered = rows.join(F.broadcast(found), same("_h_"), "left").withColumn(
         "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS)) + 1).otherwise(0)
     )
     others = twin(runs, "_c_").withColumn("_c_salt", F.lit(0).cast("long"))
     joined = answered.join(
-        others, (F.col("_salt") == F.col("_c_salt")) & same_keys(on, "_c_"), "left"
+        others, (F.col("_salt") == F.col("_c_salt")) & same("_c_"), "left"
     )
     return joined.select(
         *rows.columns,
