@@ -60,9 +60,11 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    names = sys.argv[1:] or HEADLINE
+    for name in names:  # warm up: class loading, code generation, Python workers
+        run(name)
     seconds = {}
-    for name in sys.argv[1:] or HEADLINE:
-        run(name)  # warm up: code generation and Python workers
+    for name in names:
         seconds[name] = round(statistics.median(run(name) for _ in range(repeats)), 3)
     print(
         json.dumps(

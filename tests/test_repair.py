@@ -84,10 +84,11 @@ def test_long_entities_are_scanned_in_slices(spark, compress):
     assert values(fixed) == expected(data, pairs, compress)
 
 
-def test_one_entity_is_the_whole_table(spark):
-    pairs, data = case(6, entities=1)
+@pytest.mark.parametrize("limit", [None, 7])
+def test_one_entity_is_the_whole_table(spark, limit):
+    pairs, data = case(6, entities=1, odd_refs=["odd1", "odd2", "odd3"])
     df = frame(spark, data).drop("eid")
-    fixed = tm.repair(df, [], "vid", "ref", "x", tm.RuleBook(pairs))
+    fixed = tm.repair(df, [], "vid", "ref", "x", tm.RuleBook(pairs), max_entity_runs=limit)
     got = {("e0", r["vid"]): r["x"] for r in fixed.collect()}
     assert got == expected(data, pairs)
 

@@ -29,7 +29,9 @@ from tidemark.operators.rule_graph import (
 )
 from tidemark.session import materialize
 
-# Attributes with at most this many ruled values are counted in plain columns.
+# Attributes with at most this many ruled values are counted in plain columns,
+# and their chains unrolled into plain columns. At 50 values the compiled code
+# gets so long that collecting a histogram is faster.
 MAX_COUNTED_VALUES = 16
 
 
@@ -62,20 +64,20 @@ def _cvq_counted(df: DataFrame, keys: Sequence[str], attributes: Sequence[str],
         aggs += _odd_aggs(i, f"slot = {i} and odd is not null")
     counted = first.groupBy(*keys).agg(*aggs)
 
-    latest = []
-    scores = []
+    present, latest, scores = [], [], []
     for i, a in enumerate(attributes):
         order = book.order(a)
-        candidates = []
-        for v in range(len(order)):
-            newer = [f"c{i}_{u + 1} = 0" for u in range(len(order)) if order.newer[v] >> u & 1]
-            test = " and ".join([f"c{i}_{v + 1} > 0", *newer])
-            latest.append(f"if({test}, c{i}_{v + 1}, null) as l{i}_{v}")
-            candidates.append(f"l{i}_{v}")
+        bits = [f"if(c{i}_{v + 1} > 0, {long_text(word(1 << v, 0))}, 0L)" for v in range(len(order))]
+        present.append(f"{' | '.join(bits) or '0L'} as p{i}")
+        candidates = [f"l{i}_{v}" for v in range(len(order))]
+        for v, name in enumerate(candidates):
+            newest = f"c{i}_{v + 1} > 0 and p{i} & {long_text(word(order.newer[v], 0))} = 0"
+            latest.append(f"if({newest}, c{i}_{v + 1}, null) as {name}")
         rarest = f"least({', '.join([*candidates, f'odd_min{i}'])})" if candidates else f"odd_min{i}"
         total = " + ".join([f"odd_sum{i}", *[f"coalesce({c}, 0)" for c in candidates]])
         scores.append(_ratio(F.expr(rarest), F.expr(total)).alias(f"{a}_cvq"))
-    return counted.select("*", *[F.expr(x) for x in latest]).select(*keys, *scores)
+    marked = counted.select("*", *map(F.expr, present)).select("*", *map(F.expr, latest))
+    return marked.select(*keys, *scores)
 
 
 def _cvq_collected(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:

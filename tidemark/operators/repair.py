@@ -319,5 +319,6 @@ def join_back(
     if check:
         message = f"({', '.join(on)}) is not unique"
         once = F.when(F.count("*") > 1, F.raise_error(F.lit(message))).otherwise(F.first(column))
-        cells = cells.groupBy(*on).agg(once.cast(cells.schema[column].dataType).alias(column))
+        # exchange first: (keys, vid) has nothing to combine map-side
+        cells = cells.repartition(*on).groupBy(*on).agg(once.cast(cells.schema[column].dataType).alias(column))
     return base.drop(column).join(cells, on, "inner").select(*base.columns)

@@ -99,8 +99,9 @@ def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrde
     for i in range(len(values)):  # every parent precedes its child in rank order
         for p in _bits(parents[i]):
             older[i] |= older[p] | (1 << p)
-        for o in _bits(older[i]):
-            newer[o] |= 1 << i
+    for i in reversed(range(len(values))):
+        for p in _bits(parents[i]):
+            newer[p] |= newer[i] | (1 << i)
     return AttributeOrder(
         values, tuple(level[v] for v in values), tuple(older), tuple(newer), tuple(parents)
     )
@@ -269,9 +270,8 @@ def rule_rank(
     book = compile_rules(rules)
     if book is not None:
         return book.ranks(spark or rules.sparkSession)
-    edges = rule_edges(rules)
-    closure = _closure_by_joins(edges) if closure is None else closure
-    roots = edges.select("attribute", F.col("src").alias("value"), F.lit(0).alias("level"))
+    closure = _closure_by_joins(rule_edges(rules)) if closure is None else closure
+    roots = closure.select("attribute", F.col("src").alias("value"), F.lit(0).alias("level"))
     reached = closure.select("attribute", F.col("dst").alias("value"), F.col("hops").alias("level"))
     levels = roots.unionByName(reached).groupBy("attribute", "value").agg(F.max("level").alias("level"))
     ranked = row_numbers(levels, ["attribute"], [F.col("level"), F.col("value")], "rank")
