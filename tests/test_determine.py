@@ -128,6 +128,15 @@ def test_attribute_names_and_values_with_quotes(spark):
     assert [tuple(r) for r in edges] == [(1, "odd name", "it's", "back\\slash")]
 
 
+def test_keys_named_like_working_columns(spark):
+    df = spark.createDataFrame([(1, 2, "a"), (1, 2, "${b}")], "slot int, odd int, n string")
+    rules = tm.RuleBook({"n": [("a", "${b}")]})
+    assert [tuple(r) for r in tm.cvq(df, ["slot", "odd"], ["n"], rules).collect()] == [(1, 2, 1.0)]
+    assert [tuple(r) for r in tm.hsq(df, ["slot", "odd"], ["n"], rules).collect()] == [(1, 2, 1.0)]
+    latest = tm.latest_values(df.withColumnsRenamed({"slot": "a", "odd": "b"}), ["a", "b"], ["n"], rules)
+    assert [tuple(r) for r in latest.collect()] == [(1, 2, "n", "${b}", 1)]
+
+
 def test_counts_and_versions(spark):
     df = spark.createDataFrame([(1, 7, "a"), (1, 5, "a"), (1, 5, "b"), (2, 5, "a"), (2, 6, None)], "eid int, vid int, x string")
     counts = {tuple(r) for r in tm.value_counts(df, ["eid"], ["x"], "vid").collect()}

@@ -43,9 +43,32 @@ def cvq(
     With no keys the whole table is one entity. Null values are ignored; an
     entity with no value at all scores NULL.
     """
+    return _scored(_cvq, "cvq", df, keys, attributes, rules)
+
+
+def hsq(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+) -> DataFrame:
+    """``<attribute>_hsq`` per entity: longest chain of present values over present values."""
+    return _scored(_hsq, "hsq", df, keys, attributes, rules)
+
+
+def _scored(score, metric: str, df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules) -> DataFrame:
+    # Neutral key names, so that keys cannot collide with working columns.
+    inner = [f"_k{i}" for i in range(len(keys))]
+    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, inner)], *dict.fromkeys(attributes))
+    scores = score(narrow, inner, attributes, rules)
+    return scores.select(
+        *[F.col(n).alias(k) for k, n in zip(keys, inner)], *[f"{a}_{metric}" for a in attributes]
+    )
+
+
+def _cvq(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+) -> DataFrame:
     book = compile_rules(rules)
     if not maskable(book, attributes):
-        return _cvq_by_joins(df, keys, attributes, rules)
+        return _cvq_by_joins(df, keys, attributes, book or rules)
     if max(len(book.order(a)) for a in attributes) <= MAX_COUNTED_VALUES:
         return _cvq_counted(df, keys, attributes, book)
     return _cvq_collected(df, keys, attributes, book)
@@ -145,10 +168,9 @@ def _widen(df: DataFrame, long: DataFrame, keys: Sequence[str], attributes: Sequ
     )
 
 
-def hsq(
+def _hsq(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
 ) -> DataFrame:
-    """``<attribute>_hsq`` per entity: longest chain of present values over present values."""
     book = compile_rules(rules)
     if not maskable(book, attributes):
         return _hsq_by_joins(df, keys, attributes, book or rules)

@@ -171,7 +171,13 @@ def coded_wide(
 
 
 def sql_text(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
+    """Text for use inside a single-quoted SQL literal; ``$`` would start a substitution."""
+    return text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+
+
+def text_array(values: Sequence[str]) -> str:
+    """A literal array of strings."""
+    return "cast(array(" + ", ".join(f"'{sql_text(v)}'" for v in values) + ") as array<string>)"
 
 
 # --- latest values and pruned graphs -----------------------------------------
@@ -200,11 +206,8 @@ def latest_values(
         "*", *[F.bit_or(f"older{w}").over(group).alias(f"dominated{w}") for w in range(width)]
     )
     is_old = shares([code_bit(w) for w in range(width)], [f"dominated{w}" for w in range(width)])
-    names = [
-        "cast(array(" + ", ".join(f"'{sql_text(v)}'" for v in book.order(a).values) + ") as array<string>)"
-        for a in attributes
-    ]
-    attribute = "array(" + ", ".join(f"'{sql_text(a)}'" for a in attributes) + ")[slot]"
+    names = [text_array(book.order(a).values) for a in attributes]
+    attribute = f"{text_array(attributes)}[slot]"
     return marked.filter(f"code = 0 or not {is_old}").select(
         *keys,
         F.expr(attribute).alias("attribute"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.histogram import text_array
 from tidemark.operators.ordering import repair_keys, run_order
 from tidemark.operators.repair_scan import (
     NONE,
@@ -118,7 +119,7 @@ def repair(
         joined = join_runs(rows, changed, on, vid, hot)
 
     code = F.when(F.col(vid) == F.col("_last_vid"), F.col("_last")).otherwise(F.col("_body"))
-    value = F.get(_text_array(order.values), code - 1).cast(df.schema[repair].dataType)
+    value = F.get(F.expr(text_array(order.values)), code - 1).cast(df.schema[repair].dataType)
     fixed = F.when(F.col("_body").isNotNull() & (code != F.col("_rep")), value).otherwise(F.col(repair))
     return joined.select(*[fixed.alias(c) if c == repair else F.col(c) for c in df.columns])
 
@@ -140,12 +141,6 @@ def _book(rules: RuleBook | DataFrame) -> RuleBook:
     return book
 
 
-def _text_array(values: Sequence[str]):
-    if not values:
-        return F.array(F.lit(None).cast("string"))
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _runs(rows: DataFrame, keys: Sequence[str], vid: str, compress: bool) -> DataFrame:
     """Runs with ``_votes``, ``_rows`` and ``_last_vid``.
 
