@@ -11,6 +11,7 @@ from tidemark.operators.histogram import (
     code_bit,
     coded,
     coded_wide,
+    edges_by_joins,
     latest_values,
     long_array,
     long_text,
@@ -25,7 +26,7 @@ from tidemark.operators.rule_graph import (
     AttributeOrder,
     RuleBook,
     compile_rules,
-    rule_closure,
+    rule_edges,
 )
 from tidemark.session import materialize
 
@@ -239,25 +240,24 @@ def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
 def _hsq_by_joins(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
 ) -> DataFrame:
-    """Chain lengths by relaxation over the present part of the closure."""
-    closure = rule_closure(rules, df.sparkSession)
-    here = materialize(value_counts(df, keys, attributes).select(*keys, "attribute", "value"))
-    older = here.select(*keys, "attribute", F.col("value").alias("src"))
-    pairs = materialize(
-        here.join(closure.select("attribute", "src", F.col("dst").alias("value")), ["attribute", "value"]).join(
-            older, [*keys, "attribute", "src"]
-        )
-    )
-    depth = here.withColumn("depth", F.lit(1))
+    """Chain lengths by relaxation over each entity's bridged edges.
+
+    A chain of present values is a path of bridged edges, so the closure, which
+    may be far larger, is not needed.
+    """
+    edges = rule_edges(rules if isinstance(rules, DataFrame) else rules.frame(df.sparkSession))
+    counts = materialize(value_counts(df, keys, attributes))
+    links = materialize(edges_by_joins(counts, keys, edges))
+    depth = counts.select(*keys, "attribute", "value").withColumn("depth", F.lit(1))
     reached = None
     while True:
         total = depth.agg(F.sum("depth")).first()[0]
         if total == reached:
             break
         reached = total
-        grown = pairs.join(
+        grown = links.join(
             depth.withColumnRenamed("value", "src"), [*keys, "attribute", "src"]
-        ).select(*keys, "attribute", "value", (F.col("depth") + 1).alias("depth"))
+        ).select(*keys, "attribute", F.col("dst").alias("value"), (F.col("depth") + 1).alias("depth"))
         depth = materialize(
             depth.unionByName(grown).groupBy(*keys, "attribute", "value").agg(F.max("depth").alias("depth"))
         )

@@ -240,7 +240,7 @@ def present_edges(
     book = compile_rules(rules)
     if not maskable(book, attributes):
         edges = rule_edges(rules if isinstance(rules, DataFrame) else book.frame(df.sparkSession))
-        return _edges_by_joins(value_counts(df, keys, attributes), keys, edges)
+        return edges_by_joins(value_counts(df, keys, attributes), keys, edges)
     masks = presence(df, keys, attributes, book)
     orders = [(a, book.order(a)) for a in attributes]
     schema = T.StructType(
@@ -321,7 +321,7 @@ def presence(
     )
 
 
-def _edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
+def edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
     """Frontier walk: leave a present value, pass through absent ones, stop at present ones."""
     here = counts.select(*keys, "attribute", "value")
     steps = edges.select("attribute", F.col("src").alias("at"), "dst")
