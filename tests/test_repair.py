@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark as tm
-from tidemark.operators import ordering, repair as repair_module, skew
+from tidemark.operators import repair as repair_module
+from tidemark.operators import skew
 
 SCHEMA = "eid string, vid int, ref string, x string, other double"
 
