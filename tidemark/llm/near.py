@@ -192,7 +192,8 @@ def near_duplicates(
         F.count("*").alias("_m"),
     )
     wanted = members.select("_x").distinct()
-    sets = texts.join(wanted, texts["_id"] == wanted["_x"], "left_semi").mapInArrow(
+    # merged at every size: a broadcast would only fit small tables
+    sets = texts.join(wanted.hint("merge"), texts["_id"] == wanted["_x"], "left_semi").mapInArrow(
         _full_sets, "_x long, _set array<long>"
     )
     own = F.pmod(F.xxhash64("_x"), F.col("_blocks"))
