@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import block_links, bucket_members, forest
 from tidemark.llm.scratch import components, given_id, id_and_text, saved
 from tidemark.llm.textbytes import Words, as_long, chunks, list_array, mix, shingles
 
 CHUNKS, PLACES = 10, 5
 SYMBOLS = CHUNKS * PLACES
 RADIUS = 2 * CHUNKS - 1
-#: a block of the comparison holds about so many documents and shingles; more make more blocks
-BLOCK_DOCS, BLOCK_SHINGLES = 1_024, 1_000_000
 
 _random = np.random.default_rng(851)
 _SCALE = _random.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,67 +96,36 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges (smallest member, member) of the components under
-    100 * intersection >= percent * union over the full sets."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    shared = np.bincount(where, minlength=len(values)) > 1
-    column = (np.cumsum(shared) - 1)[where]
-    keep = shared[where]
-    owner, column = owner[keep], column[keep]
-    width = int(shared.sum())
-    common = np.zeros((n, n), np.float32)
-    step = max(1, 8_000_000 // n)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for low in range(0, width, step):
-        a, b = np.searchsorted(column, (low, low + step))
-        part = np.zeros((n, min(step, width - low)), np.float32)
-        part[owner[a:b], column[a:b] - low] = 1
-        common += part @ part.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    edges, todo = [], np.ones(n, bool)
-    for k in np.argsort(ids, kind="stable"):
-        if not todo[k]:
-            continue
-        todo[k] = False
-        front = np.array([k])
-        while len(front):
-            front = np.flatnonzero(linked[front].any(axis=0) & todo)
-            todo[front] = False
-            edges += [(int(ids[k]), int(ids[x])) for x in front]
-    return edges
-
-
-def _compare(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(ids, sets):
-            edges = confirmed_forest(np.array(ids), sets, percent) if len(ids) > 1 else []
-            return pa.record_batch(
-                [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
-
-        at, ids, sets = None, [], []
-        for batch in batches:
-            groups = zip(*(batch.column(k).to_pylist() for k in range(3)))
-            xs, column = batch.column(3).to_pylist(), batch.column(4)
-            values = np.asarray(column.values).view(np.uint64)
-            offsets = np.asarray(column.offsets)
-            for k, group in enumerate(groups):
-                if group != at:
-                    if len(ids) > 1:
-                        yield links(ids, sets)
-                    at, ids, sets = group, [], []
-                ids.append(xs[k])
-                sets.append(values[offsets[k] : offsets[k + 1]])
-        if len(ids) > 1:
-            yield links(ids, sets)
-
-    return compare
+def confirmed_links(percent: int):
+    """Decides the links of a block (_x, _set): 100 * intersection >= percent * union."""
+
+    def decide(table: pa.Table) -> list[tuple[int, int]]:
+        ids = np.asarray(table["_x"])
+        column = table["_set"].combine_chunks()
+        values = np.asarray(column.flatten()).view(np.uint64)
+        sizes = np.asarray(column.value_lengths()).astype(np.int64)
+        n = len(ids)
+        distinct, where = np.unique(values, return_inverse=True)
+        owner = np.repeat(np.arange(n), sizes)
+        # only what two sets hold can be common to two sets
+        shared = np.bincount(where, minlength=len(distinct)) > 1
+        column = (np.cumsum(shared) - 1)[where]
+        keep = shared[where]
+        owner, column = owner[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width, step = int(shared.sum()), max(1, 8_000_000 // n)
+        common = np.zeros((n, n), np.float32)
+        for low in range(0, width, step):
+            a, b = np.searchsorted(column, (low, low + step))
+            part = np.zeros((n, min(step, width - low)), np.float32)
+            part[owner[a:b], column[a:b] - low] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        return forest(ids, lambda front: linked[front].any(axis=0))
+
+    return decide
 
 
 def near_duplicates(
@@ -183,33 +151,13 @@ def near_duplicates(
         .agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"))
     )
     entries = nodes.select(F.col("_rep").alias("_x"), F.col("_n"), F.explode("_keys").alias("_key"))
-    leaders = entries.groupBy("_key").agg(F.min("_x").alias("_leader"), F.count("*").alias("_m"))
-    members = saved(
-        entries.join(leaders.filter("_m > 1").drop("_m"), "_key").select("_leader", "_x", "_n").distinct()
-    )
-    blocks = members.groupBy("_leader").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("_n") / BLOCK_SHINGLES)).alias("_blocks"),
-        F.count("*").alias("_m"),
-    )
+    members = bucket_members(entries)
     wanted = members.select("_x").distinct()
     # merged at every size: a broadcast would only fit small tables
     sets = texts.join(wanted.hint("merge"), texts["_id"] == wanted["_x"], "left_semi").mapInArrow(
         _full_sets, "_x long, _set array<long>"
     )
-    own = F.pmod(F.xxhash64("_x"), F.col("_blocks"))
-    placed = (
-        members.join(blocks.filter("_m > 1"), "_leader")
-        .select("_leader", "_x", own.alias("_own"), F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_other"))
-        .select("_leader", "_x", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    )
-    links = (
-        placed.join(sets, "_x")
-        .select("_leader", "_i", "_j", "_x", "_set")
-        .repartition("_leader", "_i", "_j")
-        .sortWithinPartitions("_leader", "_i", "_j")
-        .mapInArrow(_compare(percent), "a long, b long")
-    )
-    label = components(links)
+    label = components(block_links(members, sets, confirmed_links(percent)))
     found = (
         sketch.drop("_keys")
         .join(nodes.drop("_keys"), ["_d1", "_d2", "_n"], "left")

@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: white space and all other ASCII marks: only letters, digits and bytes above ASCII make words
+PUNCTUATED = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _powers: dict[int, np.ndarray] = {}
@@ -90,20 +92,20 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, A-Z lower-cased.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, or those between other marks, A-Z lower-cased.
 
     hash: a 64-bit number per word; doc: index of its text; counts: words per text;
     start, end: byte positions in ``spaced``, the texts with one space after each.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, between: np.ndarray = _WHITE):
         n = len(lengths)
         spaced = np.full(len(data) + n, 0x20, np.uint8)
         owner = np.repeat(np.arange(n), lengths)
         spaced[np.arange(len(data)) + owner] = data
         self.spaced = spaced
         self.text_start = starts + np.arange(n)
-        inside = ~_WHITE[spaced]
+        inside = ~between[spaced]
         edge = np.flatnonzero(np.diff(inside, prepend=False))
         self.start, self.end = edge[0::2], edge[1::2]
         self.doc = np.searchsorted(self.text_start, self.start, "right") - 1
