@@ -6,24 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontam import contaminated_pairs
 from tidemark.llm.lines import line_report
 from tidemark.llm.near import near_duplicates
+from tidemark.llm.repeats import repeated_strings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_strings(_table(spark, folder, "documents")).drop("removed")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
