@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
-one node. A node's 64-bit SimHash over its words is cut into BLOCKS blocks; two fingerprints
+one node. A node's 64-bit SimHash over its pairs of adjacent words is cut into BLOCKS blocks; two fingerprints
 that differ in at most RADIUS = 3 bits agree in two of the five blocks at least, so each
 pair of blocks is a key. Members of a bucket within the radius are linked when the edit
 similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound.
@@ -76,6 +76,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = counts >= MIN_WORDS
         cut, counts, h1, h2 = cut[long], counts[long], h1[long], h2[long]
         doc = w.doc[cut]
+        pairs = mix(w.hash * U(3) + np.append(w.hash[1:], U(0)))
         yield pa.record_batch(
             [
                 pa.array(ids[doc]),
@@ -83,7 +84,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array((line_of_word[cut] - before[cut]).astype(np.int32)),
                 pa.array(as_long(h1)),
                 pa.array(as_long(h2)),
-                pa.array(as_long(simhash(w.hash, cut, counts))),
+                pa.array(as_long(simhash(pairs, cut, counts - 1))),
                 pa.array(counts.astype(np.int64)),
             ],
             ["_id", "_th", "_line", "_h1", "_h2", "_sim", "_words"],
