@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontam import contaminated_pairs
 from tidemark.llm.lines import line_report
 from tidemark.llm.near import near_duplicates
+from tidemark.llm.quality import quality_verdicts
 from tidemark.llm.repeats import repeated_strings
 
 
@@ -24,6 +25,10 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_verdicts(_table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -35,6 +40,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
