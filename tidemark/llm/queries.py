@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontam import contaminated_pairs
 from tidemark.llm.lines import line_report
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near import near_duplicates
+from tidemark.llm.pieces import token_counts
 from tidemark.llm.quality import quality_verdicts
 from tidemark.llm.repeats import repeated_strings
 
 
+#: a sentencepiece model on the driver
+VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -21,6 +28,10 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_strings(_table(spark, folder, "documents")).drop("removed")
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_table(spark, folder, "documents"), VOCABULARY)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
@@ -29,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op7_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -39,8 +54,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
