@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontam import contaminated_pairs
+from tidemark.llm import licences
 from tidemark.llm.lines import line_report
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near import near_duplicates
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_matches(_table(spark, folder, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_strings(_table(spark, folder, "documents")).drop("removed")
 
@@ -53,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -62,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.ORACLE}
