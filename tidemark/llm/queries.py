@@ -15,6 +15,7 @@ from tidemark.llm.near import near_duplicates
 from tidemark.llm.pieces import token_counts
 from tidemark.llm.quality import quality_verdicts
 from tidemark.llm.repeats import repeated_strings
+from tidemark.llm.secrets import secret_digest
 
 
 #: a sentencepiece model on the driver
@@ -53,6 +54,10 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digest(_table(spark, folder, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_table(spark, folder, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_secret_scans": op9_secret_scans,
     "op10_line_dedup": op10_line_dedup,
 }
 
