@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.ctw import lm_scores
 from tidemark.llm.decontam import contaminated_pairs
 from tidemark.llm import licences
 from tidemark.llm.lines import line_report
@@ -34,6 +35,10 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_strings(_table(spark, folder, "documents")).drop("removed")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(_table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), VOCABULARY)
 
@@ -65,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
