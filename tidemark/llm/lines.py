@@ -1,9 +1,9 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
-one node. A node's 64-bit SimHash over its pairs of adjacent words is cut into BLOCKS blocks; two fingerprints
-that differ in at most RADIUS = 3 bits agree in two of the five blocks at least, so each
-pair of blocks is a key. Members of a bucket within the radius are linked when the edit
+one node. A node's 64-bit SimHash over its words of four bytes or more (over all of them if
+these are fewer than four) is cut into BLOCKS = 4 blocks; two fingerprints that differ in at
+most RADIUS = 2 bits agree in two blocks at least, so each pair of blocks is a key. Members of a bucket within the radius are linked when the edit
 similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound.
 Of every connected group the first occurrence (document id, text hash, line number) stays.
 """
@@ -25,10 +25,10 @@ from tidemark.llm.textbytes import Words, as_long, chunks, mix
 U = np.uint64
 #: shorter lines repeat by nature and are always kept
 MIN_WORDS = 5
-RADIUS = 3
+RADIUS = 2
+LONG_WORD = 4
 EDIT_SIMILARITY = 0.9
-#: (first bit, bits) of the blocks
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BLOCKS = 4
 
 
 def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,16 +76,26 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = counts >= MIN_WORDS
         cut, counts, h1, h2 = cut[long], counts[long], h1[long], h2[long]
         doc = w.doc[cut]
-        pairs = mix(w.hash * U(3) + np.append(w.hash[1:], U(0)))
+        telling = w.end - w.start >= LONG_WORD
+        upto = np.concatenate(([0], np.cumsum(telling)))
+        some = upto[cut + counts] - upto[cut]
+        enough = some >= 4
+        sim = np.empty(len(cut), U)
+        sim[enough] = simhash(w.hash[telling], upto[cut[enough]], some[enough])
+        sim[~enough] = simhash(w.hash, cut[~enough], counts[~enough])
+        owner = np.searchsorted(w.text_start, breaks, "right") - 1
+        n_lines = np.where(lengths > 0, np.bincount(owner, minlength=len(ids)) + 1, 0)
+        none = np.zeros(len(ids), np.int64)
+        # the lines, and after them a row for each text: line -1 with the number of lines
         yield pa.record_batch(
             [
-                pa.array(ids[doc]),
-                pa.array(text_hash[doc]),
-                pa.array((line_of_word[cut] - before[cut]).astype(np.int32)),
-                pa.array(as_long(h1)),
-                pa.array(as_long(h2)),
-                pa.array(as_long(simhash(pairs, cut, counts - 1))),
-                pa.array(counts.astype(np.int64)),
+                pa.array(np.concatenate((ids[doc], ids))),
+                pa.array(np.concatenate((text_hash[doc], text_hash))),
+                pa.array(np.concatenate((line_of_word[cut] - before[cut], none - 1)).astype(np.int32)),
+                pa.array(np.concatenate((as_long(h1), none))),
+                pa.array(np.concatenate((as_long(h2), none))),
+                pa.array(np.concatenate((as_long(sim), none))),
+                pa.array(np.concatenate((counts, n_lines)).astype(np.int64)),
             ],
             ["_id", "_th", "_line", "_h1", "_h2", "_sim", "_words"],
         )
@@ -147,14 +157,14 @@ def linked_lines(table: pa.Table) -> list[tuple[int, int]]:
     return edges
 
 
-def _keys(sim: str = "_sim") -> F.Column:
-    parts = [
-        F.shiftrightunsigned(F.col(sim), low).bitwiseAND((1 << bits) - 1) for low, bits in BLOCKS
-    ]
+def _keys() -> F.Column:
+    """The key of each pair of blocks: 32 bits of the fingerprint and the number of the pair."""
+    bits = 64 // BLOCKS
+    parts = [F.shiftrightunsigned("_sim", k * bits).bitwiseAND((1 << bits) - 1) for k in range(BLOCKS)]
     return F.array(
         *(
-            parts[a] * (1 << 13) + parts[b] + F.lit(k << 26)
-            for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
+            F.shiftleft(parts[a], bits).bitwiseOR(parts[b]).bitwiseOR(F.lit(k << 2 * bits))
+            for k, (a, b) in enumerate(combinations(range(BLOCKS), 2))
         )
     )
 
@@ -168,15 +178,18 @@ def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The lines to drop: (_id, _th, _drop array<int>), line numbers from 0, for documents that
-    have any; _th is xxhash64 of the text, so rows with one id and different texts differ."""
-    texts = _with_hash(docs, id_col, text_col)
-    lines = saved(
+def _read_lines(texts: DataFrame) -> DataFrame:
+    return saved(
         texts.mapInArrow(
             _line_rows, "_id long, _th long, _line int, _h1 long, _h2 long, _sim long, _words long"
         )
     )
+
+
+def repeated_lines(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The lines to drop: (_id, _th, _drop array<int>), line numbers from 0, for documents that
+    have any; _th is xxhash64 of the text, so rows with one id and different texts differ."""
+    lines = rows.filter("_line >= 0")
     nodes = saved(
         lines.groupBy("_h1", "_h2", "_sim", "_words").agg(
             F.min(F.struct("_id", "_th", "_line")).alias("_first"), F.count("*").alias("_m")
@@ -214,15 +227,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_lines, n_dropped, dropped) for each row of ``docs``: the lines of the
     text (null or empty: none), how many of them repeat an earlier line, and their numbers."""
-    drop = repeated_lines(docs, id_col, text_col)
-    rows = _with_hash(docs, id_col, text_col).select(
-        "_id",
-        "_th",
-        F.when(F.length("_text") > 0, F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1)
-        .otherwise(0)
-        .cast("long")
-        .alias("n_lines"),
-    )
+    texts = _with_hash(docs, id_col, text_col)
+    read = _read_lines(texts)
+    drop = repeated_lines(texts, read)
+    rows = read.filter("_line < 0").select("_id", "_th", F.col("_words").alias("n_lines"))
     none = F.array().cast("array<int>")
     return rows.join(drop, ["_id", "_th"], "left").select(
         given_id().alias("doc_id"),
@@ -240,7 +248,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document whose lines all go keeps its row with an empty text. Null ids count as the
     smallest id. An empty table gives an empty result.
     """
-    drop = repeated_lines(docs, id_col, text_col)
+    texts = _with_hash(docs, id_col, text_col)
+    drop = repeated_lines(texts, _read_lines(texts))
     own = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("_id"),
