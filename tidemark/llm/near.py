@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import block_links, bucket_members, forest
-from tidemark.llm.scratch import components, given_id, id_and_text, saved
+from tidemark.llm.scratch import NULL_ID, components, given_id, id_and_text, saved
 from tidemark.llm.textbytes import Words, as_long, chunks, list_array, mix, shingles
 
 CHUNKS, PLACES = 10, 5
@@ -65,7 +65,7 @@ def _sets(data, starts, lengths) -> list[np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, starts, lengths, _ in chunks(batches):
+    for ids, data, starts, lengths, batch in chunks(batches):
         sets = _sets(data, starts, lengths)
         sizes = np.array([len(s) for s in sets])
         full = np.flatnonzero(sizes)
@@ -78,12 +78,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 pa.array(ids),
+                batch.column(batch.schema.names.index("_th")),
                 pa.array(sizes.astype(np.int64)),
                 pa.array(as_long(digest[0])),
                 pa.array(as_long(digest[1])),
                 list_array(as_long(keys_of(signatures).ravel()), np.where(sizes > 0, SYMBOLS, 0)),
             ],
-            ["_id", "_n", "_d1", "_d2", "_keys"],
+            ["_id", "_th", "_n", "_d1", "_d2", "_keys"],
         )
 
 
@@ -128,22 +129,11 @@ def confirmed_links(percent: int):
     return decide
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85
-) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Documents are linked when their sets of five-word shingles satisfy
-    ``100 * intersection >= percent * union``; component_id is the smallest id reachable.
-
-    Null and empty texts and texts without words have an empty set and no links. A null id
-    is a document like any other, smaller than all ids, and stays null. Rows that
-    share an id are judged by their own texts. Repeated rows are equal sets, hence one
-    component. Other columns of ``docs`` are not read. An empty table gives an empty result.
-    """
-    texts = id_and_text(docs, id_col, text_col)
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(_id, _th, _n, _component) for each row."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("_th", F.xxhash64("_text"))
     sketch = saved(
-        texts.mapInArrow(_sketch, "_id long, _n long, _d1 long, _d2 long, _keys array<long>")
+        texts.mapInArrow(_sketch, "_id long, _th long, _n long, _d1 long, _d2 long, _keys array<long>")
     )
     nodes = (
         sketch.filter("_n > 0")
@@ -158,15 +148,45 @@ def near_duplicates(
         _full_sets, "_x long, _set array<long>"
     )
     label = components(block_links(members, sets, confirmed_links(percent)))
-    found = (
+    return (
         sketch.drop("_keys")
         .join(nodes.drop("_keys"), ["_d1", "_d2", "_n"], "left")
         .join(label, F.col("_rep") == F.col("node"), "left")
-        .select("_id", "_n", F.coalesce("component", "_rep", "_id").alias("_component"))
+        .select("_id", "_th", "_n", F.coalesce("component", "_rep", "_id").alias("_component"))
     )
-    return found.select(
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85
+) -> DataFrame:
+    """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Documents are linked when their sets of five-word shingles satisfy
+    ``100 * intersection >= percent * union``; component_id is the smallest id reachable.
+
+    Null and empty texts and texts without words have an empty set and no links. A null id
+    is a document like any other, smaller than all ids, and stays null. Rows that
+    share an id are judged by their own texts. Repeated rows are equal sets, hence one
+    component. Other columns of ``docs`` are not read. An empty table gives an empty result.
+    """
+    return _components(docs, id_col, text_col, percent).select(
         given_id().alias("doc_id"),
         F.col("_n").alias("n_shingles"),
         given_id("_component").alias("component_id"),
         (F.col("_id") == F.col("_component")).alias("kept"),
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85
+) -> DataFrame:
+    """``docs`` with the document of smallest id of each component of near_duplicates; of rows that
+    agree in id and text one stays. All columns as they are; texts without words are kept."""
+    kept = _components(docs, id_col, text_col, percent).filter("_id = _component").select("_id", "_th")
+    own = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.xxhash64(docs[text_col].cast("string")).alias("_th"),
+    )
+    one = own.join(kept.distinct().hint("merge"), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
+    return one.select("_row.*")
