@@ -38,6 +38,8 @@ def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np
     runs are short; longer runs are summed in pieces.
     """
     out = np.zeros(len(starts), U)
+    if not len(starts):
+        return out
     counts = counts.astype(np.int64)
     pieces = (counts + 254) // 255
     first = np.concatenate(([0], np.cumsum(pieces)[:-1])).astype(np.int64)
@@ -51,7 +53,7 @@ def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np
         total = np.zeros(len(ones) + 1, U)
         np.cumsum(ones, out=total[1:])
         lanes = (total[end] - total[begin]).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        sums = np.add.reduceat(lanes, first, axis=0) if len(first) else lanes
+        sums = np.add.reduceat(lanes, first, axis=0)
         for byte in range(8):
             out |= (2 * sums[:, byte] > half[:, 0]).astype(U) << U(8 * byte + k)
     return out
