@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lines import simhash
 from tidemark.llm.scratch import given_id, id_and_text
-from tidemark.llm.textbytes import PUNCTUATED, Words, bytes_of, chunks, shingles
+from tidemark.llm.textbytes import PUNCTUATED, Words, bytes_of, chunks, shingles, window_hash
 
 U = np.uint64
 SHINGLE = 5
+_ONES = U(0x0101010101010101)
 SIMILARITY = 0.8
 ERRORS = 3
 RADIUS = 4 * (ERRORS + 1) - 1
@@ -102,6 +103,7 @@ class Items:
             return out
         known = np.concatenate(([0], np.cumsum(self.known(words.hash), dtype=np.int32)))
         text_start = np.concatenate(([0], np.cumsum(words.counts)[:-1]))
+        prints_of = WindowPrints(words.hash)
         per_width = {}
         for size, (marked, prints, members, fewest) in self.sizes.items():
             if size > total:
@@ -109,35 +111,60 @@ class Items:
             width = min(size, SHINGLE)
             if width not in per_width:
                 whole = known[width:] - known[:-width] == width
-                per_width[width] = np.concatenate(([0], np.cumsum(whole, dtype=np.int32)))
-            run = per_width[width]
+                value = window_hash(words.hash, np.arange(total), np.full(total, width), SHINGLE)
+                per_width[width] = np.concatenate(([0], np.cumsum(whole, dtype=np.int32))), value
+            run, value = per_width[width]
             span = size - width + 1
             begin = np.flatnonzero(run[span:] - run[:-span] >= fewest)
             begin = begin[words.doc[begin] == words.doc[begin + size - 1]]
             if not len(begin):
                 continue
-            found = simhash(words.hash, begin, np.full(len(begin), size))
+            found = prints_of.windows(begin, size)
             near = np.zeros(len(begin), bool)
             for b in range(4):
                 near |= marked[b, (found >> U(16 * b) & U(0xFFFF)).astype(np.int64)]
             begin, found = begin[near], found[near]
             for k in range(len(prints)):
-                for at in begin[np.bitwise_count(found ^ prints[k]) <= RADIUS]:
-                    piece = _Piece(words.hash[at : at + size])
-                    window = np.unique(shingles(piece, SHINGLE)[0])
-                    item, values, weight = members[k]
-                    score = self.similarity(window, values, weight)
-                    doc = int(words.doc[at])
-                    first = int(at - text_start[doc])
-                    best = out.get((doc, item), (0.0, 0, 0))
-                    if score >= SIMILARITY and (score, -first) > (best[0], -best[1]):
-                        out[doc, item] = (score, first, size)
+                item, values, weight = members[k]
+                at = begin[np.bitwise_count(found ^ prints[k]) <= RADIUS]
+                for low in range(0, len(at), 10_000):
+                    part = at[low : low + 10_000]
+                    window = value[part[:, None] + np.arange(span)]
+                    place = np.minimum(np.searchsorted(values, window), len(values) - 1)
+                    # what is common to both, repeats counted again: below the bound for no match
+                    common = np.where(values[place] == window, self.weights(values)[place], 0.0).sum(axis=1)
+                    for first_word in part[common >= SIMILARITY * weight * (1 - 1e-9)]:
+                        own = np.unique(value[first_word : first_word + span])
+                        score = self.similarity(own, values, weight)
+                        doc = int(words.doc[first_word])
+                        first = int(first_word - text_start[doc])
+                        best = out.get((doc, item), (0.0, 0, 0))
+                        if score >= SIMILARITY and (score, -first) > (best[0], -best[1]):
+                            out[doc, item] = (score, first, size)
         return out
 
 
-class _Piece:
+class WindowPrints:
+    """SimHash of windows of words from running sums, eight 8-bit counters in each number."""
+
     def __init__(self, hashes: np.ndarray):
-        self.hash, self.counts = hashes, np.array([len(hashes)])
+        self.hashes = hashes
+        self.sums = []
+        for k in range(8):
+            total = np.zeros(len(hashes) + 1, U)
+            np.cumsum((hashes >> U(k)) & _ONES, out=total[1:])
+            self.sums.append(total)
+
+    def windows(self, begin: np.ndarray, size: int) -> np.ndarray:
+        if size > 250:
+            return simhash(self.hashes, begin, np.full(len(begin), size))
+        out = np.zeros(len(begin), U)
+        # a counter above half of size sets the top bit of its byte
+        lift = U(127 - size // 2) * _ONES
+        for k, total in enumerate(self.sums):
+            counters = total[begin + size] - total[begin]
+            out |= ((counters + lift) & (_ONES << U(7))) >> U(7 - k)
+        return out
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> list:

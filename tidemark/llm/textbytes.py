@@ -119,6 +119,17 @@ class Words:
         self.hash = mix(word)
 
 
+def window_hash(h: np.ndarray, begin: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the windows of ``length`` (at most ``size``) words of ``h`` from ``begin`` on."""
+    padded = np.concatenate((h, np.zeros(size, np.uint64)))
+    value = np.full(len(begin), size, np.uint64)
+    for k in range(size):
+        value *= U(_BASE)
+        value += np.where(length > k, padded[begin + k], U(0))
+    value += length.astype(np.uint64)
+    return mix(value)
+
+
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every window of ``size`` words, number of windows per text), in text order.
     A text with fewer words has one, made of all its words; without words none."""
@@ -126,14 +137,7 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     windows = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     begin = np.repeat(first - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
-    length = np.repeat(np.minimum(counts, size), windows)
-    padded = np.concatenate((h, np.zeros(size, np.uint64)))
-    value = np.full(len(begin), size, np.uint64)
-    for k in range(size):
-        value *= U(_BASE)
-        value += np.where(length > k, padded[begin + k], U(0))
-    value += length.astype(np.uint64)
-    return mix(value), windows
+    return window_hash(h, begin, np.repeat(np.minimum(counts, size), windows), size), windows
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
