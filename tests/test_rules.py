@@ -43,8 +43,12 @@ def test_cycles_are_rejected(spark, monkeypatch, pairs):
         tm.RuleBook({"x": pairs})
     rules = spark.createDataFrame([("x", a, b) for a, b in pairs], "attribute string, src string, dst string")
     monkeypatch.setattr(rule_graph, "MAX_DRIVER_EDGES", 0)
-    with pytest.raises(ValueError, match="cycle"):
-        tm.rule_closure(rules)
+    for most in (500_000, 0):
+        monkeypatch.setattr(rule_graph, "MAX_TASK_EDGES", most)
+        with pytest.raises(ValueError, match="cycle"):
+            tm.rule_closure(rules)
+        with pytest.raises(ValueError, match="cycle"):
+            tm.rule_rank(rules)
 
 
 def test_distributed_closure_and_rank_match_the_compiled_ones(spark, monkeypatch):
@@ -62,7 +66,13 @@ def test_distributed_closure_and_rank_match_the_compiled_ones(spark, monkeypatch
     assert rows(tm.rule_closure(frame)) == closure
     assert rows(tm.rule_rank(frame)) == ranks
     with pytest.raises(RuleSetTooLarge):
-        tm.RuleBook(states)
+        tm.RuleBook.from_frame(frame)
+    assert rows(tm.rule_closure(tm.RuleBook(states), spark)) == closure
+    # attributes larger than a task takes are walked by joins
+    monkeypatch.setattr(rule_graph, "MAX_TASK_EDGES", 4)
+    monkeypatch.setattr(rule_graph, "MAX_TASK_CLOSURE_EDGES", 4)
+    assert rows(tm.rule_closure(frame)) == closure
+    assert rows(tm.rule_rank(frame)) == ranks
 
 
 def test_many_closure_pairs_are_not_listed_on_the_driver(spark, monkeypatch):

@@ -8,26 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.histogram import (
+    _latest_by_joins,
+    _value_counts,
     code_bit,
     coded,
     coded_wide,
+    edge_table,
     edges_by_joins,
-    latest_values,
     long_array,
     long_text,
     maskable,
     presence,
     shares,
-    value_counts,
     word,
     words_of,
 )
-from tidemark.operators.rule_graph import (
-    AttributeOrder,
-    RuleBook,
-    compile_rules,
-    rule_edges,
-)
+from tidemark.operators.names import distinct_names, entity, inner_keys, neutral, unpacked
+from tidemark.operators.rule_graph import AttributeOrder, RuleBook, rules_in_use
 from tidemark.session import materialize
 
 # Attributes with at most this many ruled values are counted in plain columns,
@@ -56,20 +53,19 @@ def hsq(
 
 def _scored(score, metric: str, df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules) -> DataFrame:
     # Neutral key names, so that keys cannot collide with working columns.
-    inner = [f"_k{i}" for i in range(len(keys))]
-    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, inner)], *dict.fromkeys(attributes))
-    scores = score(narrow, inner, attributes, rules)
-    return scores.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, inner)], *[f"{a}_{metric}" for a in attributes]
-    )
+    columns = [f"{a}_{metric}" for a in attributes]
+    distinct_names([*keys, *columns])
+    inner = inner_keys(keys)
+    narrow = neutral(df, keys, **{a: a for a in dict.fromkeys(attributes)})
+    scores = score(narrow, inner, attributes, rules_in_use(rules, attributes, df.sparkSession))
+    return scores.select(*[F.col(n).alias(k) for k, n in zip(keys, inner)], *columns)
 
 
 def _cvq(
-    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook | DataFrame
 ) -> DataFrame:
-    book = compile_rules(rules)
     if not maskable(book, attributes):
-        return _cvq_by_joins(df, keys, attributes, book or rules)
+        return _cvq_by_joins(df, keys, attributes, edge_table(book, df))
     if max(len(book.order(a)) for a in attributes) <= MAX_COUNTED_VALUES:
         return _cvq_counted(df, keys, attributes, book)
     return _cvq_collected(df, keys, attributes, book)
@@ -150,9 +146,9 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def _cvq_by_joins(
-    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
 ) -> DataFrame:
-    latest = latest_values(df, keys, attributes, rules)
+    latest = _latest_by_joins(df, keys, attributes, edges)
     long = latest.groupBy(*keys, "attribute").agg(_ratio(F.min("cnt"), F.sum("cnt")).alias("score"))
     return _widen(df, long, keys, attributes, "cvq")
 
@@ -170,11 +166,10 @@ def _widen(df: DataFrame, long: DataFrame, keys: Sequence[str], attributes: Sequ
 
 
 def _hsq(
-    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook | DataFrame
 ) -> DataFrame:
-    book = compile_rules(rules)
     if not maskable(book, attributes):
-        return _hsq_by_joins(df, keys, attributes, book or rules)
+        return _hsq_by_joins(df, keys, attributes, edge_table(book, df))
     masks = presence(df, keys, attributes, book)
     scores = []
     for i, a in enumerate(attributes):
@@ -238,28 +233,29 @@ def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
 
 
 def _hsq_by_joins(
-    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
 ) -> DataFrame:
     """Chain lengths by relaxation over each entity's bridged edges.
 
     A chain of present values is a path of bridged edges, so the closure, which
     may be far larger, is not needed.
     """
-    edges = rule_edges(rules if isinstance(rules, DataFrame) else rules.frame(df.sparkSession))
-    counts = materialize(value_counts(df, keys, attributes))
+    counts = materialize(_value_counts(df, keys, attributes))
     links = materialize(edges_by_joins(counts, keys, edges))
-    depth = counts.select(*keys, "attribute", "value").withColumn("depth", F.lit(1))
+    links = links.select(entity(keys).alias("_e"), "attribute", "src", "dst")
+    depth = counts.select(entity(keys).alias("_e"), "attribute", "value").withColumn("depth", F.lit(1))
     reached = None
-    while True:
+    while True:  # the rules are acyclic, so depths stop growing
         total = depth.agg(F.sum("depth")).first()[0]
         if total == reached:
             break
         reached = total
-        grown = links.join(
-            depth.withColumnRenamed("value", "src"), [*keys, "attribute", "src"]
-        ).select(*keys, "attribute", F.col("dst").alias("value"), (F.col("depth") + 1).alias("depth"))
+        grown = links.join(depth.withColumnRenamed("value", "src"), ["_e", "attribute", "src"]).select(
+            "_e", "attribute", F.col("dst").alias("value"), (F.col("depth") + 1).alias("depth")
+        )
         depth = materialize(
-            depth.unionByName(grown).groupBy(*keys, "attribute", "value").agg(F.max("depth").alias("depth"))
+            depth.unionByName(grown).groupBy("_e", "attribute", "value").agg(F.max("depth").alias("depth"))
         )
+    depth = depth.select(*unpacked(keys), "attribute", "depth")
     long = depth.groupBy(*keys, "attribute").agg(_ratio(F.max("depth"), F.count("*")).alias("score"))
     return _widen(df, long, keys, attributes, "hsq")

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.names import distinct_names, entity, given, inner_keys, neutral, unpacked
 from tidemark.operators.rule_graph import (
     AttributeOrder,
     RuleBook,
     _bits,
-    compile_rules,
-    rule_closure,
     rule_edges,
+    rules_in_use,
+    small,
 )
 from tidemark.session import materialize
 
@@ -43,10 +44,23 @@ def tall(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], carry: S
     return melted.select(*ids, names[F.col("_slot")].alias("attribute"), "value")
 
 
+def _narrow(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], vid: str | None = None) -> DataFrame:
+    return neutral(df, keys, **{a: a for a in dict.fromkeys(attributes)}, _vid=vid)
+
+
 def value_counts(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], vid: str | None = None
 ) -> DataFrame:
     """Rows per (entity, attribute, value), with one sample version if ``vid`` is given."""
+    out = ["attribute", "value", "cnt", *(["sample_vid"] if vid else [])]
+    distinct_names([*keys, *out])
+    counts = _value_counts(_narrow(df, keys, attributes, vid), inner_keys(keys), attributes, "_vid" if vid else None)
+    return given(counts, keys, {c: c for c in out})
+
+
+def _value_counts(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], vid: str | None = None
+) -> DataFrame:
     sample = [F.min(vid).alias("sample_vid")] if vid else []
     return (
         tall(df, keys, attributes, [vid] if vid else [])
@@ -62,12 +76,15 @@ def value_versions(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]
     A value may be held by any number of versions, so the set stays a relation
     rather than one array.
     """
-    return (
-        tall(df, keys, attributes, [vid])
+    distinct_names([*keys, "attribute", "value", vid])
+    inner = inner_keys(keys)
+    rows = (
+        tall(_narrow(df, keys, attributes, vid), inner, attributes, ["_vid"])
         .filter(F.col("value").isNotNull())
-        .select(*keys, "attribute", "value", vid)
+        .select(*inner, "attribute", "value", "_vid")
         .distinct()
     )
+    return given(rows, keys, {"attribute": "attribute", "value": "value", "_vid": vid})
 
 
 # --- bit masks over the values of one attribute ------------------------------
@@ -108,8 +125,8 @@ def shares(left: Sequence[str], right: Sequence[str]) -> str:
     return "((" + " | ".join(f"({a} & {b})" for a, b in zip(left, right)) + ") <> 0)"
 
 
-def maskable(book: RuleBook | None, attributes: Sequence[str]) -> bool:
-    return book is not None and all(len(book.order(a)) <= MAX_MASK_VALUES for a in attributes)
+def maskable(book: RuleBook | DataFrame, attributes: Sequence[str]) -> bool:
+    return isinstance(book, RuleBook) and all(len(book.order(a)) <= MAX_MASK_VALUES for a in attributes)
 
 
 def coded(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
@@ -187,10 +204,17 @@ def latest_values(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], rules: RuleBook | DataFrame
 ) -> DataFrame:
     """Values with no newer value in the same entity: ``keys, attribute, value, cnt``."""
-    counts = value_counts(df, keys, attributes)
-    book = compile_rules(rules)
+    distinct_names([*keys, "attribute", "value", "cnt"])
+    used = rules_in_use(rules, attributes, df.sparkSession)
+    latest = _latest_values(_narrow(df, keys, attributes), inner_keys(keys), attributes, used)
+    return given(latest, keys, {c: c for c in ("attribute", "value", "cnt")})
+
+
+def _latest_values(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook | DataFrame
+) -> DataFrame:
     if not maskable(book, attributes):
-        return _latest_by_joins(counts, keys, rule_closure(book or rules, df.sparkSession))
+        return _latest_by_joins(df, keys, attributes, edge_table(book, df))
 
     # A window per (entity, attribute, odd value): at most one row per ruled value,
     # and values outside the rules stay alone, so no window is large.
@@ -216,16 +240,22 @@ def latest_values(
     )
 
 
-def _latest_by_joins(counts: DataFrame, keys: Sequence[str], closure: DataFrame) -> DataFrame:
-    dominated = (
-        counts.join(
-            closure.select("attribute", "src", F.col("dst").alias("value")), ["attribute", "value"]
-        )
-        .select(*keys, "attribute", F.col("src").alias("value"))
-        .distinct()
-    )
-    return counts.join(dominated, [*keys, "attribute", "value"], "left_anti").select(
-        *keys, "attribute", "value", "cnt"
+def edge_table(rules: RuleBook | DataFrame, df: DataFrame) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else materialize(rule_edges(rules.frame(df.sparkSession)))
+
+
+def _latest_by_joins(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
+) -> DataFrame:
+    # A value has a newer one in its entity exactly if a bridged edge leaves it, so only edges
+    # next to present values are walked and no closure is needed.
+    counts = materialize(_value_counts(df, keys, attributes))
+    links = edges_by_joins(counts, keys, edges)
+    old = links.select(entity(keys).alias("_e"), "attribute", F.col("src").alias("value")).distinct()
+    return (
+        counts.withColumn("_e", entity(keys))
+        .join(old, ["_e", "attribute", "value"], "left_anti")
+        .select(*keys, "attribute", "value", "cnt")
     )
 
 
@@ -237,10 +267,17 @@ def present_edges(
     An edge joins two present values connected by a rule path on which every
     value in between is absent. Columns ``keys, attribute, src, dst``.
     """
-    book = compile_rules(rules)
+    distinct_names([*keys, "attribute", "src", "dst"])
+    used = rules_in_use(rules, attributes, df.sparkSession)
+    edges = _present_edges(_narrow(df, keys, attributes), inner_keys(keys), attributes, used)
+    return given(edges, keys, {c: c for c in ("attribute", "src", "dst")})
+
+
+def _present_edges(
+    df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook | DataFrame
+) -> DataFrame:
     if not maskable(book, attributes):
-        edges = rule_edges(rules if isinstance(rules, DataFrame) else book.frame(df.sparkSession))
-        return edges_by_joins(value_counts(df, keys, attributes), keys, edges)
+        return edges_by_joins(materialize(_value_counts(df, keys, attributes)), keys, edge_table(book, df))
     masks = presence(df, keys, attributes, book)
     orders = [(a, book.order(a)) for a in attributes]
     schema = T.StructType(
@@ -322,24 +359,27 @@ def presence(
 
 
 def edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
-    """Frontier walk: leave a present value, pass through absent ones, stop at present ones."""
-    here = counts.select(*keys, "attribute", "value")
-    steps = edges.select("attribute", F.col("src").alias("at"), "dst")
-    frontier = here.select(*keys, "attribute", F.col("value").alias("src"), F.col("value").alias("at"))
-    seen = None
+    """Frontier walk: leave a present value, pass through absent ones, stop at present ones.
+
+    ``counts`` and ``edges`` are materialized; edges are broadcast if measured small. Every
+    round keeps what is new in a table of its own.
+    """
+    here = counts.select(entity(keys).alias("_e"), "attribute", "value")
+    steps = small(edges.select("attribute", F.col("src").alias("at"), "dst"))
+    frontier = here.select("_e", "attribute", F.col("value").alias("src"), F.col("value").alias("at"))
+    at = here.withColumnRenamed("value", "dst")
+    rounds: list[DataFrame] = []
     found = None
     while True:
-        reached = frontier.join(steps, ["attribute", "at"]).select(*keys, "attribute", "src", "dst").distinct()
-        if seen is not None:
-            reached = reached.join(seen, [*keys, "attribute", "src", "dst"], "left_anti")
+        reached = frontier.join(steps, ["attribute", "at"]).select("_e", "attribute", "src", "dst").distinct()
+        for seen in rounds:
+            reached = reached.join(seen, ["_e", "attribute", "src", "dst"], "left_anti")
         reached = materialize(reached)
         if reached.isEmpty():
             break
-        seen = reached if seen is None else materialize(seen.unionByName(reached))
-        at = here.withColumnRenamed("value", "dst")
-        hits = reached.join(at, [*keys, "attribute", "dst"], "left_semi")
+        rounds.append(reached)
+        hits = reached.join(at, ["_e", "attribute", "dst"], "left_semi")
         found = hits if found is None else found.unionByName(hits)
-        frontier = reached.join(at, [*keys, "attribute", "dst"], "left_anti").withColumnRenamed("dst", "at")
-    if found is None:
-        found = reached
-    return found.select(*keys, "attribute", "src", "dst").distinct()
+        frontier = reached.join(at, ["_e", "attribute", "dst"], "left_anti").withColumnRenamed("dst", "at")
+    found = reached if found is None else found
+    return found.distinct().select(*unpacked(keys), "attribute", "src", "dst")

@@ -4,21 +4,22 @@ A rule table has the columns ``attribute, src, dst, kind``; ``src`` is the older
 value. ``kind`` is ``state`` (an edge of the graph) or ``monotone`` (a declared
 direction that orders no values, so it contributes no edge).
 
-Rule sets of ordinary size become a :class:`RuleBook`, compiled on the driver
-once and shipped to tasks. Larger ones stay DataFrames: :func:`rule_closure` and
-:func:`rule_rank` then run as joins.
+Rules of the attributes in use, if of ordinary size, become a :class:`RuleBook`, compiled
+on the driver once and shipped to tasks. Larger ones stay DataFrames: attributes are then
+compiled one by one in tasks, and an attribute too large for a task is walked by joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.skew import row_numbers
+from tidemark.operators.skew import bytes_of, row_numbers
 from tidemark.session import materialize, small_frame
 
 RULE_SCHEMA = T.StructType(
@@ -36,6 +37,11 @@ RANK_SCHEMA = "attribute string, value string, level int, rank int"
 # they also bound every broadcast of rules.
 MAX_DRIVER_EDGES = 10_000
 MAX_DRIVER_PAIRS = 200_000
+# Largest edge count of one attribute that a task sorts, and of which it lists the closure.
+MAX_TASK_EDGES = 500_000
+MAX_TASK_CLOSURE_EDGES = 2_000
+# A rule frame of this measured size is broadcast to the rows.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 class RuleSetTooLarge(ValueError):
@@ -67,7 +73,8 @@ def _bits(mask: int) -> Iterable[int]:
         mask ^= low
 
 
-def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrder:
+def _levels_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> tuple[dict[str, int], dict[str, set[str]]]:
+    """Longest path that ends in each value, and the successors of each value."""
     successors: dict[str, set[str]] = {}
     waiting: dict[str, int] = {}
     for src, dst in set(pairs):
@@ -87,7 +94,11 @@ def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrde
                 ready.append(nxt)
     if placed != len(successors):
         raise ValueError(f"rules of attribute {attribute!r} form a cycle")
+    return level, successors
+
 
+def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrder:
+    level, successors = _levels_of(attribute, pairs)
     values = tuple(sorted(level, key=lambda v: (level[v], v)))
     index = {v: i for i, v in enumerate(values)}
     parents = [0] * len(values)
@@ -107,8 +118,25 @@ def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrde
     )
 
 
+def _longest_paths(order: AttributeOrder) -> Iterable[tuple[int, int, int]]:
+    """(older index, newer index, edges on the longest path between them)."""
+    hops: list[dict[int, int]] = []
+    for i in range(len(order)):
+        best: dict[int, int] = {}
+        for p in _bits(order.parents[i]):
+            best[p] = max(best.get(p, 1), 1)
+            for o, n in hops[p].items():
+                best[o] = max(best.get(o, 0), n + 1)
+        hops.append(best)
+        yield from ((o, i, n) for o, n in best.items())
+
+
 class RuleBook:
-    """Compiled rules of any number of attributes, small enough for the driver."""
+    """Rules of any number of attributes, held by the driver and checked for cycles.
+
+    Books of up to ``MAX_DRIVER_EDGES`` edges are compiled at once; of larger ones the
+    attributes in use may still be (see :meth:`only`).
+    """
 
     def __init__(
         self,
@@ -117,15 +145,21 @@ class RuleBook:
     ):
         self.states = {a: tuple(dict.fromkeys(map(tuple, p))) for a, p in states.items()}
         self.monotone = dict(monotone or {})
-        edges = sum(map(len, self.states.values()))
-        if edges > MAX_DRIVER_EDGES:
-            raise RuleSetTooLarge(f"{edges} rule edges; the driver compiles {MAX_DRIVER_EDGES}")
-        self._orders = {a: _order_of(a, p) for a, p in self.states.items()}
+        self.edges = sum(map(len, self.states.values()))
+        self._orders: dict[str, AttributeOrder] = {}
+        for attribute, pairs in self.states.items():
+            if self.edges <= MAX_DRIVER_EDGES:
+                self._orders[attribute] = _order_of(attribute, pairs)
+            else:
+                _levels_of(attribute, pairs)
 
     @classmethod
-    def from_frame(cls, rules: DataFrame) -> RuleBook:
-        """Collect a rule table, refusing more than ``MAX_DRIVER_EDGES`` edges."""
-        rows = _with_kind(rules).distinct().limit(MAX_DRIVER_EDGES + 1).collect()
+    def from_frame(cls, rules: DataFrame, attributes: Sequence[str] | None = None) -> RuleBook:
+        """Collect a rule table, or its rules of some attributes; no more than ``MAX_DRIVER_EDGES`` edges."""
+        table = _with_kind(rules)
+        if attributes is not None:
+            table = table.filter(F.col("attribute").isin(list(attributes)))
+        rows = table.distinct().limit(MAX_DRIVER_EDGES + 1).collect()
         if len(rows) > MAX_DRIVER_EDGES:
             raise RuleSetTooLarge(f"more than {MAX_DRIVER_EDGES} rule edges")
         states: dict[str, list[tuple[str, str]]] = {}
@@ -137,12 +171,23 @@ class RuleBook:
                 states.setdefault(r["attribute"], []).append((r["src"], r["dst"]))
         return cls(states, monotone)
 
+    def only(self, attributes: Sequence[str]) -> RuleBook:
+        """The rules of some attributes."""
+        if set(self.states) <= set(attributes):
+            return self
+        return RuleBook(
+            {a: p for a, p in self.states.items() if a in attributes},
+            {a: p for a, p in self.monotone.items() if a in attributes},
+        )
+
     def order(self, attribute: str) -> AttributeOrder:
         """Order of an attribute; empty (nothing comparable) without state rules."""
-        return self._orders.get(attribute) or _order_of(attribute, ())
+        if attribute not in self._orders:
+            self._orders[attribute] = _order_of(attribute, self.states.get(attribute, ()))
+        return self._orders[attribute]
 
     def closure_pairs(self) -> int:
-        return sum(mask.bit_count() for order in self._orders.values() for mask in order.older)
+        return sum(mask.bit_count() for a in self.states for mask in self.order(a).older)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(a, s, d, "state") for a, pairs in self.states.items() for s, d in pairs]
@@ -158,22 +203,15 @@ class RuleBook:
 
     def closure(self, spark: SparkSession) -> DataFrame:
         rows = []
-        for a, order in self._orders.items():
-            hops: list[dict[int, int]] = []  # longest path from each older value
-            for i in range(len(order)):
-                best: dict[int, int] = {}
-                for p in _bits(order.parents[i]):
-                    best[p] = max(best.get(p, 1), 1)
-                    for o, n in hops[p].items():
-                        best[o] = max(best.get(o, 0), n + 1)
-                hops.append(best)
-                rows += [(a, order.values[o], order.values[i], n) for o, n in best.items()]
+        for a in self.states:
+            order = self.order(a)
+            rows += [(a, order.values[o], order.values[i], n) for o, i, n in _longest_paths(order)]
         return small_frame(spark, rows, CLOSURE_SCHEMA)
 
     def ranks(self, spark: SparkSession) -> DataFrame:
         rows = [
             (a, v, order.levels[i], i + 1)
-            for a, order in self._orders.items()
+            for a, order in ((a, self.order(a)) for a in self.states)
             for i, v in enumerate(order.values)
         ]
         return small_frame(spark, rows, RANK_SCHEMA)
@@ -192,16 +230,124 @@ def rule_edges(rules: DataFrame, attribute: str | None = None) -> DataFrame:
     return edges.select("attribute", "src", "dst").distinct()
 
 
-def compile_rules(rules: RuleBook | DataFrame | Mapping) -> RuleBook | None:
-    """A RuleBook for driver-sized rules, None when they must stay distributed."""
-    if isinstance(rules, RuleBook):
-        return rules
-    try:
-        return RuleBook.from_frame(rules) if isinstance(rules, DataFrame) else RuleBook(rules)
-    except RuleSetTooLarge:
-        if isinstance(rules, DataFrame):
+def compile_rules(
+    rules: RuleBook | DataFrame | Mapping, attributes: Sequence[str] | None = None
+) -> RuleBook | None:
+    """A RuleBook for driver-sized rules (of ``attributes``, if given), None when they must stay distributed."""
+    if isinstance(rules, DataFrame):
+        try:
+            return RuleBook.from_frame(rules, attributes)
+        except RuleSetTooLarge:
             return None
-        raise
+    book = rules if isinstance(rules, RuleBook) else RuleBook(rules)
+    book = book if attributes is None else book.only(attributes)
+    return book if book.edges <= MAX_DRIVER_EDGES else None
+
+
+def rules_in_use(
+    rules: RuleBook | DataFrame, attributes: Sequence[str], spark: SparkSession
+) -> RuleBook | DataFrame:
+    """The rules of some attributes, compiled, or as a materialized table of state edges if there
+    are too many. Cyclic rules raise ValueError either way."""
+    book = compile_rules(rules, attributes)
+    if book is not None:
+        return book
+    frame = rules.frame(spark) if isinstance(rules, RuleBook) else rules
+    edges = materialize(rule_edges(frame).filter(F.col("attribute").isin(list(attributes))))
+    check_acyclic(edges)
+    return edges
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """``frame``, marked for a broadcast if its measured size allows it."""
+    return F.broadcast(frame) if bytes_of(frame) <= MAX_BROADCAST_BYTES else frame
+
+
+def _by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of the attributes with up to ``most`` edges, and of the others (None if there are none)."""
+    sizes = edges.groupBy("attribute").agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        return edges, None
+    large = sizes.filter(F.col("_n") > most).select("attribute")
+    return edges.join(large, "attribute", "left_anti"), materialize(edges.join(large, "attribute", "left_semi"))
+
+
+def _pairs(table: pa.Table) -> tuple[str, list[tuple[str, str]]]:
+    pairs = list(zip(table.column("src").to_pylist(), table.column("dst").to_pylist()))
+    return table.column("attribute")[0].as_py(), pairs
+
+
+def _task_ranks(table: pa.Table) -> pa.Table:
+    attribute, pairs = _pairs(table)
+    try:
+        level, _ = _levels_of(attribute, pairs)
+    except ValueError:  # told by a row, so that the driver raises it
+        return pa.table({"attribute": [attribute], "value": pa.array([None], pa.string()), "level": pa.array([-1], pa.int32()), "rank": pa.array([-1], pa.int32())})
+    values = sorted(level, key=lambda v: (level[v], v))
+    return pa.table(
+        {
+            "attribute": pa.array([attribute] * len(values), pa.string()),
+            "value": pa.array(values, pa.string()),
+            "level": pa.array([level[v] for v in values], pa.int32()),
+            "rank": pa.array(range(1, len(values) + 1), pa.int32()),
+        }
+    )
+
+
+def _task_closure(table: pa.Table) -> pa.Table:
+    attribute, pairs = _pairs(table)
+    order = _order_of(attribute, pairs)
+    found = list(_longest_paths(order))
+    return pa.table(
+        {
+            "attribute": pa.array([attribute] * len(found), pa.string()),
+            "src": pa.array([order.values[o] for o, _, _ in found], pa.string()),
+            "dst": pa.array([order.values[i] for _, i, _ in found], pa.string()),
+            "hops": pa.array([n for _, _, n in found], pa.int32()),
+        }
+    )
+
+
+def _distributed_ranks(edges: DataFrame) -> DataFrame:
+    """Ranks of a materialized edge table; raises ValueError on cycles."""
+    ordinary, large = _by_size(edges, MAX_TASK_EDGES)
+    ranks = materialize(ordinary.groupBy("attribute").applyInArrow(_task_ranks, RANK_SCHEMA))
+    bad = ranks.filter("rank < 0").first()
+    if bad is not None:
+        raise ValueError(f"rules of attribute {bad['attribute']!r} form a cycle")
+    if large is None:
+        return ranks
+    levels = _levels_by_joins(large)
+    ranked = row_numbers(levels, ["attribute"], [F.col("level"), F.col("value")], "rank")
+    return ranks.unionByName(
+        ranked.select("attribute", "value", F.col("level").cast("int"), F.col("rank").cast("int"))
+    )
+
+
+def _levels_by_joins(edges: DataFrame) -> DataFrame:
+    """Peel off the values without an older one, round by round: the round is the level."""
+    done, left, level = None, edges, 0
+    ends = edges.select("attribute", F.col("src").alias("value")).union(edges.select("attribute", "dst")).distinct()
+    rest = materialize(ends)
+    while True:
+        free = materialize(
+            rest.join(left.select("attribute", F.col("dst").alias("value")).distinct(), ["attribute", "value"], "left_anti")
+        )
+        if free.isEmpty():
+            if rest.isEmpty():
+                return done
+            raise ValueError("rules form a cycle")
+        here = free.withColumn("level", F.lit(level))
+        done = here if done is None else done.unionByName(here)
+        gone = free.withColumnRenamed("value", "src")
+        left = materialize(left.join(gone, ["attribute", "src"], "left_anti"))
+        rest = materialize(rest.join(free, ["attribute", "value"], "left_anti"))
+        level += 1
+
+
+def check_acyclic(edges: DataFrame) -> None:
+    """Raise ValueError if an edge table of any size has a cycle."""
+    _distributed_ranks(edges)
 
 
 def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -210,12 +356,23 @@ def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None)
     Columns ``attribute, src, dst, hops``. Raises ValueError on cyclic rules.
     """
     book = compile_rules(rules)
-    if book is None:
-        return _closure_by_joins(rule_edges(rules))
-    spark = spark or rules.sparkSession
-    if book.closure_pairs() > MAX_DRIVER_PAIRS:
-        return _closure_by_joins(rule_edges(book.frame(spark)))
-    return book.closure(spark)
+    if book is not None:
+        spark = spark or rules.sparkSession
+        if book.closure_pairs() <= MAX_DRIVER_PAIRS:
+            return book.closure(spark)
+        rules = book
+    if not isinstance(rules, DataFrame):
+        rules = rules.frame(spark)
+    edges = materialize(rule_edges(rules))
+    check_acyclic(edges)
+    return _closure_of(edges)
+
+
+def _closure_of(edges: DataFrame) -> DataFrame:
+    """Closure of a materialized acyclic edge table."""
+    ordinary, large = _by_size(edges, MAX_TASK_CLOSURE_EDGES)
+    pairs = ordinary.groupBy("attribute").applyInArrow(_task_closure, CLOSURE_SCHEMA)
+    return pairs if large is None else pairs.unionByName(_closure_by_joins(large))
 
 
 def _closure_by_joins(edges: DataFrame) -> DataFrame:
@@ -258,9 +415,7 @@ def _closure_by_joins(edges: DataFrame) -> DataFrame:
 
 
 def rule_rank(
-    rules: RuleBook | DataFrame,
-    spark: SparkSession | None = None,
-    closure: DataFrame | None = None,
+    rules: RuleBook | DataFrame, spark: SparkSession | None = None
 ) -> DataFrame:
     """Linear extension of each attribute: ``attribute, value, level, rank``.
 
@@ -270,12 +425,9 @@ def rule_rank(
     book = compile_rules(rules)
     if book is not None:
         return book.ranks(spark or rules.sparkSession)
-    closure = _closure_by_joins(rule_edges(rules)) if closure is None else closure
-    roots = closure.select("attribute", F.col("src").alias("value"), F.lit(0).alias("level"))
-    reached = closure.select("attribute", F.col("dst").alias("value"), F.col("hops").alias("level"))
-    levels = roots.unionByName(reached).groupBy("attribute", "value").agg(F.max("level").alias("level"))
-    ranked = row_numbers(levels, ["attribute"], [F.col("level"), F.col("value")], "rank")
-    return ranked.select("attribute", "value", F.col("level").cast("int"), F.col("rank").cast("int"))
+    if not isinstance(rules, DataFrame):
+        rules = rules.frame(spark)
+    return _distributed_ranks(materialize(rule_edges(rules)))
 
 
 def relation(
@@ -287,11 +439,13 @@ def relation(
     name: str = "relation",
 ) -> DataFrame:
     """Add ``<``, ``>`` or ``<>``: is ``left`` older than, newer than or incomparable to ``right``."""
-    book = compile_rules(rules)
-    closure = rule_closure(book or rules, df.sparkSession)
-    closure = closure.filter(F.col("attribute") == attribute).select("src", "dst")
-    if book is not None and book.closure_pairs() <= MAX_DRIVER_PAIRS:
-        closure = F.broadcast(closure)
+    used = rules_in_use(rules, [attribute], df.sparkSession)
+    if isinstance(used, RuleBook) and used.closure_pairs() <= MAX_DRIVER_PAIRS:
+        closure = F.broadcast(used.closure(df.sparkSession))
+    else:
+        edges = used if isinstance(used, DataFrame) else rule_edges(used.frame(df.sparkSession))
+        closure = small(materialize(_closure_of(materialize(edges))))
+    closure = closure.filter(F.col("attribute") == attribute)
     forward = closure.select(F.col("src").alias("_fs"), F.col("dst").alias("_fd"), F.lit(True).alias("_fwd"))
     backward = closure.select(F.col("src").alias("_bs"), F.col("dst").alias("_bd"), F.lit(True).alias("_bwd"))
     lhs, rhs = F.col(left).cast("string"), F.col(right).cast("string")

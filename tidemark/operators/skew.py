@@ -10,13 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
 # A window partition above this many rows is cut into slices.
 MAX_GROUP_ROWS = 5_000_000
-MAX_LARGE_GROUPS = 10_000
-MAX_SLICES = 4_096
 # A run is hot when it holds more than 1/MAX_HOT_RUNS of all rows, so there are
 # fewer than MAX_HOT_RUNS hot runs whatever the data: safe to broadcast.
 MAX_HOT_RUNS = 1_000
@@ -32,6 +31,19 @@ def same_keys(keys: Sequence[str], prefix: str) -> Column:
     return condition
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Size of a materialized table: the lengths of texts and binaries, of other values without a
+    fixed width the length of their JSON, and eight bytes per field."""
+    row = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.VarcharType, T.CharType, T.BinaryType)):
+            row = row + F.coalesce(F.octet_length(column), F.lit(0))
+        elif not isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.DayTimeIntervalType)):
+            row = row + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest group. Reads only the key columns, counts map-side."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -43,22 +55,20 @@ def split_groups(
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """``df`` as (rows of ordinary groups, rows of large groups or None, large row count).
 
-    A group is large above ``limit`` rows and above 1/MAX_LARGE_GROUPS of all
-    rows. The second bound keeps the list of large groups short whatever the
-    data, so it can be broadcast.
+    A group is large above ``limit`` rows, whatever the size of the table. The list of
+    large groups is joined by key; Spark broadcasts it while it is short.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     stats = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    bound = max(limit, (stats["total"] or 0) // MAX_LARGE_GROUPS)
-    if (stats["largest"] or 0) <= bound:
+    if (stats["largest"] or 0) <= limit:
         return df, None, 0
     if not keys:
         return df.limit(0), df, stats["total"]
     large = materialize(
-        sizes.filter(F.col("_n") > bound).select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n")
+        sizes.filter(F.col("_n") > limit).select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n")
     )
     rows = large.agg(F.sum("_n")).first()[0]
-    large = F.broadcast(large.drop("_n"))
+    large = large.drop("_n")
     same = same_keys(keys, "_g_")
     return df.join(large, same, "left_anti"), df.join(large, same, "left_semi"), rows
 
@@ -69,10 +79,9 @@ def slices(
     """Range-partition ``total`` rows by (keys, order) into sorted slices of about ``rows`` rows.
 
     Adds ``_slice``, which grows along the order. The result is materialized, so
-    slice numbers stay the same when tasks are retried. Above MAX_SLICES slices
-    the slices get longer instead.
+    slice numbers stay the same when tasks are retried.
     """
-    parts = min(MAX_SLICES, max(2, -(-total // max(1, rows))))
+    parts = max(2, -(-total // max(1, rows)))
     by = [F.col(k) for k in keys] + list(order)
     cut = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     return materialize(cut.withColumn("_slice", F.spark_partition_id()))
@@ -103,7 +112,7 @@ def row_numbers(
 def _number_slices(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], name: str
 ) -> DataFrame:
-    # At most one row per slice and per large group: a short table.
+    # At most one row per slice and per large group: a short table, which Spark broadcasts.
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
@@ -118,7 +127,7 @@ def _number_slices(
     return (
         sliced.withColumn("_inside", F.row_number().over(inside))
         .join(
-            F.broadcast(offsets), (F.col("_slice") == F.col("_o_slice")) & same_keys(keys, "_o_")
+            offsets, (F.col("_slice") == F.col("_o_slice")) & same_keys(keys, "_o_")
         )
         .select(*columns, (F.col("_inside") + F.col("_offset")).alias(name))
     )
