@@ -187,8 +187,9 @@ def test_ranks_by_distributed_rules(spark, monkeypatch):
     want = {tuple(r) for r in tm.static_rank(df, "ref", tm.RuleBook(pairs)).collect()}
     monkeypatch.setattr(rule_graph, "MAX_DRIVER_EDGES", 0)
     assert {tuple(r) for r in tm.static_rank(df, "ref", frame_rules).collect()} == want
-    with pytest.raises(ValueError, match="driver"):
-        tm.repair(df, *ARGS, frame_rules)
+    for compress in (False, True):
+        fixed = tm.repair(df, *ARGS, frame_rules, compress_runs=compress)
+        assert values(fixed) == expected(data, pairs, compress)
 
 
 def test_repair_never_shuffles_rows_when_few_runs_change(spark):

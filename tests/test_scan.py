@@ -13,7 +13,7 @@ from tidemark.operators.repair_scan import (
     canonical,
     relations_of,
     scan_stream,
-    slice_summary,
+    slice_summaries,
     walk,
 )
 from tidemark.operators.rule_graph import _order_of
@@ -131,7 +131,7 @@ def test_slices_chain_to_the_whole():
             coming = cuts[k + 1][0][0] if k + 1 < len(cuts) else NONE
             entries.append((state, coming))
             tagged = (b.append_column("_slice", pa.array([k] * b.num_rows, pa.int32())) for b in batches_of([("e", part)], iter([3, 3, 3, 3])))
-            summary = slice_summary(tagged, ["eid"], relations, state, coming)
+            summary = slice_summaries(tagged, ["eid"], relations, [State(0, True, 0, 0), state], coming)[1]
             blames.append(summary["blame"])
             state = State(int(summary["window"]), summary["lag"], summary["previous"], summary["current"])
         for k, part in enumerate(cuts):

@@ -1,5 +1,9 @@
 """Data currency of versioned tables on Spark: scores, error detection, repair."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from tidemark.functions import average_score, combine_scores, entity_filter
 from tidemark.operators.determine import cvq, hsq
 from tidemark.operators.histogram import (
@@ -58,3 +62,6 @@ __all__ = [
     "value_counts",
     "value_versions",
 ]
+
+# Functions sent to executors carry the library's code with them, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -203,53 +203,58 @@ def scan_stream(
         yield from emit(held, bodies, ([NONE] * done + blames)[1:n] + [tail_blame])
 
 
-def slice_summary(
+def slice_summaries(
     batches: Iterator[pa.RecordBatch],
     keys: Sequence[str],
     relations: Relations,
-    entry: State | None,
+    entries: Sequence[State | None],
     coming: int,
-) -> dict | None:
-    """What neighbours need to know about a slice: its ends, exit state and first blame."""
-    state = entry or State(0, False, 0, 0)
-    held: pa.Table | None = None
-    first_row = None
-    blame = NONE
+) -> list[dict]:
+    """Per entry state what neighbours need to know about a slice: its exit and its first blame.
+
+    The slice is read once; entries that have come to the same state go on as one.
+    """
+    states = [entry or State(0, False, 0, 0) for entry in entries]
+    fresh = [entry is None for entry in entries]
+    blames = [NONE] * len(entries)
     first = True
+    held: tuple[int, int] | None = None  # code and votes of the last row read
+    start = False
+    last: pa.Table | None = None
 
     def scan(codes, votes, starts, following):
-        nonlocal state, blame, first
-        _, blames, state = walk(codes, votes, starts, following, relations, state)
-        if first and blames:
-            blame, first = blames[0], False
+        nonlocal first
+        done: dict[tuple[State, bool], tuple[int, State]] = {}
+        for k, state in enumerate(states):
+            begin = first and fresh[k]
+            same = (canonical(state, relations), begin)
+            if same not in done:
+                _, found, after = walk(codes, votes, [begin or starts[0], *starts[1:]], following, relations, state)
+                done[same] = (found[0], canonical(after, relations))
+            blame, states[k] = done[same]
+            if first:
+                blames[k] = blame
+        first = False
 
-    start = entry is None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        starts = [start, *entity_starts(table, keys)]
-        codes = table.column("_rep").to_pylist()
-        if first_row is None:
-            first_row = (table.select(list(keys)).slice(0, 1).to_pylist()[0], codes[0])
+        joined = table if last is None else pa.concat_tables([last, table])
+        inner = entity_starts(joined, keys)
+        codes, votes = table.column("_rep").to_pylist(), table.column("_votes").to_pylist()
+        if held is None:
+            starts = [False, *inner]
+        else:
+            codes, votes, starts = [held[0], *codes], [held[1], *votes], [start, *inner]
         following = [NONE if s else c for c, s in zip(codes[1:], starts[1:])]
-        scan(codes[:-1], table.column("_votes").to_pylist()[:-1], starts[:-1], following)
-        held = table.slice(table.num_rows - 1)
-        start = starts[-1]
+        if len(codes) > 1:
+            scan(codes[:-1], votes[:-1], starts[:-1], following)
+        held, start, last = (codes[-1], votes[-1]), starts[-1], table.slice(table.num_rows - 1)
     if held is None:
-        return None
-    scan(held.column("_rep").to_pylist(), held.column("_votes").to_pylist(), [start], [coming])
-    exit_ = canonical(state, relations)
-    return {
-        "slice": held.column("_slice").to_pylist()[0],
-        "first_key": repr(tuple(first_row[0].values())),
-        "last_key": repr(tuple(held.select(list(keys)).to_pylist()[0].values())),
-        "first_code": first_row[1],
-        "blame": blame,
-        "window": str(exit_.window),
-        "lag": exit_.lag,
-        "previous": exit_.previous,
-        "current": exit_.current,
-    }
+        return []
+    scan([held[0]], [held[1]], [start], [coming])
+    return [
+        {"blame": b, "window": str(s.window), "lag": s.lag, "previous": s.previous, "current": s.current}
+        for b, s in zip(blames, states)
+    ]

@@ -64,7 +64,7 @@ def repair_text_file(
     rules: RuleBook | DataFrame,
     key: str = "eId",
     vid: str = "vId",
-    files: int = 100,
+    files: int | None = None,
 ) -> None:
     """Repair a CSV table of text columns and write it back as CSV."""
     table = load_table(spark, source)
@@ -81,7 +81,7 @@ def repair_coded_file(
     rules: RuleBook | DataFrame,
     key: str = "eId",
     vid: str = "vId",
-    files: int = 100,
+    files: int | None = None,
 ) -> None:
     """Repair a CSV table with a fixed schema: one vote per run, cells joined back."""
     table = load_table(spark, source, schema)

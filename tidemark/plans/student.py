@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.rule_graph import RuleBook
 
+# Names, order and types of the coded input format.
 CODED_SCHEMA = T.StructType(
     [
         T.StructField("eId", T.ShortType(), False),
@@ -12,7 +13,7 @@ CODED_SCHEMA = T.StructType(
     ]
 )
 
-# Older code -> newer code, and the declared direction of age.
+# Older code -> newer code.
 GRADE_CODES = [
     ("1", "3"), ("2", "3"), ("3", "4"), ("3", "6"), ("4", "5"), ("5", "7"),
     ("6", "7"), ("7", "8"), ("7", "9"), ("8", "10"), ("9", "10"),
@@ -21,6 +22,7 @@ STATUS_CODES = [
     ("1", "2"), ("2", "3"), ("2", "6"), ("3", "4"), ("4", "5"), ("5", "8"),
     ("6", "7"), ("7", "8"), ("8", "9"), ("8", "10"),
 ]
+# Fixed value: the declared direction of age.
 AGE_DIRECTION = ("low", "high")
 # The same attributes as labels.
 GRADE_LABELS = [("HighSchool", "Bachelor"), ("Bachelor", "Master"), ("Master", "PHD"), ("PHD", "Graduate")]

@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", app: str = "tidemark") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # checkpoints go when the tables that need them do
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # small test tables: keep the work after a shuffle on all local cores

@@ -8,34 +8,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.rule_graph import RULE_SCHEMA, RuleBook
+from tidemark.operators.rule_graph import RULE_SCHEMA
+from tidemark.session import small_frame
+
+
+#: Marks null while reading, so that an empty field is null and a quoted empty one a text.
+NULL_MARK = "\ue000null\ue000"
 
 
 def load_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ","
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    sep: str = ",",
+    multiline: bool = False,
 ) -> DataFrame:
-    """A CSV table with a header line.
+    """A CSV table with a header line, as :func:`save_table` writes it.
 
-    With a schema, rows that do not fit it are an error. Without one, columns
-    take their names from the header and are all text; no data is read to guess
-    types.
+    Rows with too many or too few fields, or that do not fit the schema, are an error.
+    Without a schema, columns take their names from the header and are all text; no data is
+    read to guess types. An empty field is null, ``""`` an empty text; quotes inside a quoted
+    field are doubled. ``multiline`` allows line breaks in quoted fields, at the price
+    that a file is read by one task.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
+    options = {
+        "header": True,
+        "sep": sep,
+        "mode": "FAILFAST",
+        "nullValue": NULL_MARK,
+        "escape": '"',
+        "multiLine": multiline,
+        "columnPruning": False,  # a pruned row would not show that it is too short
+    }
+    reader = spark.read.options(**options)
     if schema is not None:
-        reader = reader.schema(schema).option("mode", "FAILFAST")
+        reader = reader.schema(schema)
     return reader.csv(path)
 
 
-def save_table(df: DataFrame, path: str, files: int | None = None, even: bool = True) -> None:
+def save_table(
+    df: DataFrame,
+    path: str,
+    files: int | None = None,
+    even: bool = True,
+    sep: str = ",",
+    multiline: bool = False,
+) -> None:
     """Write CSV with a header, replacing what is there.
 
-    ``files`` bounds the number of files. ``even`` reaches it with a round-robin
-    shuffle, which keeps the work before it parallel; otherwise partitions are
-    merged, which avoids the shuffle but runs the last stage in ``files`` tasks.
+    By default every partition becomes a file. ``files`` bounds their number: ``even``
+    reaches it with a round-robin shuffle, which keeps the work before it parallel; otherwise
+    partitions are merged, which avoids the shuffle but runs the last stage in ``files``
+    tasks. A text with a line break is an error unless ``multiline`` allows it, on reading too.
     """
+    if not multiline:
+        message = F.lit("a text has a line break; write and read with multiline=True")
+        breaks = [
+            F.when(F.col(f"`{f.name}`").rlike("[\\r\\n]"), F.raise_error(message)).otherwise(F.col(f"`{f.name}`"))
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f"`{f.name}`")
+            for f in df.schema
+        ]
+        df = df.select(*[b.cast(f.dataType).alias(f.name) for b, f in zip(breaks, df.schema)])
     if files is not None:
         df = df.repartition(files) if even else df.coalesce(files)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    options = {
+        "header": True,
+        "sep": sep,
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
@@ -63,4 +107,6 @@ def load_rules(
     if isinstance(source, str):
         rules = spark.read.option("header", True).schema(RULE_SCHEMA).csv(source)
         return rules.withColumn("kind", F.coalesce("kind", F.lit("state")))
-    return RuleBook(source, monotone).frame(spark)
+    rows = [(a, s, d, "state") for a, pairs in source.items() for s, d in dict.fromkeys(map(tuple, pairs))]
+    rows += [(a, s, d, "monotone") for a, (s, d) in (monotone or {}).items()]
+    return small_frame(spark, rows, RULE_SCHEMA)
