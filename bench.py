@@ -45,6 +45,11 @@ HEADLINE = [
     "repair_compressed",
     "repair_events",
     "repair_join_back",
+    "rule_closure",
+    "rule_rank",
+    "value_relation",
+    "value_counts",
+    "value_versions",
 ]
 
 

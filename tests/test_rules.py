@@ -70,7 +70,7 @@ def test_distributed_closure_and_rank_match_the_compiled_ones(spark, monkeypatch
     assert rows(tm.rule_closure(tm.RuleBook(states), spark)) == closure
     # attributes larger than a task takes are walked by joins
     monkeypatch.setattr(rule_graph, "MAX_TASK_EDGES", 4)
-    monkeypatch.setattr(rule_graph, "MAX_TASK_CLOSURE_EDGES", 4)
+    monkeypatch.setattr(rule_graph, "MAX_TASK_PAIRS", 4)
     assert rows(tm.rule_closure(frame)) == closure
     assert rows(tm.rule_rank(frame)) == ranks
 

@@ -43,7 +43,7 @@ def results(spark, rules):
     [
         [(histogram, "MAX_MASK_VALUES", 0)],
         [(rule_graph, "MAX_DRIVER_EDGES", 0)],
-        [(rule_graph, "MAX_DRIVER_EDGES", 0), (rule_graph, "MAX_TASK_EDGES", 0), (rule_graph, "MAX_TASK_CLOSURE_EDGES", 0)],
+        [(rule_graph, "MAX_DRIVER_EDGES", 0), (rule_graph, "MAX_TASK_EDGES", 0), (rule_graph, "MAX_TASK_PAIRS", 0)],
         [(rule_graph, "MAX_DRIVER_EDGES", 0), (rule_graph, "MAX_BROADCAST_BYTES", -1), (repair_module, "MAX_BROADCAST_BYTES", -1)],
     ],
 )

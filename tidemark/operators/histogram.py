@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 
 from tidemark.operators.names import distinct_names, entity, given, inner_keys, neutral, unpacked
 from tidemark.operators.rule_graph import (
+    MAX_TASK_PAIRS,
     AttributeOrder,
     RuleBook,
     _bits,
+    _by_size,
+    _closure_of,
     rule_edges,
     rules_in_use,
     small,
@@ -383,3 +386,16 @@ def edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) ->
         frontier = reached.join(at, ["_e", "attribute", "dst"], "left_anti").withColumnRenamed("dst", "at")
     found = reached if found is None else found
     return found.distinct().select(*unpacked(keys), "attribute", "src", "dst")
+
+
+def related_pairs(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
+    """Pairs of present values of an entity that fix the order among all of them: those in the closure, if it
+    measures small, else bridged edges. ``counts`` and ``edges`` are materialized."""
+    ordinary, large = _by_size(edges, F.count_distinct("src") * F.count_distinct("dst"), MAX_TASK_PAIRS)
+    if large is not None:
+        return edges_by_joins(counts, keys, edges)
+    closure = small(materialize(_closure_of(ordinary)).select("attribute", "src", "dst"))
+    here = counts.select(entity(keys).alias("_e"), "attribute", F.col("value").alias("src"))
+    there = here.withColumnRenamed("src", "dst")
+    pairs = here.join(closure, ["attribute", "src"]).join(there, ["_e", "attribute", "dst"], "left_semi")
+    return pairs.select(*unpacked(keys), "attribute", "src", "dst")

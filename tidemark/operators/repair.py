@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.histogram import edges_by_joins
+from tidemark.operators.histogram import related_pairs
 from tidemark.operators.names import distinct_names, given, inner_keys, neutral
 from tidemark.operators.ordering import repair_keys, run_order, value_ranks
 from tidemark.operators.repair_scan import (
@@ -198,7 +198,7 @@ def _scan_with_own_rules(
 ) -> DataFrame:
     """Scan entities whose order is given by the rules among their own values.
 
-    Every entity gets a first row that carries its bridged edges as pairs of codes, so a
+    Every entity gets a first row that carries the order of its values as pairs of codes, so a
     task compiles the order of one entity at a time. Codes are then small local numbers.
     """
     keys = list(keys)
@@ -214,7 +214,7 @@ def _scan_with_own_rules(
     )
     counts = materialize(present.distinct())
     pairs = F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
-    own = edges_by_joins(counts, keys, coded).groupBy(*keys).agg(F.collect_list(pairs).alias("_edges"))
+    own = related_pairs(counts, keys, coded).groupBy(*keys).agg(F.collect_list(pairs).alias("_edges"))
     blank = {f.name: F.lit(None).cast(f.dataType) for f in runs.schema if f.name not in keys}
     blank |= {"_ref": F.lit(-1), "_rep": F.lit(0), "_votes": F.lit(0).cast("long")}
     heads = own.select(*keys, *[c.alias(n) for n, c in blank.items()], "_edges")

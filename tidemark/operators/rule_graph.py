@@ -15,7 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,10 @@ RANK_SCHEMA = "attribute string, value string, level int, rank int"
 # they also bound every broadcast of rules.
 MAX_DRIVER_EDGES = 10_000
 MAX_DRIVER_PAIRS = 200_000
-# Largest edge count of one attribute that a task sorts, and of which it lists the closure.
+# Largest edge count of one attribute that a task sorts, and largest number of pairs (older values
+# times newer values) that bounds a closure listed in a task.
 MAX_TASK_EDGES = 500_000
-MAX_TASK_CLOSURE_EDGES = 2_000
+MAX_TASK_PAIRS = 4_000_000
 # A rule frame of this measured size is broadcast to the rows.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -263,9 +264,9 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if bytes_of(frame) <= MAX_BROADCAST_BYTES else frame
 
 
-def _by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges of the attributes with up to ``most`` edges, and of the others (None if there are none)."""
-    sizes = edges.groupBy("attribute").agg(F.count("*").alias("_n"))
+def _by_size(edges: DataFrame, size: Column, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of the attributes with a ``size`` of up to ``most``, and of the others (None if there are none)."""
+    sizes = edges.groupBy("attribute").agg(size.alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
         return edges, None
     large = sizes.filter(F.col("_n") > most).select("attribute")
@@ -310,7 +311,7 @@ def _task_closure(table: pa.Table) -> pa.Table:
 
 def _distributed_ranks(edges: DataFrame) -> DataFrame:
     """Ranks of a materialized edge table; raises ValueError on cycles."""
-    ordinary, large = _by_size(edges, MAX_TASK_EDGES)
+    ordinary, large = _by_size(edges, F.count("*"), MAX_TASK_EDGES)
     ranks = materialize(ordinary.groupBy("attribute").applyInArrow(_task_ranks, RANK_SCHEMA))
     bad = ranks.filter("rank < 0").first()
     if bad is not None:
@@ -370,7 +371,7 @@ def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None)
 
 def _closure_of(edges: DataFrame) -> DataFrame:
     """Closure of a materialized acyclic edge table."""
-    ordinary, large = _by_size(edges, MAX_TASK_CLOSURE_EDGES)
+    ordinary, large = _by_size(edges, F.count_distinct("src") * F.count_distinct("dst"), MAX_TASK_PAIRS)
     pairs = ordinary.groupBy("attribute").applyInArrow(_task_closure, CLOSURE_SCHEMA)
     return pairs if large is None else pairs.unionByName(_closure_by_joins(large))
 

@@ -74,6 +74,18 @@ scores AS (SELECT eid, attribute, max(len)::DOUBLE / count(DISTINCT value)::DOUB
   FROM chains GROUP BY ALL)"""
 
 
+WALKS = """walks(eid, attribute, src, stop) AS (
+  SELECT h.eid, h.attribute, h.value, e.dst FROM hist h
+  JOIN edges e ON e.attribute = h.attribute AND e.src = h.value
+  UNION
+  SELECT w.eid, w.attribute, w.src, e.dst FROM walks w
+  JOIN edges e ON e.attribute = w.attribute AND e.src = w.stop
+  WHERE NOT EXISTS (SELECT 1 FROM hist h
+    WHERE h.eid = w.eid AND h.attribute = w.attribute AND h.value = w.stop))"""
+BRIDGED = """SELECT w.eid AS {key}, w.attribute, w.src, w.stop AS dst FROM walks w
+JOIN hist h ON h.eid = w.eid AND h.attribute = w.attribute AND h.value = w.stop"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
@@ -176,7 +188,7 @@ final AS (SELECT eid, unnest(s) AS code, unnest(range(1, len(s) + 1)) AS place
   FROM steps WHERE i = len(s) - 1)"""
 
 
-def _repair(spec: dict[str, str], columns: list[str], compress: bool) -> str:
+def _repair(spec: dict[str, str], columns: list[str], compress: bool, edges: str | None = None) -> str:
     rep, key = spec["rep"], spec["key"]
     if compress:
         items = f"(SELECT {key}, run_id, any_value(sort_id) AS sort_id FROM runs GROUP BY {key}, run_id)"
@@ -189,16 +201,19 @@ def _repair(spec: dict[str, str], columns: list[str], compress: bool) -> str:
         for c in columns
     )
     return _with(
-        _edges([spec["ref"], rep]), CLOSURE, RANKS, ORDERED.format(**spec), steps
+        edges or _edges([spec["ref"], rep]), CLOSURE, RANKS, ORDERED.format(**spec), steps
     ) + (
         f"SELECT {out} FROM runs o JOIN final f ON f.eid = o.{key} AND f.place = o.{place} "
         "LEFT JOIN codes k ON k.code = f.code"
     )
 
 
-def _errors(spec: dict[str, str]) -> str:
-    return _with(_edges([spec["ref"], spec["rep"]]), CLOSURE, RANKS, ORDERED.format(**spec)) + (
-        f"SELECT {spec['key']}, {spec['vid']}, next_vid, {spec['rep']} AS value, next_value FROM ordered o "
+def _errors(
+    spec: dict[str, str], edges: str | None = None, names: tuple[str, str, str] = ("next_vid", "value", "next_value")
+) -> str:
+    return _with(edges or _edges([spec["ref"], spec["rep"]]), CLOSURE, RANKS, ORDERED.format(**spec)) + (
+        f"SELECT {spec['key']}, {spec['vid']}, next_vid AS {names[0]}, {spec['rep']} AS {names[1]}, "
+        f"next_value AS {names[2]} FROM ordered o "
         f"WHERE EXISTS (SELECT 1 FROM closure c WHERE c.attribute = '{spec['rep']}' "
         f"AND c.src = o.next_value AND c.dst = o.{spec['rep']})"
     )
@@ -211,6 +226,37 @@ def _on_orders(select: str) -> str:
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 SLIM = "o_custkey, o_orderkey, o_orderpriority, o_orderstatus"
 
+# More rules than the driver compiles.
+ORDER_STEPS = SEQUENCE.replace("SELECT a.o_custkey::VARCHAR,", "SELECT 'o_orderkey',")
+FINISHED = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
+FINISHED_VERSIONS = _versions(FINISHED, "o_custkey", ["o_orderkey"], "")
+YEARDAYS = "(SELECT o_custkey, o_orderkey, o_orderstatus, dayofyear(o_orderdate)::VARCHAR AS yearday FROM orders)"
+DAY_EDGES = (
+    "days AS (SELECT DISTINCT dayofyear(o_orderdate) AS day FROM orders),\n"
+    + _edges(["o_orderstatus"]).removesuffix(")")
+    + " UNION ALL SELECT 'yearday', a.day::VARCHAR, b.day::VARCHAR FROM days a JOIN days b "
+    "ON b.day - a.day BETWEEN 1 AND 40)"
+)
+ON_DAYS = {
+    "source": YEARDAYS, "key": "o_custkey", "vid": "o_orderkey", "ref": "o_orderstatus", "rep": "yearday",
+}
+GAPS = """(SELECT o_custkey, o_orderkey, nullif(o_orderstatus, 'P') AS gap_status,
+  nullif(o_orderpriority, '2-HIGH') AS gap_priority FROM orders)"""
+ON_GAPS = {
+    "source": GAPS, "key": "o_custkey", "vid": "o_orderkey", "ref": "gap_status", "rep": "gap_priority",
+}
+GAP_COLUMNS = ["o_custkey", "o_orderkey", "gap_status", "gap_priority"]
+SLIM_COLUMNS = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
+ON_TEXT = ON_ORDERS | {
+    "source": "(SELECT o_custkey::VARCHAR AS o_custkey, o_orderkey::VARCHAR AS o_orderkey, "
+    "o_orderpriority, o_orderstatus FROM orders)"
+}
+ON_VALUE = ON_EVENTS | {
+    "source": "(SELECT e.*, floor(v.value)::BIGINT AS value FROM " + EVENTS
+    + " e JOIN (SELECT event_id, value FROM events) v USING (event_id))",
+    "key": "value",
+}
+
 ORACLES: dict[str, str] = {
     "rule_edges": _with(SEQUENCE) + "SELECT attribute, src, dst FROM edges",
     "rule_closure": _with(
@@ -249,17 +295,9 @@ FROM versions WHERE value IS NOT NULL GROUP BY ALL""",
         _edges(EVENT_ATTRIBUTES),
         _versions(EVENTS, "user_id", EVENT_ATTRIBUTES, ""),
         HIST,
-        """walks(eid, attribute, src, stop) AS (
-  SELECT h.eid, h.attribute, h.value, e.dst FROM hist h
-  JOIN edges e ON e.attribute = h.attribute AND e.src = h.value
-  UNION
-  SELECT w.eid, w.attribute, w.src, e.dst FROM walks w
-  JOIN edges e ON e.attribute = w.attribute AND e.src = w.stop
-  WHERE NOT EXISTS (SELECT 1 FROM hist h
-    WHERE h.eid = w.eid AND h.attribute = w.attribute AND h.value = w.stop))""",
+        WALKS,
     )
-    + """SELECT w.eid AS user_id, w.attribute, w.src, w.stop AS dst FROM walks w
-JOIN hist h ON h.eid = w.eid AND h.attribute = w.attribute AND h.value = w.stop""",
+    + BRIDGED.format(key="user_id"),
     "static_rank": _on_orders(f"SELECT {SLIM}, group_id, sort_id FROM ranked"),
     "topo_dense_rank": _on_orders(
         f"""SELECT {SLIM}, dense_rank() OVER (PARTITION BY o_custkey
@@ -287,6 +325,39 @@ JOIN hist h ON h.eid = w.eid AND h.attribute = w.attribute AND h.value = w.stop"
         ON_ORDERS, ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"], compress=False
     ),
 }
+ORACLES |= {
+    f"{m}_sequence": _with(ORDER_STEPS, CLOSURE, FINISHED_VERSIONS, HIST, *tail)
+    + f"SELECT eid AS o_custkey, max(score) AS o_orderkey_{m} FROM scores GROUP BY eid"
+    for m, tail in (("cvq", [LATEST, CVQ]), ("hsq", [HSQ]))
+}
+ORACLES |= {
+    "latest_sequence": _with(ORDER_STEPS, CLOSURE, FINISHED_VERSIONS, HIST, LATEST)
+    + "SELECT eid AS o_custkey, attribute, value, cnt FROM latest",
+    "present_edges_sequence": _with(ORDER_STEPS, FINISHED_VERSIONS, HIST, WALKS)
+    + BRIDGED.format(key="o_custkey"),
+    "repair_sequence": _repair(
+        ON_DAYS, ["o_custkey", "o_orderkey", "o_orderstatus", "yearday"], False, DAY_EDGES
+    ),
+    "detect_sequence": _errors(ON_DAYS, DAY_EDGES),
+    "rank_sequence": _with(DAY_EDGES, RANKS, ORDERED.format(**ON_DAYS))
+    + "SELECT o_custkey, o_orderkey, o_orderstatus, yearday, sort_id FROM ranked",
+    "repair_gaps": _repair(ON_GAPS, GAP_COLUMNS, compress=False),
+    "repair_gaps_compressed": _repair(ON_GAPS, GAP_COLUMNS, compress=True),
+    "detect_gaps": _errors(ON_GAPS),
+    "runs_gaps": _with(_edges(["gap_status", "gap_priority"]), RANKS, ORDERED.format(**ON_GAPS))
+    + """SELECT o_custkey, min(o_orderkey) AS o_orderkey, gap_status, gap_priority, run_id,
+  count(*) AS run_rows FROM runs GROUP BY o_custkey, gap_status, gap_priority, run_id""",
+    "detect_by_value": _errors(ON_VALUE, names=("next_id", "type", "next_type")),
+    "score_view_sql": _scores("cvq", EVENTS, "user_id", EVENT_ATTRIBUTES)
+    + """SELECT round(avg(s), 10) AS avg, count(*) AS users FROM (SELECT eid,
+  (max(CASE WHEN attribute = 'event_type' THEN score END)
+   + max(CASE WHEN attribute = 'props100' THEN score END)) / 2.0::DOUBLE AS s FROM scores GROUP BY eid)""",
+    "rules_from_csv": _with(SEQUENCE, RANKS) + "SELECT attribute, value, level, rank FROM ranks",
+    "csv_text_scan": """SELECT o_custkey::VARCHAR AS o_custkey, o_orderkey::VARCHAR AS o_orderkey,
+  o_orderpriority, o_orderstatus FROM orders""",
+    "repair_text_job": _repair(ON_TEXT, SLIM_COLUMNS, compress=False),
+    "repair_coded_job": _repair(ON_ORDERS, SLIM_COLUMNS, compress=True),
+}
 for _m in ("cvq", "hsq"):
     ORACLES[f"{_m}_entity"] = _entity(_m, ["event_type"])
     ORACLES[f"{_m}_entity_multi"] = _entity(_m, EVENT_ATTRIBUTES)

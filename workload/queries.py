@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 import tidemark as tm
 from tidemark.operators.skew import row_numbers, with_next
-from tidemark.plans import cohort_average, entity_score, table_average
+from tidemark.plans import (
+    cohort_average,
+    entity_score,
+    repair_coded_file,
+    repair_text_file,
+    table_average,
+)
 from tidemark.session import shared_dir
-from workload.rules import RULES
+from workload.rules import RULES, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +112,23 @@ def sequence_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def order_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The same steps as rules of one attribute, the order key."""
+    return sequence_rules(spark, d).withColumn("attribute", F.lit("o_orderkey"))
+
+
+def day_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Days of the year on which there are orders: one is older than those up to 40 days later."""
+    days = orders(spark, d).select(F.dayofyear("o_orderdate").alias("day")).distinct()
+    later = days.select(F.explode(F.sequence(F.col("day") - 40, F.col("day") - 1)).alias("day"), F.col("day").alias("to"))
+    status = tm.load_rules(spark, {"o_orderstatus": SMALL["o_orderstatus"]}).select("attribute", "src", "dst")
+    return status.unionByName(
+        days.join(later, "day").select(
+            F.lit("yearday").alias("attribute"), F.col("day").cast("string").alias("src"), F.col("to").cast("string").alias("dst")
+        )
+    )
+
+
 def rule_closure(spark: SparkSession, d: str) -> DataFrame:
     return tm.rule_closure(sequence_rules(spark, d), spark)
 
@@ -118,6 +141,15 @@ def rule_edges(spark: SparkSession, d: str) -> DataFrame:
     return tm.rule_edges(sequence_rules(spark, d))
 
 
+def rules_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Rules written to a file and loaded from it, with a monotone row that orders nothing."""
+    monotone = tm.load_rules(spark, {}, {"o_totalprice": ("low", "high")})
+    rules = sequence_rules(spark, d).withColumn("kind", F.lit(None).cast("string")).unionByName(monotone)
+    path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
+    tm.save_table(rules, path)
+    return tm.rule_rank(tm.load_rules(spark, path), spark)
+
+
 def value_relation(spark: SparkSession, d: str) -> DataFrame:
     pairs = with_next(
         orders(spark, d).select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"),
@@ -150,6 +182,38 @@ def present_edges(spark: SparkSession, d: str) -> DataFrame:
     return tm.present_edges(events(spark, d), ["user_id"], EVENT_ATTRIBUTES, RULES)
 
 
+# --- more rules than the driver compiles ---------------------------------------
+
+
+def _finished(spark: SparkSession, d: str) -> DataFrame:
+    return orders(spark, d).filter(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
+
+
+def _sequence(function: Callable) -> Query:
+    return lambda spark, d: function(_finished(spark, d), ["o_custkey"], ["o_orderkey"], order_rules(spark, d))
+
+
+def _yeardays(spark: SparkSession, d: str) -> DataFrame:
+    return orders(spark, d).select(
+        "o_custkey", "o_orderkey", "o_orderstatus", F.dayofyear("o_orderdate").cast("string").alias("yearday")
+    )
+
+
+DAY_REPAIR = (["o_custkey"], "o_orderkey", "o_orderstatus", "yearday")
+
+
+def repair_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return tm.repair(_yeardays(spark, d), *DAY_REPAIR, day_rules(spark, d))
+
+
+def detect_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return tm.detect_errors(_yeardays(spark, d), *DAY_REPAIR, day_rules(spark, d))
+
+
+def rank_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return tm.static_rank(_yeardays(spark, d), "yearday", day_rules(spark, d), "sort_id")
+
+
 # --- ordering, detection, repair ----------------------------------------------
 
 ORDER_KEYS = ["o_custkey"]
@@ -171,10 +235,11 @@ def topo_dense_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topo_row_number(spark: SparkSession, d: str) -> DataFrame:
-    numbered = tm.topo_row_number(
-        _slim_orders(spark, d), [*ORDER_KEYS, "o_orderpriority"], "o_orderstatus", RULES, "o_orderkey"
+    # ranking by customer first: its partitioning serves the numbering too
+    ranked = tm.dense_topo_rank(_slim_orders(spark, d), ORDER_KEYS, "o_orderpriority", RULES, "o_orderkey")
+    return tm.topo_row_number(
+        ranked, [*ORDER_KEYS, "o_orderpriority"], "o_orderstatus", RULES, "o_orderkey"
     )
-    return tm.dense_topo_rank(numbered, ORDER_KEYS, "o_orderpriority", RULES, "o_orderkey")
 
 
 def run_compress(spark: SparkSession, d: str) -> DataFrame:
@@ -207,6 +272,78 @@ def repair_join_back(spark: SparkSession, d: str) -> DataFrame:
     return tm.join_back(base, cells, ORDER_KEYS, "o_orderkey", "o_orderstatus")
 
 
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with unknown and missing values: each rule leaves one value out, and one is null."""
+    return orders(spark, d).select(
+        "o_custkey",
+        "o_orderkey",
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("gap_status"),
+        F.nullif(F.col("o_orderpriority"), F.lit("2-HIGH")).alias("gap_priority"),
+    )
+
+
+GAP_REPAIR = (ORDER_KEYS, "o_orderkey", "gap_status", "gap_priority", RULES)
+
+
+def repair_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return tm.repair(_gaps(spark, d), *GAP_REPAIR)
+
+
+def repair_gaps_compressed(spark: SparkSession, d: str) -> DataFrame:
+    return tm.repair(_gaps(spark, d), *GAP_REPAIR, compress_runs=True)
+
+
+def detect_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return tm.detect_errors(_gaps(spark, d), *GAP_REPAIR)
+
+
+def runs_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return tm.run_compress(_gaps(spark, d), *GAP_REPAIR)
+
+
+def detect_by_value(spark: SparkSession, d: str) -> DataFrame:
+    """Errors among the events of equal size, which the table calls ``value``."""
+    sized = events(spark, d).join(
+        table(spark, d, "events").select("event_id", F.floor("value").cast("bigint").alias("value")), "event_id"
+    )
+    return tm.detect_errors(
+        sized, ["value"], "event_id", "week", "event_type", RULES, names=("next_id", "type", "next_type")
+    )
+
+
+def score_view_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as a view, queried with SQL."""
+    tm.register(tm.cvq(events(spark, d), ["user_id"], EVENT_ATTRIBUTES, RULES), "user_scores")
+    return spark.sql(
+        """SELECT round(avg(score), 10) AS avg, count(*) AS users FROM (
+             SELECT user_id, (event_type_cvq + props100_cvq) / 2 AS score FROM user_scores)"""
+    )
+
+
+def csv_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
+    tm.save_table(_slim_orders(spark, d), path)
+    return tm.load_table(spark, path)
+
+
+def _job(spark: SparkSession, d: str, job: Callable, *schema) -> str:
+    source, target = (f"{shared_dir(spark)}/csv-{uuid4().hex}" for _ in range(2))
+    tm.save_table(_slim_orders(spark, d), source)
+    job(
+        spark, source, target, *schema, "o_orderpriority", "o_orderstatus", RULES, key="o_custkey", vid="o_orderkey"
+    )
+    return target
+
+
+def repair_text_job(spark: SparkSession, d: str) -> DataFrame:
+    return tm.load_table(spark, _job(spark, d, repair_text_file))
+
+
+def repair_coded_job(spark: SparkSession, d: str) -> DataFrame:
+    schema = _slim_orders(spark, d).schema
+    return tm.load_table(spark, _job(spark, d, repair_coded_file, schema), schema)
+
+
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = _slim_orders(spark, d)
     path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
@@ -256,4 +393,21 @@ QUERIES: dict[str, Query] = {
     "repair_events": repair_events,
     "repair_join_back": repair_join_back,
     "csv_round_trip": csv_round_trip,
+    "cvq_sequence": _sequence(tm.cvq),
+    "hsq_sequence": _sequence(tm.hsq),
+    "latest_sequence": _sequence(tm.latest_values),
+    "present_edges_sequence": _sequence(tm.present_edges),
+    "repair_sequence": repair_sequence,
+    "detect_sequence": detect_sequence,
+    "rank_sequence": rank_sequence,
+    "repair_gaps": repair_gaps,
+    "repair_gaps_compressed": repair_gaps_compressed,
+    "detect_gaps": detect_gaps,
+    "runs_gaps": runs_gaps,
+    "detect_by_value": detect_by_value,
+    "score_view_sql": score_view_sql,
+    "rules_from_csv": rules_from_csv,
+    "csv_text_scan": csv_text_scan,
+    "repair_text_job": repair_text_job,
+    "repair_coded_job": repair_coded_job,
 }

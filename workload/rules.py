@@ -23,6 +23,9 @@ SMALL = {
     "l_returnflag": [("N", "A"), ("N", "R")],
     "l_linestatus": [("O", "F")],
     "role": [("system", "user"), ("user", "assistant")],
+    # rules that leave values out
+    "gap_status": [("O", "F")],
+    "gap_priority": [("5-LOW", "3-MEDIUM"), ("3-MEDIUM", "1-URGENT")],
     "week": [("w0", "w1"), ("w1", "w2"), ("w2", "w3"), ("w3", "w4")],
 }
 SIZES = {"qty50": 50, "props100": 100}
