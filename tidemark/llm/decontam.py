@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -36,10 +35,8 @@ RADIUS = 4 * (ERRORS + 1) - 1
 PASS_ITEMS, PASS_BYTES = 20_000, 8_000_000
 
 
-@cache
-def _errors() -> np.ndarray:
-    """All 16-bit numbers with up to ERRORS bits set."""
-    return np.array([sum(1 << b for b in c) for k in range(ERRORS + 1) for c in combinations(range(16), k)], np.int64)
+#: all 16-bit numbers with up to ERRORS bits set
+_WRONG = np.array([sum(1 << b for b in c) for k in range(ERRORS + 1) for c in combinations(range(16), k)], np.int64)
 
 
 class Items:
@@ -67,7 +64,7 @@ class Items:
             marked = np.zeros((4, 1 << 16), bool)
             for k in members:
                 for b in range(4):
-                    marked[b, (int(prints[k]) >> 16 * b & 0xFFFF) ^ _errors()] = True
+                    marked[b, (int(prints[k]) >> 16 * b & 0xFFFF) ^ _WRONG] = True
             self.sizes[size] = (
                 marked,
                 np.array([prints[k] for k in members], U),

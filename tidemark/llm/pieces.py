@@ -58,19 +58,23 @@ class Automaton:
                 at = self.fail[at]
             self.fail[node], self.popped[node] = self.go[at << 8 | byte], count
 
-    def count(self, word: bytes) -> int:
-        """Pieces of ``word`` (which starts with its word-start mark)."""
-        go, fail, popped = self.go, self.fail, self.popped
-        node = total = 0
-        for byte in word:
-            while (key := node << 8 | byte) not in go:
-                total += popped[node]
-                node = fail[node]
-            node = go[key]
-        while node:
+    def tables(self) -> tuple[dict[int, int], list[int], list[int]]:
+        return self.go, self.fail, self.popped
+
+
+def count_pieces(tables: tuple[dict[int, int], list[int], list[int]], word: bytes) -> int:
+    """Pieces of ``word`` (which starts with its word-start mark)."""
+    go, fail, popped = tables
+    node = total = 0
+    for byte in word:
+        while (key := node << 8 | byte) not in go:
             total += popped[node]
             node = fail[node]
-        return total
+        node = go[key]
+    while node:
+        total += popped[node]
+        node = fail[node]
+    return total
 
 
 def sentencepiece_pieces(path: str) -> list[bytes]:
@@ -86,14 +90,14 @@ def sentencepiece_pieces(path: str) -> list[bytes]:
 
 
 class _Counts(dict):
-    def __init__(self, automaton: Automaton):
+    def __init__(self, tables: tuple):
         super().__init__()
-        self.automaton = automaton
+        self.tables = tables
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = n = self.automaton.count(WORD_START + word)
+        self[word] = n = count_pieces(self.tables, WORD_START + word)
         return n
 
 
@@ -128,7 +132,7 @@ def token_counts(
     Null and empty texts have no tokens. Null ids stay null, repeated rows are counted each,
     other columns are not read, an empty table gives an empty result.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(sentencepiece_pieces(vocabulary)))
+    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(sentencepiece_pieces(vocabulary)).tables())
     rows = id_and_text(docs, id_col, text_col).mapInArrow(
         _count(automaton), "_id long, n_bytes long, n_words long, n_tokens long"
     )
