@@ -43,6 +43,9 @@ class Items:
     """The items of one pass, by number of words: fingerprints, shingles, block tables."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array):
+        self.sizes = {}
+        if not len(ids):
+            return
         data, offsets = bytes_of(texts)
         words = Words(data, offsets[:-1] - offsets[0], np.diff(offsets), PUNCTUATED)
         values, windows = shingles(words, SHINGLE)
@@ -53,10 +56,9 @@ class Items:
         self.words = np.unique(words.hash)
         self.common = np.zeros(1 << 16, bool)
         self.common[(self.words & U(0xFFFF)).astype(np.int64)] = True
-        starts = np.concatenate(([0], np.cumsum(words.counts)[:-1]))
+        starts = np.cumsum(words.counts) - words.counts
         full = np.flatnonzero(words.counts)
         prints = dict(zip(full, simhash(words.hash, starts[full], words.counts[full])))
-        self.sizes = {}
         by_size = defaultdict(list)
         for k in full:
             by_size[int(words.counts[k])].append(k)
@@ -99,7 +101,7 @@ class Items:
         if not total or not self.sizes:
             return out
         known = np.concatenate(([0], np.cumsum(self.known(words.hash), dtype=np.int32)))
-        text_start = np.concatenate(([0], np.cumsum(words.counts)[:-1]))
+        text_start = np.cumsum(words.counts) - words.counts
         prints_of = WindowPrints(words.hash)
         per_width = {}
         for size, (marked, prints, members, fewest) in self.sizes.items():

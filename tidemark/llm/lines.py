@@ -42,7 +42,7 @@ def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np
         return out
     counts = counts.astype(np.int64)
     pieces = (counts + 254) // 255
-    first = np.concatenate(([0], np.cumsum(pieces)[:-1])).astype(np.int64)
+    first = np.cumsum(pieces) - pieces
     run = np.repeat(np.arange(len(starts)), pieces)
     offset = (np.arange(len(run)) - first[run]) * 255
     begin = starts[run] + offset

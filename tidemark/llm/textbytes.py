@@ -134,9 +134,9 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every window of ``size`` words, number of windows per text), in text order.
     A text with fewer words has one, made of all its words; without words none."""
     h, counts = words.hash, words.counts
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    first = np.cumsum(counts) - counts
     windows = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    begin = np.repeat(first - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
+    begin = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     return window_hash(h, begin, np.repeat(np.minimum(counts, size), windows), size), windows
 
 
