@@ -29,6 +29,8 @@ from tidemark.llm.textbytes import Words, as_long, chunks, list_array, mix, shin
 CHUNKS, PLACES = 10, 5
 SYMBOLS = CHUNKS * PLACES
 RADIUS = 2 * CHUNKS - 1
+#: parts into which the copies of one set are dealt
+SALTS = 64
 
 _random = np.random.default_rng(851)
 _SCALE = _random.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,7 +140,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     nodes = (
         sketch.filter("_n > 0")
         .groupBy("_d1", "_d2", "_n")
-        .agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"))
+        .agg(F.min("_id").alias("_rep"), F.count("*").alias("_m"), F.first("_keys").alias("_keys"))
     )
     entries = nodes.select(F.col("_rep").alias("_x"), F.col("_n"), F.explode("_keys").alias("_key"))
     members = bucket_members(entries)
@@ -148,11 +150,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
         _full_sets, "_x long, _set array<long>"
     )
     label = components(block_links(members, sets, confirmed_links(percent)))
-    return (
-        sketch.drop("_keys")
-        .join(nodes.drop("_keys"), ["_d1", "_d2", "_n"], "left")
+    # one row per set that has copies or links, under every salt: a set of any number of copies is spread
+    classes = (
+        nodes.drop("_keys")
         .join(label, F.col("_rep") == F.col("node"), "left")
-        .select("_id", "_th", "_n", F.coalesce("component", "_rep", "_id").alias("_component"))
+        .filter("_m > 1 or component is not null")
+        .select(
+            "_d1", "_d2", "_n",
+            F.coalesce("component", "_rep").alias("_class"),
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+        )
+    )
+    salted = sketch.drop("_keys").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(classes, ["_d1", "_d2", "_n", "_salt"], "left").select(
+        "_id", "_th", "_n", F.coalesce("_class", "_id").alias("_component")
     )
 
 
