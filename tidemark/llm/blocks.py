@@ -13,6 +13,7 @@ from tidemark.llm.scratch import saved
 
 #: a block holds about so many members and so much weight; a larger group makes more blocks
 BLOCK_ROWS, BLOCK_WEIGHT = 1_024, 1_000_000
+SALTS = 64
 
 
 def bucket_members(entries: DataFrame) -> DataFrame:
@@ -36,21 +37,20 @@ def block_links(
     leader with many members deals them to several blocks and every pair of blocks meets,
     so a task's group stays bounded whatever the size of the bucket.
     """
+    # leaders with more than one block, under every salt, so that their many members are spread
     blocks = (
         members.groupBy("_leader")
-        .agg(
-            F.count("*").alias("_m"),
-            F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("_n") / BLOCK_WEIGHT)).alias("_blocks"),
-        )
-        .filter("_m > 1")
-        .select("_leader", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
+        .agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("_n") / BLOCK_WEIGHT)).alias("_many"))
+        .filter("_many > 1")
+        .select("_leader", "_many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
+    count = F.coalesce("_many", F.lit(1).cast("long"))
+    placed = salted.join(blocks, ["_leader", "_salt"], "left").select("_leader", "_x", count.alias("_blocks"))
     own = F.pmod(F.xxhash64("_x"), F.col("_blocks"))
-    placed = (
-        members.join(blocks, "_leader")
-        .select("_leader", "_x", own.alias("_own"), F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_other"))
-        .select("_leader", "_x", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    )
+    placed = placed.select(
+        "_leader", "_x", own.alias("_own"), F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_other")
+    ).select("_leader", "_x", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
     return (
         placed.join(payload, "_x")
         .select("_leader", "_i", "_j", *payload.columns)
