@@ -212,6 +212,36 @@ def test_fuzzy_lines_are_one_group(spark):
     assert got == want and len(want) < 60
 
 
+def edited(rnd, line, budget):
+    """A line with changed words, or with single characters changed, put in or taken out, of edit similarity 0.9 or more."""
+    out = list(line)
+    if rnd.random() < 0.5:
+        words = line.split(" ")
+        k = rnd.randrange(len(words))
+        words[k] = "".join(rnd.choice("qxzjv") for _ in range(min(budget, len(words[k]))))
+        out = list(" ".join(words))
+    else:
+        for _ in range(rnd.randint(1, budget)):
+            p = rnd.randrange(len(out))
+            out[p : p + 1] = rnd.choice([["q"], [], [out[p], "x"]])
+    new = "".join(out)
+    return new if lines.similar(line, " ".join(words_of(new))) else line[:-1] + "q"
+
+
+def test_similar_lines_are_found_by_edit_similarity_alone(spark):
+    """Lines of 8 to 40 words and one edited copy of each, up to the whole edit bound."""
+    rnd = random.Random(18)
+    rows = []
+    for k in range(600):
+        words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(8, 40))]
+        line = " ".join(words)
+        rows += [(2 * k, line, *[None] * 7), (2 * k + 1, edited(rnd, line, len(line) // 10), *[None] * 7)]
+    assert all(lines.similar(a[1], " ".join(words_of(b[1]))) for a, b in zip(rows[::2], rows[1::2]))
+    got = {r["doc_id"] for r in lines.line_report(frame(spark, rows)).filter("n_dropped > 0").collect()}
+    assert got <= {r[0] for r in rows[1::2]}
+    assert len(got) >= 0.99 * 600
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_empty_tables(spark, empty):
     rows = [] if empty else [(1, None, *[None] * 7)]

@@ -1,17 +1,17 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: bottom-k character grams, edit similarity, connected groups.
 
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
-one node. A node's 64-bit SimHash over its words of four bytes or more (over all of them if
-these are fewer than four) is cut into BLOCKS = 4 blocks; two fingerprints that differ in at
-most RADIUS = 2 bits agree in two blocks at least, so each pair of blocks is a key. Members of a bucket within the radius are linked when the edit
-similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound.
+one node. A node's keys are the GRAMS smallest hashes of its windows of five to eight characters,
+together with its class of length; lines that differ by the edit bound fall into one class and
+share windows wherever they are intact. Members of a bucket are linked when the edit
+similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound;
+counts of character pairs cut off, without loss, what cannot reach it.
 Of every connected group the first occurrence (document id, text hash, line number) stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +20,35 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import block_links, bucket_members
 from tidemark.llm.scratch import NULL_ID, components, given_id, saved
-from tidemark.llm.textbytes import Words, as_long, chunks, mix
+from tidemark.llm.textbytes import (
+    _BASE,
+    _BASE_INVERSE,
+    _BYTE_CODE,
+    _LOWER,
+    Words,
+    _power,
+    as_long,
+    chunks,
+    mix,
+)
 
 U = np.uint64
 #: shorter lines repeat by nature and are always kept
 MIN_WORDS = 5
-RADIUS = 2
-LONG_WORD = 4
+#: bits of 64 in which the fingerprints of linked lines may differ: all, the edit bound alone decides
+RADIUS = 64
 EDIT_SIMILARITY = 0.9
-BLOCKS = 4
+GRAMS = 16
+#: shorter lines have no similar line but equal ones: one edit is more than the bound allows
+FUZZY_CHARS = 10
+#: class k holds the lines from EDIT_SIMILARITY * EDGES[k] to below EDGES[k + 1] characters
+EDGES = FUZZY_CHARS * 1.5 ** np.arange(48)
+
+
+def _window(least: float) -> int:
+    """Characters of a window in the class from ``least`` characters on: at least so many stay
+    together when every tenth is edited."""
+    return 5 if least < 20 else 6 if least < 30 else 7 if least < 40 else 8
 
 
 def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -78,13 +98,19 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = counts >= MIN_WORDS
         cut, counts, h1, h2 = cut[long], counts[long], h1[long], h2[long]
         doc = w.doc[cut]
-        telling = w.end - w.start >= LONG_WORD
-        upto = np.concatenate(([0], np.cumsum(telling)))
-        some = upto[cut + counts] - upto[cut]
-        enough = some >= 4
-        sim = np.empty(len(cut), U)
-        sim[enough] = simhash(w.hash[telling], upto[cut[enough]], some[enough])
-        sim[~enough] = simhash(w.hash, cut[~enough], counts[~enough])
+        # the words with one space after each, and the place of each line in them
+        kept = np.zeros(len(w.spaced) + 1, np.int8)
+        kept[w.start] += 1
+        kept[w.end + 1] -= 1
+        kept = np.cumsum(kept[:-1], dtype=np.int8).astype(bool)
+        normal = _LOWER[w.spaced[kept]]
+        at = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+        normal[at[1:] - 1] = 0x20
+        begin, end = at[cut], at[cut + counts] - 1
+        chars = np.concatenate(([0], np.cumsum((normal & 0xC0) != 0x80)))
+        n_chars = chars[end] - chars[begin]
+        buffer = normal.tobytes()
+        texts = [buffer[i:j].decode(errors="replace") for i, j in zip(begin.tolist(), end.tolist())]
         owner = np.searchsorted(w.text_start, breaks, "right") - 1
         n_lines = np.where(lengths > 0, np.bincount(owner, minlength=len(ids)) + 1, 0)
         none = np.zeros(len(ids), np.int64)
@@ -96,10 +122,10 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate((line_of_word[cut] - before[cut], none - 1)).astype(np.int32)),
                 pa.array(np.concatenate((as_long(h1), none))),
                 pa.array(np.concatenate((as_long(h2), none))),
-                pa.array(np.concatenate((as_long(sim), none))),
-                pa.array(np.concatenate((counts, n_lines)).astype(np.int64)),
+                pa.array(np.concatenate((n_chars, n_lines)).astype(np.int64)),
+                pa.array(texts + [None] * len(ids), pa.string()),
             ],
-            ["_id", "_th", "_line", "_h1", "_h2", "_sim", "_words"],
+            ["_id", "_th", "_line", "_h1", "_h2", "_size", "_line_text"],
         )
 
 
@@ -144,31 +170,76 @@ def similar(a: str, b: str, least: float = EDIT_SIMILARITY) -> bool:
 
 
 def linked_lines(table: pa.Table) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the lines (_x, _sim, _line_text) of one block."""
-    ids = np.asarray(table["_x"])
-    sims = np.asarray(table["_sim"]).view(U)
+    """A spanning forest of the links among the lines (_x, _line_text) of one block."""
     texts = table["_line_text"].to_pylist()
+    size = np.array([len(t) for t in texts])
+    order = np.argsort(size, kind="stable")
+    ids, size, texts = np.asarray(table["_x"])[order], size[order], [texts[k] for k in order]
+    point = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U)
+    owner = np.repeat(np.arange(len(ids)), size)
+    kind = (mix(point[:-1] << U(32) | point[1:]) & U(63)).astype(np.int64)
+    same = owner[1:] == owner[:-1]
+    pairs = np.bincount((owner[1:] * 64 + kind)[same], minlength=64 * len(ids)).reshape(-1, 64).astype(np.int32)
     group = np.arange(len(ids))
     edges = []
-    for k in np.argsort(ids, kind="stable"):
-        near = np.flatnonzero(np.bitwise_count(sims ^ sims[k]) <= RADIUS)
-        for x in near[group[near] != group[k]]:
+    for k in range(1, len(ids)):
+        most = int((1 - EDIT_SIMILARITY) * size[k] + 1e-9)
+        low = np.searchsorted(size, size[k] - most)
+        maybe = low + np.flatnonzero(group[low:k] != group[k])
+        # an edit takes away two pairs of characters at most and brings two
+        for x in maybe[np.abs(pairs[maybe] - pairs[k]).sum(axis=1) <= 4 * most]:
             if group[x] != group[k] and similar(texts[k], texts[x]):
                 group[group == group[x]] = group[k]
                 edges.append((int(ids[k]), int(ids[x])))
     return edges
 
 
-def _keys() -> F.Column:
-    """The key of each pair of blocks: 32 bits of the fingerprint and the number of the pair."""
-    bits = 64 // BLOCKS
-    parts = [F.shiftrightunsigned("_sim", k * bits).bitwiseAND((1 << bits) - 1) for k in range(BLOCKS)]
-    return F.array(
-        *(
-            F.shiftleft(parts[a], bits).bitwiseOR(parts[b]).bitwiseOR(F.lit(k << 2 * bits))
-            for k, (a, b) in enumerate(combinations(range(BLOCKS), 2))
-        )
-    )
+def _smallest(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, value) of the GRAMS smallest distinct values of each run of counts[k] > 0 values."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    # sorting all would cost most: those below a bound that nearly always leaves enough, or else the run
+    bound = np.minimum((GRAMS + 3 * GRAMS**0.5) / counts, 1.0) * 2.0**53
+    below = (value >> U(11)) <= bound.astype(U)[run]
+    below |= (np.bincount(run[below], minlength=len(counts)) < GRAMS)[run]
+    run, value = run[below], value[below]
+    order = np.lexsort((value, run))
+    run, value = run[order], value[order]
+    new = np.concatenate(([True], (run[1:] != run[:-1]) | (value[1:] != value[:-1])))
+    run, value = run[new], value[new]
+    first = np.searchsorted(run, np.arange(len(counts)))
+    taken = np.arange(len(run)) - first[run] < GRAMS
+    return run[taken], value[taken]
+
+
+def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for the keys of normalised lines given as bytes."""
+    head = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(data)]))
+    begin = np.searchsorted(head, starts)
+    n = np.searchsorted(head, starts + lengths) - begin
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE_CODE[data] * _power(_BASE, len(data)), out=total[1:])
+    back = _power(_BASE_INVERSE, len(data) + 1)
+    own = np.searchsorted(EDGES, n, "right") - 1
+    fuzzy = np.flatnonzero(n >= FUZZY_CHARS)
+    twice = fuzzy[n[fuzzy] >= EDIT_SIMILARITY * EDGES[own[fuzzy] + 1] - 1]
+    lines, classes = np.concatenate((fuzzy, twice)), np.concatenate((own[fuzzy], own[twice] + 1))
+    width = np.array([_window(e) for e in EDGES])[classes]
+    out = [(np.zeros(0, np.int64), np.zeros(0, U))]
+    for g in np.unique(width):
+        of = np.flatnonzero(width == g)
+        counts = n[lines[of]] - g + 1
+        at = np.repeat(begin[lines[of]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        low, high = head[at], head[at + g]
+        run, value = _smallest(mix((total[high] - total[low]) * back[low]), counts)
+        out.append((lines[of][run], mix(value ^ mix(classes[of][run].astype(U) + U(1)))))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, data, starts, lengths, batch in chunks(batches):
+        line, key = line_keys(data, starts, lengths)
+        size = np.asarray(batch.column(batch.schema.names.index("_n")))
+        yield pa.record_batch([pa.array(ids[line]), pa.array(size[line]), pa.array(as_long(key))], ["_x", "_n", "_key"])
 
 
 def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,7 +254,7 @@ def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _read_lines(texts: DataFrame) -> DataFrame:
     return saved(
         texts.mapInArrow(
-            _line_rows, "_id long, _th long, _line int, _h1 long, _h2 long, _sim long, _words long"
+            _line_rows, "_id long, _th long, _line int, _h1 long, _h2 long, _size long, _line_text string"
         )
     )
 
@@ -193,28 +264,22 @@ def repeated_lines(texts: DataFrame, rows: DataFrame) -> DataFrame:
     have any; _th is xxhash64 of the text, so rows with one id and different texts differ."""
     lines = rows.filter("_line >= 0")
     nodes = saved(
-        lines.groupBy("_h1", "_h2", "_sim", "_words").agg(
-            F.min(F.struct("_id", "_th", "_line")).alias("_first"), F.count("*").alias("_m")
+        lines.groupBy("_h1", "_h2").agg(
+            F.min(F.struct("_id", "_th", "_line", "_size", "_line_text")).alias("_first"), F.count("*").alias("_m")
         )
     )
-    entries = nodes.select(
-        F.col("_h1").alias("_x"), (F.col("_words") * 8).alias("_n"), F.explode(_keys()).alias("_key")
+    fuzzy = nodes.filter(f"_first._size >= {FUZZY_CHARS}").select(
+        F.col("_h1").alias("_id"), F.col("_first._size").alias("_n"), F.col("_first._line_text").alias("_text")
     )
-    members = bucket_members(entries)
+    members = bucket_members(fuzzy.mapInArrow(_entries, "_x long, _n long, _key long"))
     wanted = members.select("_x").distinct()
-    where = nodes.join(wanted, F.col("_h1") == F.col("_x"), "left_semi").select(
-        F.col("_h1").alias("_x"), "_sim", "_first._id", "_first._th", "_first._line"
-    )
-    # the normalised line: words joined by one space
-    line = F.expr("split(_text, '\\n', -1)[_line]")
-    line = F.regexp_replace(
-        F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \x09-\x0D]+", " "
+    payload = fuzzy.select(F.col("_id").alias("_x"), F.col("_text").alias("_line_text")).join(
+        wanted.hint("merge"), "_x", "left_semi"
     )
-    payload = texts.join(where.hint("merge"), ["_id", "_th"]).select("_x", "_sim", F.trim(line).alias("_line_text"))
     label = components(block_links(members, payload, linked_lines))
     groups = (
         nodes.join(label, F.col("_h1") == F.col("node"), "left")
-        .select("_h1", "_h2", "_m", "_first", F.coalesce("component", "_h1").alias("_group"))
+        .select("_h1", "_h2", "_m", F.struct("_first._id", "_first._th", "_first._line").alias("_first"), F.coalesce("component", "_h1").alias("_group"))
     )
     firsts = groups.groupBy("_group").agg(F.min("_first").alias("_keep"), F.sum("_m").alias("_all"))
     keep = groups.join(firsts.filter("_all > 1"), "_group").select("_h1", "_h2", "_keep")
@@ -232,7 +297,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = _with_hash(docs, id_col, text_col)
     read = _read_lines(texts)
     drop = repeated_lines(texts, read)
-    rows = read.filter("_line < 0").select("_id", "_th", F.col("_words").alias("n_lines"))
+    rows = read.filter("_line < 0").select("_id", "_th", F.col("_size").alias("n_lines"))
     none = F.array().cast("array<int>")
     return rows.join(drop, ["_id", "_th"], "left").select(
         given_id().alias("doc_id"),
