@@ -242,6 +242,13 @@ def test_similar_lines_are_found_by_edit_similarity_alone(spark):
     assert len(got) >= 0.99 * 600
 
 
+def test_repeats_of_short_lines_go(spark):
+    texts = ["Terms of use Privacy\n\nown line 1", "\u4e0a\u6d77" * 20 + "\nTerms of  use privacy", "\u4e0a\u6d77" * 20 + "\n\n}\n}", "\u4e0a\u6d77" * 19 + "\u4e0a"]
+    rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["dropped"] for r in lines.line_report(frame(spark, rows)).collect()}
+    assert got == {0: [], 1: [1], 2: [0, 3], 3: [0]}
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_empty_tables(spark, empty):
     rows = [] if empty else [(1, None, *[None] * 7)]

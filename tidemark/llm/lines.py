@@ -33,8 +33,8 @@ from tidemark.llm.textbytes import (
 )
 
 U = np.uint64
-#: shorter lines repeat by nature and are always kept
-MIN_WORDS = 5
+#: all lines that are not blank
+MIN_WORDS = 1
 #: bits of 64 in which the fingerprints of linked lines may differ: all, the edit bound alone decides
 RADIUS = 64
 EDIT_SIMILARITY = 0.9
@@ -310,7 +310,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all other columns as they are.
 
-    Lines with fewer than MIN_WORDS words always stay. A null text stays null. Rows that are
+    Blank lines always stay. A null text stays null. Rows that are
     repeated as a whole lose the same lines, none to each other: they are one document.
     A document whose lines all go keeps its row with an empty text. Null ids count as the
     smallest id. An empty table gives an empty result.
