@@ -51,6 +51,14 @@ def test_stages_on_awkward_documents(spark, tmp_path):
     assert bag(last.select("doc_id").collect()) == bag(whole.select("doc_id").collect())
 
 
+def test_near_copies_at_four_fifths_go(spark, tmp_path):
+    words = [f"w{k}" for k in range(104)]
+    other = [*words[:50], "x", *words[51:80], "y", *words[81:]]  # 90 of 110 shingles in common: 0.818
+    rows = [(k, " ".join(w), *[None] * 7) for k, w in enumerate((words, other))]
+    out = corpus_pipeline.minhash_near_dedup(spark, frame(spark, rows), str(tmp_path))
+    assert [r["doc_id"] for r in out.collect()] == [0]
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
