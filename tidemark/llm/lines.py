@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: bottom-k character grams, edit similarity, connected groups.
 
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
-one node. A node's keys are the GRAMS smallest hashes of its windows of five to eight characters,
+one node. A node's keys are the GRAMS smallest hashes of its windows of five to twelve characters,
 together with its class of length; lines that differ by the edit bound fall into one class and
 share windows wherever they are intact. Members of a bucket are linked when the edit
 similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound;
@@ -46,9 +46,9 @@ EDGES = FUZZY_CHARS * 1.5 ** np.arange(48)
 
 
 def _window(least: float) -> int:
-    """Characters of a window in the class from ``least`` characters on: at least so many stay
-    together when every tenth is edited."""
-    return 5 if least < 20 else 6 if least < 30 else 7 if least < 40 else 8
+    """Characters of a window in the class from ``least`` characters on. Up to eight surely stay together
+    when every tenth is edited; edits at random places leave longer pieces in longer lines."""
+    return 5 if least < 20 else 6 if least < 30 else 7 if least < 40 else 8 if least < 60 else 10 if least < 100 else 12
 
 
 def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -169,6 +169,18 @@ def similar(a: str, b: str, least: float = EDIT_SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _gram_counts(point: np.ndarray, owner: np.ndarray, n: int, width: int, kinds: int) -> np.ndarray:
+    """For each of n lines how often it holds the windows of ``width`` characters of each of some kinds;
+    counts above 255 are 255, which brings two lines no further apart."""
+    last = max(0, len(point) - width + 1)
+    value = np.zeros(last, U)
+    for k in range(width):
+        value = mix(value ^ point[k : last + k])
+    whole = owner[:last] == owner[len(owner) - last :]
+    place = owner[:last] * kinds + (value & U(kinds - 1)).astype(np.int64)
+    return np.minimum(np.bincount(place[whole], minlength=n * kinds), 255).reshape(n, kinds).astype(np.int16)
+
+
 def linked_lines(table: pa.Table) -> list[tuple[int, int]]:
     """A spanning forest of the links among the lines (_x, _line_text) of one block."""
     texts = table["_line_text"].to_pylist()
@@ -177,17 +189,18 @@ def linked_lines(table: pa.Table) -> list[tuple[int, int]]:
     ids, size, texts = np.asarray(table["_x"])[order], size[order], [texts[k] for k in order]
     point = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U)
     owner = np.repeat(np.arange(len(ids)), size)
-    kind = (mix(point[:-1] << U(32) | point[1:]) & U(63)).astype(np.int64)
-    same = owner[1:] == owner[:-1]
-    pairs = np.bincount((owner[1:] * 64 + kind)[same], minlength=64 * len(ids)).reshape(-1, 64).astype(np.int32)
+    coarse = _gram_counts(point, owner, len(ids), 2, 64)
+    fine = _gram_counts(point, owner, len(ids), 3, 1_024)
     group = np.arange(len(ids))
     edges = []
     for k in range(1, len(ids)):
         most = int((1 - EDIT_SIMILARITY) * size[k] + 1e-9)
         low = np.searchsorted(size, size[k] - most)
         maybe = low + np.flatnonzero(group[low:k] != group[k])
-        # an edit takes away two pairs of characters at most and brings two
-        for x in maybe[np.abs(pairs[maybe] - pairs[k]).sum(axis=1) <= 4 * most]:
+        # an edit takes away two pairs and three triples of characters at most and brings as many
+        for counts, width in ((coarse, 2), (fine, 3)):
+            maybe = maybe[np.abs(counts[maybe] - counts[k]).sum(axis=1, dtype=np.int32) <= 2 * width * most]
+        for x in maybe:
             if group[x] != group[k] and similar(texts[k], texts[x]):
                 group[group == group[x]] = group[k]
                 edges.append((int(ids[k]), int(ids[x])))
