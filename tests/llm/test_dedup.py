@@ -50,6 +50,17 @@ def test_near_duplicates(spark, monkeypatch):
     assert bag(near.near_duplicates(frame(spark)).collect()) == want
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{t}{k}" for k in range(120)) for t in "abc")
+    texts = [(3, a), (9, a + " end"), (9, b), (None, c), (None, c + " end"), (None, b[:300])]
+    df = frame(spark, [(i, t, *[None] * 7) for i, t in texts])
+    got = bag((r["doc_id"], r["component_id"], r["n_shingles"]) for r in near.near_duplicates(df).collect())
+    own = {t: len(shingle_set(t)) for _, t in texts}
+    assert got == bag([(3, 3, own[a]), (9, 3, own[a + " end"]), (9, 9, own[b]), *[(None, None, own[t]) for _, t in texts[3:]]])
+    kept = [(r["doc_id"], r["text"]) for r in near.keep_one_of_each(df).collect()]
+    assert len(kept) == 4 and {(3, a), (9, b), (None, b[:300])} < set(kept)
+
+
 def test_one_document_of_each_group_stays(spark):
     df = frame(spark)
     kept = near.keep_one_of_each(df)

@@ -8,7 +8,7 @@ signatures within the radius then share a key. Documents whose similarity is exa
 the threshold of 0.85 are further apart than all keys reach with probability below 2e-8.
 
 No pair of a bucket is emitted as a row. Equal sets are one node from the start. A bucket
-names its smallest node the leader; the members of all buckets of a leader meet in blocks
+names its smallest node (by the digest of its set) the leader; the members of all buckets of a leader meet in blocks
 of bounded size (a large group is dealt to pairs of blocks), where full shingle sets are
 compared, and a block returns only a spanning forest of its confirmed links.
 """
@@ -132,38 +132,47 @@ def confirmed_links(percent: int):
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(_id, _th, _n, _component) for each row."""
+    """(_id, _th, _n, _component, _kept) for each row."""
     texts = id_and_text(docs, id_col, text_col).withColumn("_th", F.xxhash64("_text"))
     sketch = saved(
         texts.mapInArrow(_sketch, "_id long, _th long, _n long, _d1 long, _d2 long, _keys array<long>")
     )
+    # a node is a set, under its digest: rows that share an id may hold different sets
     nodes = (
         sketch.filter("_n > 0")
         .groupBy("_d1", "_d2", "_n")
-        .agg(F.min("_id").alias("_rep"), F.count("*").alias("_m"), F.first("_keys").alias("_keys"))
+        .agg(F.min(F.struct("_id", "_th")).alias("_first"), F.count("*").alias("_m"), F.first("_keys").alias("_keys"))
     )
-    entries = nodes.select(F.col("_rep").alias("_x"), F.col("_n"), F.explode("_keys").alias("_key"))
+    entries = nodes.select(F.col("_d1").alias("_x"), F.col("_n"), F.explode("_keys").alias("_key"))
     members = bucket_members(entries)
     wanted = members.select("_x").distinct()
-    # merged at every size: a broadcast would only fit small tables
-    sets = texts.join(wanted.hint("merge"), texts["_id"] == wanted["_x"], "left_semi").mapInArrow(
-        _full_sets, "_x long, _set array<long>"
+    where = nodes.join(wanted, nodes["_d1"] == wanted["_x"], "left_semi").select("_first._id", "_first._th", "_d1")
+    # merged at every size: a broadcast would only fit small tables; of repeated rows one goes on
+    sets = (
+        texts.join(where.hint("merge"), ["_id", "_th"])
+        .dropDuplicates(["_id", "_th"])
+        .select(F.col("_d1").alias("_id"), "_text")
+        .mapInArrow(_full_sets, "_x long, _set array<long>")
     )
     label = components(block_links(members, sets, confirmed_links(percent)))
+    linked = nodes.drop("_keys").join(label, F.col("_d1") == F.col("node"), "left")
+    least = linked.filter("component is not null").groupBy("component").agg(F.min("_first").alias("_least"))
     # one row per set that has copies or links, under every salt: a set of any number of copies is spread
     classes = (
-        nodes.drop("_keys")
-        .join(label, F.col("_rep") == F.col("node"), "left")
+        linked.join(least, "component", "left")
         .filter("_m > 1 or component is not null")
         .select(
             "_d1", "_d2", "_n",
-            F.coalesce("component", "_rep").alias("_class"),
+            F.coalesce("_least", "_first").alias("_class"),
             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
         )
     )
     salted = sketch.drop("_keys").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    own = F.struct("_id", "_th")
     return salted.join(classes, ["_d1", "_d2", "_n", "_salt"], "left").select(
-        "_id", "_th", "_n", F.coalesce("_class", "_id").alias("_component")
+        "_id", "_th", "_n",
+        F.coalesce("_class._id", "_id").alias("_component"),
+        (F.col("_class").isNull() | (F.col("_class") == own)).alias("_kept"),
     )
 
 
@@ -173,7 +182,8 @@ def near_duplicates(
     """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Documents are linked when their sets of five-word shingles satisfy
-    ``100 * intersection >= percent * union``; component_id is the smallest id reachable.
+    ``100 * intersection >= percent * union``; component_id is the smallest id reachable;
+    its row (of several with that id the one of smallest text hash) is kept.
 
     Null and empty texts and texts without words have an empty set and no links. A null id
     is a document like any other, smaller than all ids, and stays null. Rows that
@@ -184,7 +194,7 @@ def near_duplicates(
         given_id().alias("doc_id"),
         F.col("_n").alias("n_shingles"),
         given_id("_component").alias("component_id"),
-        (F.col("_id") == F.col("_component")).alias("kept"),
+        F.col("_kept").alias("kept"),
     )
 
 
@@ -193,7 +203,7 @@ def keep_one_of_each(
 ) -> DataFrame:
     """``docs`` with the document of smallest id of each component of near_duplicates; of rows that
     agree in id and text one stays. All columns as they are; texts without words are kept."""
-    kept = _components(docs, id_col, text_col, percent).filter("_id = _component").select("_id", "_th")
+    kept = _components(docs, id_col, text_col, percent).filter("_kept").select("_id", "_th")
     own = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("_id"),
