@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.ctw import lm_scores
 from tidemark.llm.decontam import contaminated_pairs
-from tidemark.llm import licences
+from tidemark.llm import audit, licences
 from tidemark.llm.lines import line_report
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near import near_duplicates
@@ -67,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_table(spark, folder, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_line_dedup": op10_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scans": licences.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.ORACLE, "op13_filter_audit": audit.ORACLE}
