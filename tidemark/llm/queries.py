@@ -6,14 +6,16 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.ctw import lm_scores
 from tidemark.llm.decontam import contaminated_pairs
-from tidemark.llm import audit, licences
+from tidemark.llm import audit, licences, products
 from tidemark.llm.lines import line_report
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.pieces import token_counts
+from tidemark.llm.products import top_products
 from tidemark.llm.quality import quality_verdicts
 from tidemark.llm.repeats import repeated_strings
 from tidemark.llm.secrets import secret_digest
@@ -67,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_table(spark, folder, "documents"))
 
 
+def op12_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -82,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_line_dedup": op10_line_dedup,
+    "op12_top_products": op12_top_products,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scans": licences.ORACLE, "op13_filter_audit": audit.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.ORACLE, "op12_top_products": products.ORACLE, "op13_filter_audit": audit.ORACLE}
