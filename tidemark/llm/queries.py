@@ -19,6 +19,7 @@ from tidemark.llm.products import top_products
 from tidemark.llm.quality import quality_verdicts
 from tidemark.llm.repeats import repeated_strings
 from tidemark.llm.secrets import secret_digest
+from tidemark.llm.turns import damage_report
 
 
 #: a sentencepiece model on the driver
@@ -69,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damage_report(_table(spark, folder, "conversations"))
+
+
 def op12_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_top_products": op12_top_products,
     "op13_filter_audit": op13_filter_audit,
 }
