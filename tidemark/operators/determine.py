@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bridging import longest_chains
 from tidemark.operators.histogram import (
     _latest_by_joins,
     _value_counts,
@@ -14,7 +15,6 @@ from tidemark.operators.histogram import (
     coded,
     coded_wide,
     edge_table,
-    edges_by_joins,
     long_array,
     long_text,
     maskable,
@@ -23,7 +23,7 @@ from tidemark.operators.histogram import (
     word,
     words_of,
 )
-from tidemark.operators.names import distinct_names, entity, inner_keys, neutral, unpacked
+from tidemark.operators.names import distinct_names, inner_keys, neutral
 from tidemark.operators.rule_graph import AttributeOrder, RuleBook, rules_in_use
 from tidemark.session import materialize
 
@@ -68,7 +68,8 @@ def _cvq(
         return _cvq_by_joins(df, keys, attributes, edge_table(book, df))
     if max(len(book.order(a)) for a in attributes) <= MAX_COUNTED_VALUES:
         return _cvq_counted(df, keys, attributes, book)
-    return _cvq_collected(df, keys, attributes, book)
+    cells = coded(df, keys, attributes, book).groupBy(*keys, "slot", "code", "odd").agg(F.count("*").alias("n"))
+    return cvq_of_cells(cells, keys, attributes, book)
 
 
 def _cvq_counted(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
@@ -100,12 +101,12 @@ def _cvq_counted(df: DataFrame, keys: Sequence[str], attributes: Sequence[str],
     return marked.select(*keys, *scores)
 
 
-def _cvq_collected(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
-    # Histogram first; an entity then holds at most one array item per ruled
-    # value. Odd values are never collected: they only add to a minimum and a sum.
-    cells = (
-        coded(df, keys, attributes, book).groupBy(*keys, "slot", "code", "odd").agg(F.count("*").alias("n"))
-    )
+def cvq_of_cells(cells: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
+    """Scores from ``keys, slot, code, odd, n``, one row per value of an entity.
+
+    An entity holds at most one array item per ruled value. Odd values are never collected: they
+    only add to a minimum and a sum.
+    """
     aggs: list[Column] = []
     for i, a in enumerate(attributes):
         item = f"if(slot = {i} and code > 0, named_struct('code', code, 'n', n), null)"
@@ -119,21 +120,23 @@ def _cvq_collected(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]
 
     scores = []
     for i, a in enumerate(attributes):
-        order = book.order(a)
-        words = range(words_of(order))
-        newer = [f"get({long_array([word(m, w) for m in order.newer])}, x.code - 1)" for w in words]
-        scores.append(
-            F.expr(
-                f"""aggregate(
-                  filter(known{i}, x -> not {shares(newer, [f"p{i}_{w}" for w in words])}),
-                  named_struct('rarest', odd_min{i}, 'total', odd_sum{i}),
-                  (s, x) -> named_struct('rarest', least(s.rarest, x.n), 'total', s.total + x.n),
-                  s -> try_divide(cast(s.rarest as double), cast(s.total as double)))"""
-            ).alias(f"{a}_cvq")
-        )
+        present = [f"p{i}_{w}" for w in range(words_of(book.order(a)))]
+        score = certainty(book.order(a), f"known{i}", present, f"odd_min{i}", f"odd_sum{i}")
+        scores.append(F.expr(score).alias(f"{a}_cvq"))
     return gathered.select(*keys, *scores)
 
 
+def certainty(order: AttributeOrder, known: str, present: Sequence[str], odd_min: str, odd_sum: str) -> str:
+    """SQL for the score of an array ``known`` of (code, n) and the least and total count of odd values.
+    ``present`` are the words of the mask of all codes."""
+    newer = [f"get({long_array([word(m, w) for m in order.newer])}, x.code - 1)" for w in range(len(present))]
+    return f"""aggregate(
+      filter({known}, x -> not {shares(newer, present)}),
+      named_struct('rarest', {odd_min}, 'total', {odd_sum}),
+      (s, x) -> named_struct('rarest', least(s.rarest, x.n), 'total', s.total + x.n),
+      s -> try_divide(cast(s.rarest as double), cast(s.total as double)))"""
+
+
 def _odd_aggs(i: int, odd: str) -> list[Column]:
     return [
         F.expr(f"min(if({odd}, n, null)) as odd_min{i}"),
@@ -148,7 +151,11 @@ def _ratio(top: Column, bottom: Column) -> Column:
 def _cvq_by_joins(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
 ) -> DataFrame:
-    latest = _latest_by_joins(df, keys, attributes, edges)
+    return cvq_of_latest(df, _latest_by_joins(df, keys, attributes, edges), keys, attributes)
+
+
+def cvq_of_latest(df: DataFrame, latest: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """Scores of the entities of ``df`` from their latest values."""
     long = latest.groupBy(*keys, "attribute").agg(_ratio(F.min("cnt"), F.sum("cnt")).alias("score"))
     return _widen(df, long, keys, attributes, "cvq")
 
@@ -170,7 +177,11 @@ def _hsq(
 ) -> DataFrame:
     if not maskable(book, attributes):
         return _hsq_by_joins(df, keys, attributes, edge_table(book, df))
-    masks = presence(df, keys, attributes, book)
+    return hsq_of_masks(presence(df, keys, attributes, book), keys, attributes, book)
+
+
+def hsq_of_masks(masks: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook) -> DataFrame:
+    """Scores from the columns of :func:`presence`."""
     scores = []
     for i, a in enumerate(attributes):
         order = book.order(a)
@@ -179,7 +190,7 @@ def _hsq(
         if 0 < len(order) <= MAX_COUNTED_VALUES:
             masks, longest = _with_depths(masks, i, order)
         else:
-            longest = _chain_length(order, present)
+            longest = chain_length(order, present)
         chain = f"greatest({longest}, if(odd{i} > 0, 1, 0))"
         scores.append(_ratio(F.expr(chain), F.expr(f"{known} + odd{i}")).alias(f"{a}_hsq"))
     return masks.select(*keys, *scores)
@@ -202,7 +213,7 @@ def _with_depths(masks: DataFrame, i: int, order: AttributeOrder) -> tuple[DataF
     return masks, f"greatest({', '.join(ends)})"
 
 
-def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
+def chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
     """SQL for the longest chain among the present values.
 
     Folds the values in rank order into one mask per chain length. If some older
@@ -235,27 +246,23 @@ def _chain_length(order: AttributeOrder, present: Sequence[str]) -> str:
 def _hsq_by_joins(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
 ) -> DataFrame:
-    """Chain lengths by relaxation over each entity's bridged edges.
+    counts = materialize(_value_counts(df, keys, attributes))
+    return hsq_of_counts(df, counts, keys, attributes, edges)
+
+
+def hsq_of_counts(
+    df: DataFrame, counts: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
+) -> DataFrame:
+    """Scores of the entities of ``df`` from their materialized ``counts``.
 
-    A chain of present values is a path of bridged edges, so the closure, which
-    may be far larger, is not needed.
+    A chain of present values is a path of bridged edges, so the closure, which may be far larger,
+    is not needed.
     """
-    counts = materialize(_value_counts(df, keys, attributes))
-    links = materialize(edges_by_joins(counts, keys, edges))
-    links = links.select(entity(keys).alias("_e"), "attribute", "src", "dst")
-    depth = counts.select(entity(keys).alias("_e"), "attribute", "value").withColumn("depth", F.lit(1))
-    reached = None
-    while True:  # the rules are acyclic, so depths stop growing
-        total = depth.agg(F.sum("depth")).first()[0]
-        if total == reached:
-            break
-        reached = total
-        grown = links.join(depth.withColumnRenamed("value", "src"), ["_e", "attribute", "src"]).select(
-            "_e", "attribute", F.col("dst").alias("value"), (F.col("depth") + 1).alias("depth")
-        )
-        depth = materialize(
-            depth.unionByName(grown).groupBy("_e", "attribute", "value").agg(F.max("depth").alias("depth"))
-        )
-    depth = depth.select(*unpacked(keys), "attribute", "depth")
-    long = depth.groupBy(*keys, "attribute").agg(_ratio(F.max("depth"), F.count("*")).alias("score"))
+    longest = longest_chains(counts, keys, edges)
+    present = counts.groupBy(*keys, "attribute").agg(F.count("*").alias("n"), F.lit(1).alias("longest"))
+    long = (
+        present.unionByName(longest.select(*keys, "attribute", F.lit(0).cast("long").alias("n"), "longest"))
+        .groupBy(*keys, "attribute")
+        .agg(_ratio(F.max("longest"), F.sum("n")).alias("score"))
+    )
     return _widen(df, long, keys, attributes, "hsq")

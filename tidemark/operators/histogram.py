@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.bridging import bridged_edges as graph_edges
+from tidemark.operators.bridging import dominated_values
 from tidemark.operators.names import distinct_names, entity, given, inner_keys, neutral, unpacked
 from tidemark.operators.rule_graph import (
     MAX_TASK_PAIRS,
@@ -139,7 +141,14 @@ def coded(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: R
     (kept in ``odd``) and -1 for null. The lookup table has at most two rows per
     rule edge, and a RuleBook is bounded, so it is broadcast.
     """
-    codes = book.codes(df.sparkSession, attributes).select(
+    return coded_tall(tall(df, keys, attributes), keys, attributes, book)
+
+
+def coded_tall(
+    rows: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The same of rows ``keys, attribute, value``, which may carry further columns."""
+    codes = book.codes(rows.sparkSession, attributes).select(
         F.col("attribute").alias("_ra"), F.col("value").alias("_rv"), "code"
     )
     slot = F.expr(
@@ -147,13 +156,14 @@ def coded(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: R
         + " ".join(f"when '{sql_text(a)}' then {i}" for i, a in enumerate(attributes))
         + " end"
     )
-    joined = tall(df, keys, attributes).join(
+    joined = rows.join(
         F.broadcast(codes),
         (F.col("attribute") == F.col("_ra")) & (F.col("value") == F.col("_rv")),
         "left",
     )
     return joined.select(
         *keys,
+        *carry,
         slot.cast("int").alias("slot"),
         F.when(F.col("value").isNull(), -1).otherwise(F.coalesce("code", F.lit(0))).alias("code"),
         F.when(F.col("code").isNull(), F.col("value")).alias("odd"),
@@ -250,11 +260,16 @@ def edge_table(rules: RuleBook | DataFrame, df: DataFrame) -> DataFrame:
 def _latest_by_joins(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], edges: DataFrame
 ) -> DataFrame:
-    # A value has a newer one in its entity exactly if a bridged edge leaves it, so only edges
-    # next to present values are walked and no closure is needed.
-    counts = materialize(_value_counts(df, keys, attributes))
-    links = edges_by_joins(counts, keys, edges)
-    old = links.select(entity(keys).alias("_e"), "attribute", F.col("src").alias("value")).distinct()
+    return latest_of_counts(materialize(_value_counts(df, keys, attributes)), keys, edges)
+
+
+def latest_of_counts(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
+    """The rows of materialized ``counts`` whose value has no newer one in its entity.
+
+    A value has a newer one exactly if a bridged edge leaves it, so only edges next to present
+    values are walked and no closure is needed.
+    """
+    old = dominated_values(counts, keys, edges).select(entity(keys).alias("_e"), "attribute", "value")
     return (
         counts.withColumn("_e", entity(keys))
         .join(old, ["_e", "attribute", "value"], "left_anti")
@@ -280,7 +295,7 @@ def _present_edges(
     df: DataFrame, keys: Sequence[str], attributes: Sequence[str], book: RuleBook | DataFrame
 ) -> DataFrame:
     if not maskable(book, attributes):
-        return edges_by_joins(materialize(_value_counts(df, keys, attributes)), keys, edge_table(book, df))
+        return graph_edges(materialize(_value_counts(df, keys, attributes)), keys, edge_table(book, df))
     masks = presence(df, keys, attributes, book)
     orders = [(a, book.order(a)) for a in attributes]
     schema = T.StructType(
@@ -361,39 +376,12 @@ def presence(
     )
 
 
-def edges_by_joins(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
-    """Frontier walk: leave a present value, pass through absent ones, stop at present ones.
-
-    ``counts`` and ``edges`` are materialized; edges are broadcast if measured small. Every
-    round keeps what is new in a table of its own.
-    """
-    here = counts.select(entity(keys).alias("_e"), "attribute", "value")
-    steps = small(edges.select("attribute", F.col("src").alias("at"), "dst"))
-    frontier = here.select("_e", "attribute", F.col("value").alias("src"), F.col("value").alias("at"))
-    at = here.withColumnRenamed("value", "dst")
-    rounds: list[DataFrame] = []
-    found = None
-    while True:
-        reached = frontier.join(steps, ["attribute", "at"]).select("_e", "attribute", "src", "dst").distinct()
-        for seen in rounds:
-            reached = reached.join(seen, ["_e", "attribute", "src", "dst"], "left_anti")
-        reached = materialize(reached)
-        if reached.isEmpty():
-            break
-        rounds.append(reached)
-        hits = reached.join(at, ["_e", "attribute", "dst"], "left_semi")
-        found = hits if found is None else found.unionByName(hits)
-        frontier = reached.join(at, ["_e", "attribute", "dst"], "left_anti").withColumnRenamed("dst", "at")
-    found = reached if found is None else found
-    return found.distinct().select(*unpacked(keys), "attribute", "src", "dst")
-
-
 def related_pairs(counts: DataFrame, keys: Sequence[str], edges: DataFrame) -> DataFrame:
     """Pairs of present values of an entity that fix the order among all of them: those in the closure, if it
     measures small, else bridged edges. ``counts`` and ``edges`` are materialized."""
     ordinary, large = _by_size(edges, F.count_distinct("src") * F.count_distinct("dst"), MAX_TASK_PAIRS)
     if large is not None:
-        return edges_by_joins(counts, keys, edges)
+        return graph_edges(counts, keys, edges)
     closure = small(materialize(_closure_of(ordinary)).select("attribute", "src", "dst"))
     here = counts.select(entity(keys).alias("_e"), "attribute", F.col("value").alias("src"))
     there = here.withColumnRenamed("src", "dst")

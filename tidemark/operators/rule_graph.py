@@ -11,14 +11,16 @@ compiled one by one in tasks, and an attribute too large for a task is walked by
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.operators.contraction import cycle_text, levels
 from tidemark.operators.skew import bytes_of, row_numbers
 from tidemark.session import materialize, small_frame
 
@@ -94,10 +96,21 @@ def _levels_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> tuple[dict[s
             if not waiting[nxt]:
                 ready.append(nxt)
     if placed != len(successors):
-        raise ValueError(f"rules of attribute {attribute!r} form a cycle")
+        raise ValueError(cycle_text(attribute, _cycle(successors, {v for v, n in waiting.items() if n})))
     return level, successors
 
 
+def _cycle(successors: Mapping[str, Iterable[str]], left: set[str]) -> list[str]:
+    """One cycle among the values ``left``, each of which has a predecessor among them."""
+    before = {dst: src for src in sorted(left) for dst in successors[src] if dst in left}
+    value, seen = min(left), {}
+    while value not in seen:
+        seen[value] = len(seen)
+        value = before[value]
+    back = list(seen)[seen[value]:]
+    return [back[0], *reversed(back[1:])]
+
+
 def _order_of(attribute: str, pairs: Iterable[tuple[str, str]]) -> AttributeOrder:
     level, successors = _levels_of(attribute, pairs)
     values = tuple(sorted(level, key=lambda v: (level[v], v)))
@@ -273,79 +286,119 @@ def _by_size(edges: DataFrame, size: Column, most: int) -> tuple[DataFrame, Data
     return edges.join(large, "attribute", "left_anti"), materialize(edges.join(large, "attribute", "left_semi"))
 
 
-def _pairs(table: pa.Table) -> tuple[str, list[tuple[str, str]]]:
-    pairs = list(zip(table.column("src").to_pylist(), table.column("dst").to_pylist()))
-    return table.column("attribute")[0].as_py(), pairs
+def per_attribute(edges: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """Rows that ``work(attribute, pairs)`` yields for the edges of each attribute, many attributes a task.
+    ``edges`` has the columns ``attribute, src, dst`` and perhaps more, which the pairs then carry."""
+    names = edges.columns[1:]
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), arrow.types)]
+            out.clear()
+            return pa.record_batch(columns, names=arrow.names)
+
+        def worked(attribute: str, pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for row in work(attribute, pairs):
+                out.append(row)
+                if len(out) >= 50_000:
+                    yield flushed()
+
+        at, pairs = None, []
+        for batch in batches:
+            attributes, *columns = (batch.column(c).to_pylist() for c in range(batch.num_columns))
+            for attribute, *pair in zip(attributes, *columns):
+                if attribute != at:
+                    if pairs:
+                        yield from worked(at, pairs)
+                    at, pairs = attribute, []
+                pairs.append(tuple(pair))
+        if pairs:
+            yield from worked(at, pairs)
+        if out:
+            yield flushed()
+
+    sorted_edges = edges.repartition("attribute").sortWithinPartitions("attribute").select("attribute", *names)
+    return sorted_edges.mapInArrow(run, schema)
+
+
+def _task_ranks(attribute: str, pairs: list[tuple[str, str]]) -> Iterator[tuple]:
+    try:
+        level, _ = _levels_of(attribute, pairs)
+    except ValueError as cycle:  # told by a row, so that the driver raises it
+        yield attribute, str(cycle), -1, -1
+        return
+    for i, v in enumerate(sorted(level, key=lambda v: (level[v], v)), 1):
+        yield attribute, v, level[v], i
 
 
-def _task_ranks(table: pa.Table) -> pa.Table:
-    attribute, pairs = _pairs(table)
+def _task_closure(attribute: str, pairs: list[tuple[str, str]]) -> Iterator[tuple]:
     try:
-        level, _ = _levels_of(attribute, pairs)
-    except ValueError:  # told by a row, so that the driver raises it
-        return pa.table({"attribute": [attribute], "value": pa.array([None], pa.string()), "level": pa.array([-1], pa.int32()), "rank": pa.array([-1], pa.int32())})
-    values = sorted(level, key=lambda v: (level[v], v))
-    return pa.table(
-        {
-            "attribute": pa.array([attribute] * len(values), pa.string()),
-            "value": pa.array(values, pa.string()),
-            "level": pa.array([level[v] for v in values], pa.int32()),
-            "rank": pa.array(range(1, len(values) + 1), pa.int32()),
-        }
-    )
+        order = _order_of(attribute, pairs)
+    except ValueError as cycle:
+        yield attribute, str(cycle), None, -1
+        return
+    for o, i, n in _longest_paths(order):
+        yield attribute, order.values[o], order.values[i], n
 
 
-def _task_closure(table: pa.Table) -> pa.Table:
-    attribute, pairs = _pairs(table)
-    order = _order_of(attribute, pairs)
-    found = list(_longest_paths(order))
-    return pa.table(
-        {
-            "attribute": pa.array([attribute] * len(found), pa.string()),
-            "src": pa.array([order.values[o] for o, _, _ in found], pa.string()),
-            "dst": pa.array([order.values[i] for _, i, _ in found], pa.string()),
-            "hops": pa.array([n for _, _, n in found], pa.int32()),
-        }
-    )
+def _task_levels(attribute: str, edges: list[tuple[str | None, str, int]]) -> Iterator[tuple]:
+    """Longest weighted path that ends in each value; an edge without a source is a lower bound."""
+    successors: dict[str, list[tuple[str, int]]] = {}
+    waiting: dict[str, int] = {}
+    level: dict[str, int] = {}
+    for src, dst, weight in edges:
+        successors.setdefault(dst, [])
+        if src is None:
+            level[dst] = max(level.get(dst, 0), weight)
+        else:
+            successors.setdefault(src, []).append((dst, weight))
+            waiting[dst] = waiting.get(dst, 0) + 1
+    ready = [v for v in successors if not waiting.get(v)]
+    placed = 0
+    while ready:
+        value = ready.pop()
+        placed += 1
+        for dst, weight in successors[value]:
+            level[dst] = max(level.get(dst, 0), level.get(value, 0) + weight)
+            waiting[dst] -= 1
+            if not waiting[dst]:
+                ready.append(dst)
+    if placed != len(successors):
+        names = {v: [d for d, _ in to] for v, to in successors.items()}
+        yield attribute, cycle_text(attribute, _cycle(names, {v for v, n in waiting.items() if n})), -1
+        return
+    for v in successors:
+        yield attribute, v, level.get(v, 0)
+
+
+def _told(rows: DataFrame, number: str, text: str) -> DataFrame:
+    """``rows``, once no task has told a cycle."""
+    bad = rows.filter(F.col(number) < 0).first()
+    if bad is not None:
+        raise ValueError(bad[text])
+    return rows
 
 
 def _distributed_ranks(edges: DataFrame) -> DataFrame:
     """Ranks of a materialized edge table; raises ValueError on cycles."""
     ordinary, large = _by_size(edges, F.count("*"), MAX_TASK_EDGES)
-    ranks = materialize(ordinary.groupBy("attribute").applyInArrow(_task_ranks, RANK_SCHEMA))
-    bad = ranks.filter("rank < 0").first()
-    if bad is not None:
-        raise ValueError(f"rules of attribute {bad['attribute']!r} form a cycle")
+    ranks = _told(materialize(per_attribute(ordinary, _task_ranks, RANK_SCHEMA)), "rank", "value")
     if large is None:
         return ranks
-    levels = _levels_by_joins(large)
-    ranked = row_numbers(levels, ["attribute"], [F.col("level"), F.col("value")], "rank")
+
+    def finish(weighted: DataFrame) -> DataFrame:
+        return _told(materialize(per_attribute(weighted, _task_levels, "attribute string, value string, level long")), "level", "value")
+
+    leveled = materialize(levels(large, MAX_TASK_EDGES, finish))
+    ranked = row_numbers(leveled, ["attribute"], [F.col("level"), F.col("value")], "rank")
     return ranks.unionByName(
         ranked.select("attribute", "value", F.col("level").cast("int"), F.col("rank").cast("int"))
     )
 
 
-def _levels_by_joins(edges: DataFrame) -> DataFrame:
-    """Peel off the values without an older one, round by round: the round is the level."""
-    done, left, level = None, edges, 0
-    ends = edges.select("attribute", F.col("src").alias("value")).union(edges.select("attribute", "dst")).distinct()
-    rest = materialize(ends)
-    while True:
-        free = materialize(
-            rest.join(left.select("attribute", F.col("dst").alias("value")).distinct(), ["attribute", "value"], "left_anti")
-        )
-        if free.isEmpty():
-            if rest.isEmpty():
-                return done
-            raise ValueError("rules form a cycle")
-        here = free.withColumn("level", F.lit(level))
-        done = here if done is None else done.unionByName(here)
-        gone = free.withColumnRenamed("value", "src")
-        left = materialize(left.join(gone, ["attribute", "src"], "left_anti"))
-        rest = materialize(rest.join(free, ["attribute", "value"], "left_anti"))
-        level += 1
-
-
 def check_acyclic(edges: DataFrame) -> None:
     """Raise ValueError if an edge table of any size has a cycle."""
     _distributed_ranks(edges)
@@ -364,16 +417,17 @@ def rule_closure(rules: RuleBook | DataFrame, spark: SparkSession | None = None)
         rules = book
     if not isinstance(rules, DataFrame):
         rules = rules.frame(spark)
-    edges = materialize(rule_edges(rules))
-    check_acyclic(edges)
-    return _closure_of(edges)
+    return _closure_of(materialize(rule_edges(rules)))
 
 
 def _closure_of(edges: DataFrame) -> DataFrame:
-    """Closure of a materialized acyclic edge table."""
+    """Closure of a materialized edge table; raises ValueError on cycles."""
     ordinary, large = _by_size(edges, F.count_distinct("src") * F.count_distinct("dst"), MAX_TASK_PAIRS)
-    pairs = ordinary.groupBy("attribute").applyInArrow(_task_closure, CLOSURE_SCHEMA)
-    return pairs if large is None else pairs.unionByName(_closure_by_joins(large))
+    pairs = _told(materialize(per_attribute(ordinary, _task_closure, CLOSURE_SCHEMA)), "hops", "src")
+    if large is None:
+        return pairs
+    check_acyclic(large)
+    return pairs.unionByName(_closure_by_joins(large))
 
 
 def _closure_by_joins(edges: DataFrame) -> DataFrame:
