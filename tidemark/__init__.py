@@ -5,6 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from tidemark.functions import average_score, combine_scores, entity_filter
+from tidemark.functions.sql import register_scores
 from tidemark.operators.determine import cvq, hsq
 from tidemark.operators.histogram import (
     latest_values,
@@ -18,6 +19,7 @@ from tidemark.operators.ordering import (
     static_rank,
     topo_row_number,
 )
+from tidemark.operators.reach import relation
 from tidemark.operators.repair import (
     detect_errors,
     join_back,
@@ -26,11 +28,11 @@ from tidemark.operators.repair import (
 )
 from tidemark.operators.rule_graph import (
     RuleBook,
-    relation,
     rule_closure,
     rule_edges,
     rule_rank,
 )
+from tidemark.operators.stored import cvq_of, histogram, hsq_of, merge_histograms
 from tidemark.sources import load_rules, load_table, preview, register, save_table
 
 __all__ = [
@@ -38,17 +40,22 @@ __all__ = [
     "average_score",
     "combine_scores",
     "cvq",
+    "cvq_of",
     "dense_topo_rank",
     "detect_errors",
     "entity_filter",
+    "histogram",
     "hsq",
+    "hsq_of",
     "join_back",
     "latest_values",
     "load_rules",
     "load_table",
+    "merge_histograms",
     "present_edges",
     "preview",
     "register",
+    "register_scores",
     "relation",
     "repair",
     "repaired_cells",

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidemark.operators.histogram import related_pairs
 from tidemark.operators.names import distinct_names, given, inner_keys, neutral
 from tidemark.operators.ordering import repair_keys, run_order, value_ranks
+from tidemark.operators.reach import relation
 from tidemark.operators.repair_scan import (
     NONE,
     Relations,
@@ -27,7 +28,7 @@ from tidemark.operators.repair_scan import (
     scan_stream,
     slice_summaries,
 )
-from tidemark.operators.rule_graph import RuleBook, _order_of, relation, rules_in_use
+from tidemark.operators.rule_graph import RuleBook, _order_of, rules_in_use
 from tidemark.operators.skew import bytes_of, hot_runs, join_runs, slices, split_groups, with_next
 from tidemark.session import materialize
 

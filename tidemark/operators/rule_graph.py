@@ -483,35 +483,3 @@ def rule_rank(
     if not isinstance(rules, DataFrame):
         rules = rules.frame(spark)
     return _distributed_ranks(materialize(rule_edges(rules)))
-
-
-def relation(
-    df: DataFrame,
-    left: str,
-    right: str,
-    attribute: str,
-    rules: RuleBook | DataFrame,
-    name: str = "relation",
-) -> DataFrame:
-    """Add ``<``, ``>`` or ``<>``: is ``left`` older than, newer than or incomparable to ``right``."""
-    used = rules_in_use(rules, [attribute], df.sparkSession)
-    if isinstance(used, RuleBook) and used.closure_pairs() <= MAX_DRIVER_PAIRS:
-        closure = F.broadcast(used.closure(df.sparkSession))
-    else:
-        edges = used if isinstance(used, DataFrame) else rule_edges(used.frame(df.sparkSession))
-        closure = small(materialize(_closure_of(materialize(edges))))
-    closure = closure.filter(F.col("attribute") == attribute)
-    forward = closure.select(F.col("src").alias("_fs"), F.col("dst").alias("_fd"), F.lit(True).alias("_fwd"))
-    backward = closure.select(F.col("src").alias("_bs"), F.col("dst").alias("_bd"), F.lit(True).alias("_bwd"))
-    lhs, rhs = F.col(left).cast("string"), F.col(right).cast("string")
-    return (
-        df.join(forward, (lhs == F.col("_fs")) & (rhs == F.col("_fd")), "left")
-        .join(backward, (rhs == F.col("_bs")) & (lhs == F.col("_bd")), "left")
-        .withColumn(
-            name,
-            F.when(F.coalesce("_fwd", F.lit(False)), "<")
-            .when(F.coalesce("_bwd", F.lit(False)), ">")
-            .otherwise("<>"),
-        )
-        .drop("_fs", "_fd", "_fwd", "_bs", "_bd", "_bwd")
-    )

@@ -228,7 +228,7 @@ SLIM = "o_custkey, o_orderkey, o_orderpriority, o_orderstatus"
 
 # More rules than the driver compiles.
 ORDER_STEPS = SEQUENCE.replace("SELECT a.o_custkey::VARCHAR,", "SELECT 'o_orderkey',")
-FINISHED = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
+FINISHED = "(SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS o_orderkey FROM orders)"
 FINISHED_VERSIONS = _versions(FINISHED, "o_custkey", ["o_orderkey"], "")
 YEARDAYS = "(SELECT o_custkey, o_orderkey, o_orderstatus, dayofyear(o_orderdate)::VARCHAR AS yearday FROM orders)"
 DAY_EDGES = (
@@ -327,7 +327,8 @@ FROM versions WHERE value IS NOT NULL GROUP BY ALL""",
 }
 ORACLES |= {
     f"{m}_sequence": _with(ORDER_STEPS, CLOSURE, FINISHED_VERSIONS, HIST, *tail)
-    + f"SELECT eid AS o_custkey, max(score) AS o_orderkey_{m} FROM scores GROUP BY eid"
+    + f"SELECT c.o_custkey, max(score) AS o_orderkey_{m} FROM (SELECT DISTINCT o_custkey FROM orders) c "
+    "LEFT JOIN scores s ON s.eid = c.o_custkey GROUP BY c.o_custkey"
     for m, tail in (("cvq", [LATEST, CVQ]), ("hsq", [HSQ]))
 }
 ORACLES |= {
@@ -338,6 +339,14 @@ ORACLES |= {
     "repair_sequence": _repair(
         ON_DAYS, ["o_custkey", "o_orderkey", "o_orderstatus", "yearday"], False, DAY_EDGES
     ),
+    "relation_sequence": _with(ORDER_STEPS, CLOSURE)
+    + """SELECT p.o_custkey, p.o_orderkey, p.next_orderkey,
+  CASE WHEN f.src IS NOT NULL THEN '<' WHEN b.src IS NOT NULL THEN '>' ELSE '<>' END AS relation
+FROM (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS next_orderkey FROM orders
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) p
+LEFT JOIN closure f ON f.src = p.o_orderkey::VARCHAR AND f.dst = p.next_orderkey::VARCHAR
+LEFT JOIN closure b ON b.dst = p.o_orderkey::VARCHAR AND b.src = p.next_orderkey::VARCHAR
+WHERE p.next_orderkey IS NOT NULL""",
     "detect_sequence": _errors(ON_DAYS, DAY_EDGES),
     "rank_sequence": _with(DAY_EDGES, RANKS, ORDERED.format(**ON_DAYS))
     + "SELECT o_custkey, o_orderkey, o_orderstatus, yearday, sort_id FROM ranked",
@@ -370,3 +379,10 @@ for _m in ("cvq", "hsq"):
     ORACLES[f"{_m}_lines"] = _wide(_m, LINES, "l_orderkey", ["l_returnflag", "l_linestatus"])
     ORACLES[f"{_m}_no_rules"] = _wide(_m, "customer", "c_nationkey", ["c_mktsegment"])
     ORACLES[f"{_m}_roles"] = _wide(_m, "conversations", "conv_id", ["role"])
+ORACLES |= {
+    "hsq_sql": ORACLES["hsq_per_entity"],
+    "cvq_sql": ORACLES["cvq_parts"],
+    "cvq_merged": ORACLES["cvq_per_entity"],
+    "hsq_merged": ORACLES["hsq_per_entity"],
+    "preview_score": ORACLES["cvq_whole_table"],
+}

@@ -186,7 +186,9 @@ def present_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _finished(spark: SparkSession, d: str) -> DataFrame:
-    return orders(spark, d).filter(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
+    """All orders; an order that is not finished has no value yet."""
+    finished = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))
+    return orders(spark, d).select("o_custkey", finished.alias("o_orderkey"))
 
 
 def _sequence(function: Callable) -> Query:
@@ -320,6 +322,56 @@ def score_view_sql(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def hsq_sql(spark: SparkSession, d: str) -> DataFrame:
+    """History scores by SQL aggregates."""
+    tm.register(events(spark, d), "sql_events")
+    tm.register_scores(spark, RULES, EVENT_ATTRIBUTES)
+    score = "hsq('{0}', collect_set(ruled('{0}', {0})), count(DISTINCT unruled('{0}', {0}))) AS {0}_hsq"
+    columns = ", ".join(score.format(a) for a in EVENT_ATTRIBUTES)
+    return spark.sql(f"SELECT user_id, {columns} FROM sql_events GROUP BY user_id")
+
+
+def cvq_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Latest-value scores by SQL aggregates over a histogram, which SQL counts too."""
+    tm.register(lines(spark, d), "sql_lines")
+    tm.register_scores(spark, RULES, ["qty50"])
+    return spark.sql(
+        """SELECT l_partkey,
+             cvq('qty50', collect_list(ruled_cell('qty50', value, n)), min(unruled_count('qty50', value, n)),
+                 sum(unruled_count('qty50', value, n))) AS qty50_cvq
+           FROM (SELECT l_partkey, qty50 AS value, count(*) AS n FROM sql_lines GROUP BY ALL)
+           GROUP BY l_partkey"""
+    )
+
+
+def _merged(score: Callable) -> Query:
+    """Scores from the kept histogram of one part of the events and that of the rest."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = events(spark, d).withColumn("late", F.col("week") >= "w2")
+        old, new = (tm.histogram(rows.filter(part), ["user_id"], EVENT_ATTRIBUTES) for part in ("not late", "late"))
+        merged = tm.merge_histograms(["user_id"], old, new)
+        return score(merged, ["user_id"], EVENT_ATTRIBUTES, RULES)
+
+    return query
+
+
+def preview_score(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of a result that has one."""
+    return tm.preview(tm.cvq(lines(spark, d), [], ["qty50", "l_returnflag"], RULES))
+
+
+def relation_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """How a customer's neighbours in key order stand to one another, under rules that follow dates."""
+    pairs = with_next(
+        orders(spark, d).select("o_custkey", "o_orderkey"),
+        ["o_custkey"],
+        [F.col("o_orderkey")],
+        {"o_orderkey": "next_orderkey"},
+    ).filter(F.col("next_orderkey").isNotNull())
+    return tm.relation(pairs, "o_orderkey", "next_orderkey", "o_orderkey", order_rules(spark, d))
+
+
 def csv_text_scan(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
     tm.save_table(_slim_orders(spark, d), path)
@@ -405,6 +457,12 @@ QUERIES: dict[str, Query] = {
     "detect_gaps": detect_gaps,
     "runs_gaps": runs_gaps,
     "detect_by_value": detect_by_value,
+    "relation_sequence": relation_sequence,
+    "hsq_sql": hsq_sql,
+    "cvq_sql": cvq_sql,
+    "cvq_merged": _merged(tm.cvq_of),
+    "hsq_merged": _merged(tm.hsq_of),
+    "preview_score": preview_score,
     "score_view_sql": score_view_sql,
     "rules_from_csv": rules_from_csv,
     "csv_text_scan": csv_text_scan,
