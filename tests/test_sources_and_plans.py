@@ -113,3 +113,38 @@ def test_isolated_wrong_labels_are_repaired(spark):
     assert [(r["vId"], r["status"]) for r in changed] == [(12, "Divorced")]
     assert tm.detect_errors(df, ["eId"], "vId", "grade", "status", label_rules()).count() == 1
     assert tm.detect_errors(fixed, ["eId"], "vId", "grade", "status", label_rules()).isEmpty()
+
+
+def test_files_of_a_size_and_a_table_over_itself(spark, tmp_path):
+    path = str(tmp_path / "table")
+    df = spark.range(5000).selectExpr("id", "repeat('x', cast(id % 50 as int)) AS text", "cast(null as string) AS nothing")
+    tm.save_table(df, path, file_bytes=40_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "table").glob("*.csv")]
+    assert len(sizes) > 2 and all(20_000 < s < 80_000 for s in sizes)
+    again = tm.load_table(spark, path, df.schema)
+    tm.save_table(again.filter("id >= 100"), path, files=2)
+    assert tm.load_table(spark, path, df.schema).count() == 4900
+    assert [f.name for f in tmp_path.iterdir()] == ["table"]  # nothing staged is left
+    with pytest.raises(Exception, match="line break"):
+        tm.save_table(spark.createDataFrame([("a\nb",)], "t string"), path)
+    assert tm.load_table(spark, path, df.schema).count() == 4900  # the old table stays
+    with pytest.raises(ValueError, match="not both"):
+        tm.save_table(df, path, files=2, file_bytes=10)
+
+
+def test_join_back_of_a_bucketed_table_shuffles_nothing_wide(spark, tmp_path):
+    rows = [(k % 7, k, "r1" if k % 3 else "r2", "ab"[k % 2], "wide" * 10) for k in range(200)]
+    df = spark.createDataFrame(rows, "e int, v int, ref string, x string, rest string")
+    rules = tm.RuleBook({"ref": [("r1", "r2")], "x": [("a", "b")]})
+    base = tm.save_bucketed(df, "bucketed_rows", ["e", "v"], 4, str(tmp_path / "bucketed"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tm.join_back(base, tm.repaired_cells(base, ["e"], "v", "ref", "x", rules), ["e"], "v", "x")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+        want = tm.repair(df, ["e"], "v", "ref", "x", rules)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE bucketed_rows")

@@ -33,7 +33,7 @@ from tidemark.operators.rule_graph import (
     rule_rank,
 )
 from tidemark.operators.stored import cvq_of, histogram, hsq_of, merge_histograms
-from tidemark.sources import load_rules, load_table, preview, register, save_table
+from tidemark.sources import load_rules, load_table, preview, register, save_bucketed, save_table
 
 __all__ = [
     "RuleBook",
@@ -63,6 +63,7 @@ __all__ = [
     "rule_edges",
     "rule_rank",
     "run_compress",
+    "save_bucketed",
     "save_table",
     "static_rank",
     "topo_row_number",

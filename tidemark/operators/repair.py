@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.histogram import related_pairs
+from tidemark.operators.histogram import MAX_MASK_VALUES, related_pairs, text_array
 from tidemark.operators.names import distinct_names, given, inner_keys, neutral
 from tidemark.operators.ordering import repair_keys, run_order, value_ranks
 from tidemark.operators.reach import relation
@@ -126,7 +126,12 @@ def repair(
         *on, "_body", "_last", "_last_vid"
     )
     texts = ranks.filter(F.col("attribute") == repair)
+    listed = isinstance(used, RuleBook) and len(used.order(repair)) <= MAX_MASK_VALUES
     for code in ("_body", "_last"):
+        if listed:
+            value = f"get({text_array(used.order(repair).values)}, {code} - 1)"
+            changed = changed.withColumn(f"{code}_text", F.expr(value))
+            continue
         text = texts.select(F.col("code").alias(f"_c{code}"), F.col("value").alias(f"{code}_text"))
         changed = changed.join(text, F.col(code) == F.col(f"_c{code}"), "left").drop(f"_c{code}")
     changed = materialize(changed)

@@ -50,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     sc = spark.sparkContext
-    existing = sc.getCheckpointDir()
-    return existing if existing else tempfile.mkdtemp(prefix="tidemark-")
+    if sc.getCheckpointDir() is None:  # once a session
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

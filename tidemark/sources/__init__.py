@@ -5,7 +5,8 @@ from tidemark.sources.tables import (
     load_table,
     preview,
     register,
+    save_bucketed,
     save_table,
 )
 
-__all__ = ["load_rules", "load_table", "preview", "register", "save_table"]
+__all__ = ["load_rules", "load_table", "preview", "register", "save_bucketed", "save_table"]

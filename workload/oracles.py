@@ -380,6 +380,8 @@ for _m in ("cvq", "hsq"):
     ORACLES[f"{_m}_no_rules"] = _wide(_m, "customer", "c_nationkey", ["c_mktsegment"])
     ORACLES[f"{_m}_roles"] = _wide(_m, "conversations", "conv_id", ["role"])
 ORACLES |= {
+    "repair_bucketed": ORACLES["repair_status"],
+    "csv_sized": f"SELECT {SLIM} FROM orders",
     "hsq_sql": ORACLES["hsq_per_entity"],
     "cvq_sql": ORACLES["cvq_parts"],
     "cvq_merged": ORACLES["cvq_per_entity"],

@@ -372,6 +372,24 @@ def relation_sequence(spark: SparkSession, d: str) -> DataFrame:
     return tm.relation(pairs, "o_orderkey", "next_orderkey", "o_orderkey", order_rules(spark, d))
 
 
+def repair_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Repair of a table bucketed by row key; neither it nor the join back shuffles the wide rows."""
+    keys = [*ORDER_KEYS, "o_orderkey"]
+    mark = uuid4().hex
+    base = tm.save_bucketed(orders(spark, d), f"orders_{mark}", keys, 8, f"{shared_dir(spark)}/bucketed-{mark}")
+    cells = tm.repaired_cells(base, *ORDER_REPAIR)
+    return tm.join_back(base, cells, ORDER_KEYS, "o_orderkey", "o_orderstatus")
+
+
+def csv_sized(spark: SparkSession, d: str) -> DataFrame:
+    """CSV files of about 200 kB, written over the table they come from."""
+    rows = _slim_orders(spark, d)
+    path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
+    tm.save_table(rows, path)
+    tm.save_table(tm.load_table(spark, path, rows.schema), path, file_bytes=200_000)
+    return tm.load_table(spark, path, rows.schema)
+
+
 def csv_text_scan(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
     tm.save_table(_slim_orders(spark, d), path)
@@ -457,6 +475,8 @@ QUERIES: dict[str, Query] = {
     "detect_gaps": detect_gaps,
     "runs_gaps": runs_gaps,
     "detect_by_value": detect_by_value,
+    "repair_bucketed": repair_bucketed,
+    "csv_sized": csv_sized,
     "relation_sequence": relation_sequence,
     "hsq_sql": hsq_sql,
     "cvq_sql": cvq_sql,
