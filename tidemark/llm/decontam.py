@@ -1,13 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, then weighted shingles.
 
 Every window of a document that is as long as a benchmark item is a candidate of the items
-of that length. Windows with too few of the items' words are cut off first, by a bound that
+of that length; a document shorter than an item is one window. Windows with too few of the items' words are cut off first, by a bound that
 no match can miss. The rest get a 64-bit SimHash over their words; each item's fingerprint
 is cut into four 16-bit blocks, and every block value with up to ERRORS = 3 wrong bits is
 marked. Fingerprints within RADIUS = 4 * (ERRORS + 1) - 1 bits share a marked block, so none
 is missed. A window within the radius is compared with the item itself:
-weighted Jaccard similarity of five-word shingles, a shingle weighing ln(1 + N / df) for
-the N items of which df hold it (at least 1).
+weighted Jaccard similarity of five-word shingles. Of the N items df hold a shingle of the item, which
+weighs ln(1 + N / df); what only the window holds weighs ln(1 + N).
+
+N and df are those of the whole benchmark, so it does not matter in how many passes it is searched.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lines import simhash
-from tidemark.llm.scratch import given_id, id_and_text
+from tidemark.llm.scratch import given_id, id_and_text, saved
 from tidemark.llm.textbytes import PUNCTUATED, Words, bytes_of, chunks, shingles, window_hash
 
 U = np.uint64
@@ -42,17 +44,18 @@ _WRONG = np.array([sum(1 << b for b in c) for k in range(ERRORS + 1) for c in co
 class Items:
     """The items of one pass, by number of words: fingerprints, shingles, block tables."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """``counted``: number of items of all passes, shingles of this pass (sorted), items that hold each."""
         self.sizes = {}
         if not len(ids):
             return
-        data, offsets = bytes_of(texts)
-        words = Words(data, offsets[:-1] - offsets[0], np.diff(offsets), PUNCTUATED)
-        values, windows = shingles(words, SHINGLE)
-        sets = [np.unique(s) for s in np.split(values, np.cumsum(windows)[:-1])]
-        self.shingle, df = np.unique(np.concatenate(sets), return_counts=True)
-        self.items = len(sets)
-        self.weight = np.log1p(self.items / df)
+        words, sets = _item_sets(texts)
+        if counted is None:
+            self.shingle, df = np.unique(np.concatenate(sets), return_counts=True)
+            self.items = len(sets)
+        else:
+            self.items, self.shingle, df = counted
+        self.weight, self.alone = np.log1p(self.items / df), np.log1p(self.items)
         self.words = np.unique(words.hash)
         self.common = np.zeros(1 << 16, bool)
         self.common[(self.words & U(0xFFFF)).astype(np.int64)] = True
@@ -76,7 +79,7 @@ class Items:
 
     def weights(self, values: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.shingle, values), len(self.shingle) - 1)
-        return np.where(self.shingle[at] == values, self.weight[at], np.log1p(self.items))
+        return np.where(self.shingle[at] == values, self.weight[at], self.alone)
 
     def _fewest(self, values: np.ndarray) -> int:
         """Distinct shingles of an item that a window must hold to be similar enough."""
@@ -91,8 +94,8 @@ class Items:
         return out
 
     def similarity(self, window: np.ndarray, item: np.ndarray, weight: float) -> float:
-        common = self.weights(np.intersect1d(window, item, assume_unique=True)).sum()
-        return float(common / (self.weights(window).sum() + weight - common))
+        both = np.intersect1d(window, item, assume_unique=True)
+        return float(self.weights(both).sum() / (weight + (len(window) - len(both)) * self.alone))
 
     def hits(self, words: Words) -> dict[tuple[int, int], tuple[float, int, int]]:
         """(text, item id) -> (best similarity, first word, words)."""
@@ -105,6 +108,7 @@ class Items:
         prints_of = WindowPrints(words.hash)
         per_width = {}
         for size, (marked, prints, members, fewest) in self.sizes.items():
+            self._short_hits(words, text_start, known, size, out)
             if size > total:
                 continue
             width = min(size, SHINGLE)
@@ -142,6 +146,36 @@ class Items:
                             out[doc, item] = (score, first, size)
         return out
 
+    def _short_hits(self, words: Words, text_start: np.ndarray, known: np.ndarray, size: int, out: dict) -> None:
+        """Texts with fewer words than the items of ``size``, each as one window."""
+        marked, prints, members, fewest = self.sizes[size]
+        n = words.counts
+        short = np.flatnonzero((n < size) & (n >= SHINGLE) & (n - SHINGLE + 1 >= fewest))
+        # distinct shared shingles need as many shared words, one more for each of the first four
+        short = short[known[text_start[short] + n[short]] - known[text_start[short]] >= fewest]
+        if not len(short):
+            return
+        found = simhash(words.hash, text_start[short], n[short])
+        near = np.zeros(len(short), bool)
+        for b in range(4):
+            near |= marked[b, (found >> U(16 * b) & U(0xFFFF)).astype(np.int64)]
+        for doc, fingerprint in zip(short[near].tolist(), found[near]):
+            begin = text_start[doc] + np.arange(n[doc] - SHINGLE + 1)
+            window = np.unique(window_hash(words.hash, begin, np.full(len(begin), SHINGLE), SHINGLE))
+            for k in np.flatnonzero(np.bitwise_count(prints ^ fingerprint) <= RADIUS).tolist():
+                item, values, weight = members[k]
+                score = self.similarity(window, values, weight)
+                if score >= SIMILARITY and score > out.get((doc, item), (0.0,))[0]:
+                    out[doc, item] = (score, 0, int(n[doc]))
+
+
+def _item_sets(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
+    """The words of items and the distinct shingles of each."""
+    data, offsets = bytes_of(texts)
+    words = Words(data, offsets[:-1] - offsets[0], np.diff(offsets), PUNCTUATED)
+    values, windows = shingles(words, SHINGLE)
+    return words, [np.unique(s) for s in np.split(values, np.cumsum(windows)[:-1])]
+
 
 class WindowPrints:
     """SimHash of windows of words from running sums, eight 8-bit counters in each number."""
@@ -166,21 +200,40 @@ class WindowPrints:
         return out
 
 
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            names = batch.schema.names
+            _, sets = _item_sets(batch.column(names.index("_text")))
+            slices = np.repeat(np.asarray(batch.column(names.index("_slice"))), [len(x) for x in sets])
+            yield pa.record_batch([pa.array(slices), pa.array(np.concatenate(sets).view(np.int64))], ["_slice", "_hash"])
+
+
 def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """Broadcast items, in slices of a bounded size."""
+    """Broadcast (items, their shingles counted over the whole benchmark or None), in slices of a bounded size."""
     items = id_and_text(benchmark, item_col, text_col)
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     slices = max(1, -(-n // PASS_ITEMS), -(-size // PASS_BYTES))
+    context = benchmark.sparkSession.sparkContext
+    if slices == 1:
+        return [context.broadcast((items.toArrow(), None))]
+    items = items.withColumn("_slice", F.pmod(F.xxhash64("_id", "_text"), F.lit(slices)))
+    held = items.select("_slice", "_text").mapInArrow(_shingles_of, "_slice long, _hash long")
+    df = held.groupBy("_hash").agg(F.count("*").alias("_df"))
+    counted = saved(held.distinct().join(df, "_hash"))
     out = []
     for k in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(slices)) == k).toArrow()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(part))
+        own = counted.filter(F.col("_slice") == k).toArrow()
+        hashes, df_of = np.asarray(own["_hash"].combine_chunks()).view(U), np.asarray(own["_df"].combine_chunks())
+        order = np.argsort(hashes)
+        part = items.filter(F.col("_slice") == k).drop("_slice").toArrow()
+        out.append(context.broadcast((part, (n, hashes[order], df_of[order]))))
     return out
 
 
-def _items(part: pa.Table) -> Items:
-    part = part.combine_chunks().sort_by("_id")
-    return Items(np.asarray(part["_id"]), part["_text"].combine_chunks())
+def _items(sent: tuple) -> Items:
+    part = sent[0].combine_chunks().sort_by("_id")
+    return Items(np.asarray(part["_id"]), part["_text"].combine_chunks(), sent[1])
 
 
 def _find(broadcast):
@@ -207,7 +260,8 @@ def contaminated_pairs(
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document
-    for each item it contains with weighted similarity SIMILARITY or more; ties: the first.
+    for each item it contains with weighted similarity SIMILARITY or more; ties: the first. A document with
+    fewer words than the item is compared as a whole.
 
     Null and empty texts and items without words match nothing. Null ids stay null. Rows that
     are repeated give repeated pairs; items that are repeated give one pair for each id.
