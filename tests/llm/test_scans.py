@@ -279,6 +279,14 @@ def test_mixing(spark, options):
     assert bag((r["doc_id"], r["pass"], r["position"]) for r in wide.collect()) == bag((r["doc_id"], r["pass"], r["position"]) for r in got)
 
 
+def test_results_replace_columns_of_their_names(spark):
+    rows = [(k, "a b c", "s", -1.0, -1, "p") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double, n_tokens int, Position string")
+    got = mixing.mix_sources(df, keep_columns=True)
+    assert got.columns == ["doc_id", "text", "source", "n_tokens", "weight", "pass", "position"]
+    assert [(r["n_tokens"], r["weight"], r["pass"]) for r in got.collect()] == [(3, 1.0, 0)] * 4
+
+
 def test_mixing_an_empty_table(spark):
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert mixing.mix_sources(frame(spark, [doc(1, None), doc(2, " ")])).count() == 0

@@ -99,7 +99,8 @@ def mix_sources(
     in tokens, by default those of the input. A source's rows have at least its budget of
     tokens and exceed it by less than its last document (documents with an equal position
     hash are taken together).
-    ``keep_columns`` appends these but doc_id and source to all columns of ``docs`` instead.
+    ``keep_columns`` appends these but doc_id and source to all columns of ``docs`` instead; they take the
+    place of columns of ``docs`` that have one of their names.
 
     A document without words has no tokens and is never used. A null source is a source of its
     own. Null ids stay null; repeated rows are used each like the first. An empty table gives an
@@ -198,5 +199,6 @@ def mix_sources(
     r = rows.distinct().hint("merge").alias("r")
     same = (F.col("w._id") == F.col("r._id")) & (F.col("w._th") == F.col("r._th"))
     same &= F.col("w._source").eqNullSafe(F.col("r._source"))
-    extra = [c for c in ("n_tokens", "weight", "pass", "position") if c not in docs.columns]
-    return whole.join(r, same).select("w._row.*", *(F.col(f"r.{c}") for c in extra))
+    extra = ["n_tokens", "weight", "pass", "position"]
+    own = [F.col("w._row")[c].alias(c) for c in docs.columns if c.lower() not in extra]
+    return whole.join(r, same).select(*own, *(F.col(f"r.{c}") for c in extra))
