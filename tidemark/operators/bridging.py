@@ -23,7 +23,7 @@ from tidemark.operators.rule_graph import _by_size, _distributed_ranks, _levels_
 from tidemark.session import materialize
 
 #: values of entities that meet an attribute's edges in one task, about
-TASK_VALUES = 200_000
+TASK_VALUES = 50_000
 
 
 class Graph:

@@ -28,7 +28,7 @@ from tidemark.operators.rule_graph import (
 from tidemark.session import materialize
 
 #: pairs that meet the edges in one task, about
-TASK_PAIRS = 500_000
+TASK_PAIRS = 100_000
 #: numbers a table of chains may hold; wider graphs get interval labels and a search
 CHAIN_CELLS = 20_000_000
 INTERVALS = 3
