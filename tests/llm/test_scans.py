@@ -23,6 +23,11 @@ def doc(k, text):
 # --- licences -------------------------------------------------------------------
 
 
+def laid_out(paragraphs):
+    """As licences usually stand: lines of 70 characters, blank lines between paragraphs."""
+    return "\n\n".join("\n".join(re.findall(r".{1,70}(?: |$)", p)) for p in paragraphs)
+
+
 def test_licences(spark):
     mit = dict((n, t) for n, t in reversed(licences.TEMPLATES))["MIT"]
     rows = [
@@ -32,6 +37,8 @@ def test_licences(spark):
         doc(4, "licensed under cc by 4.0 and so on and on"),
         doc(5, "Nothing of the kind, under no licence at all."),
         doc(6, "intro line\n\n" + re.sub(r"\S+\n", "\n", "\n".join(re.findall(r".{1,70}(?: |$)", mit))) + "\n\nx"),
+        doc(7, laid_out(licences._MIT)),
+        doc(8, "Copyright\n\n" + laid_out(licences._BSD_3).replace("copyright holder", "author")),
         *[doc(k + 10, r[1]) for k, r in enumerate(awkward())],
     ]
 
@@ -57,7 +64,8 @@ def test_licences(spark):
                 want.append((r[0], unit, k, min(scores)[1], -min(scores)[0]))
     got = bag(licences.licence_matches(frame(spark, rows)).collect())
     assert got == bag(want)
-    assert {(r[0], r[3]) for r in got} >= {(1, "MIT"), (2, "MIT"), (3, "CC-BY-NC-4.0")}
+    assert {(r[0], r[3]) for r in got} >= {(1, "MIT"), (2, "MIT"), (3, "CC-BY-NC-4.0"), (7, "MIT"), (8, "BSD-3-Clause")}
+    assert sum(r[0] == 7 for r in got) == 3 and sum(r[0] == 8 for r in got) >= 4
 
 
 # --- token counts -----------------------------------------------------------------

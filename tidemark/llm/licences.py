@@ -1,7 +1,8 @@
 """Licence scans by Dice coefficient over word bigrams, in DataFrame functions only.
 
 A text is normalised (lower case, everything but letters, digits and line breaks to one
-space) and looked at in units: each line, and each paragraph of several lines. A unit is
+space) and looked at in units: each line, and each paragraph of several lines. Licences of several
+paragraphs are templates as a whole and paragraph by paragraph, as they usually stand. A unit is
 compared with the templates by 2 * |A and B| / (|A| + |B|) over the sets of its word bigrams.
 A coefficient of at least LEAST needs sizes within a factor of LEAST / (2 - LEAST), so a
 template is listed once for every size it can match, and the units find their templates by
@@ -27,16 +28,22 @@ _AS_IS = (
     "or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in "
     "connection with the software or the use or other dealings in the software."
 )
-_REDISTRIBUTION = (
+_CONDITIONS = (
     "redistribution and use in source and binary forms, with or without modification, are permitted "
-    "provided that the following conditions are met: 1. redistributions of source code must retain the "
-    "above copyright notice, this list of conditions and the following disclaimer. 2. redistributions in "
-    "binary form must reproduce the above copyright notice, this list of conditions and the following "
-    "disclaimer in the documentation and/or other materials provided with the distribution. "
+    "provided that the following conditions are met:"
+)
+_IN_SOURCE = (
+    "1. redistributions of source code must retain the above copyright notice, this list of conditions and "
+    "the following disclaimer."
+)
+_IN_BINARY = (
+    "2. redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+    "and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution."
 )
 _NO_ENDORSEMENT = (
     "3. neither the name of the copyright holder nor the names of its contributors may be used to endorse "
-    "or promote products derived from this software without specific prior written permission. "
+    "or promote products derived from this software without specific prior written permission."
 )
 _DISCLAIMER = (
     'this software is provided by the copyright holders and contributors "as is" and any express or '
@@ -48,52 +55,58 @@ _DISCLAIMER = (
     "contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the "
     "use of this software, even if advised of the possibility of such damage."
 )
-TEMPLATES = (
-    (
-        "MIT",
-        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        'associated documentation files (the "software"), to deal in the software without restriction, '
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the software, and to permit persons to whom the software is "
-        "furnished to do so, subject to the following conditions: the above copyright notice and this "
-        "permission notice shall be included in all copies or substantial portions of the software. " + _AS_IS,
-    ),
+# Licences of several paragraphs: they stand as one, or each paragraph for itself.
+_MIT = (
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    'associated documentation files (the "software"), to deal in the software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the software, and to permit persons to whom the software is "
+    "furnished to do so, subject to the following conditions:",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial "
+    "portions of the software.",
+    _AS_IS,
+)
+_BSD_2 = (_CONDITIONS, _IN_SOURCE, _IN_BINARY, _DISCLAIMER)
+_BSD_3 = (_CONDITIONS, _IN_SOURCE, _IN_BINARY, _NO_ENDORSEMENT, _DISCLAIMER)
+_ISC = (
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+    "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+    "copies.",
+    'the software is provided "as is" and the author disclaims all warranties with regard to this '
+    "software including all implied warranties of merchantability and fitness. in no event shall the author "
+    "be liable for any special, direct, indirect, or consequential damages or any damages whatsoever "
+    "resulting from loss of use, data or profits, whether in an action of contract, negligence or other "
+    "tortious action, arising out of or in connection with the use or performance of this software.",
+)
+_APACHE = (
+    'licensed under the apache license, version 2.0 (the "license"); you may not use this file except in '
+    "compliance with the license. you may obtain a copy of the license at",
+    "http://www.apache.org/licenses/license-2.0",
+    'unless required by applicable law or agreed to in writing, software distributed under the license is '
+    'distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied. '
+    "see the license for the specific language governing permissions and limitations under the license.",
+)
+_GPL_3 = (
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu "
+    "general public license as published by the free software foundation, either version 3 of the license, "
+    "or (at your option) any later version.",
+    "this program is distributed in the hope that it will be useful, but without any warranty; without even "
+    "the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public "
+    "license for more details.",
+    "you should have received a copy of the gnu general public license along with this program. if not, see "
+    "<https://www.gnu.org/licenses/>.",
+)
+_LONG = (
+    ("MIT", _MIT), ("BSD-2-Clause", _BSD_2), ("BSD-3-Clause", _BSD_3), ("ISC", _ISC), ("Apache-2.0", _APACHE), ("GPL-3.0", _GPL_3),
+)
+# Whole licences, and notices of one line or paragraph.
+_SINGLE = (
+    *((name, " ".join(paragraphs)) for name, paragraphs in _LONG),
     ("MIT", "released under the mit license."),
     ("MIT", "licensed under the mit license."),
     ("MIT", "this project is licensed under the mit license."),
-    ("BSD-2-Clause", _REDISTRIBUTION + _DISCLAIMER),
-    ("BSD-3-Clause", _REDISTRIBUTION + _NO_ENDORSEMENT + _DISCLAIMER),
     ("BSD-3-Clause", "use of this source code is governed by a bsd-style license that can be found in the license file."),
-    (
-        "ISC",
-        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
-        "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
-        'copies. the software is provided "as is" and the author disclaims all warranties with regard to this '
-        "software including all implied warranties of merchantability and fitness. in no event shall the author "
-        "be liable for any special, direct, indirect, or consequential damages or any damages whatsoever "
-        "resulting from loss of use, data or profits, whether in an action of contract, negligence or other "
-        "tortious action, arising out of or in connection with the use or performance of this software.",
-    ),
-    (
-        "Apache-2.0",
-        'licensed under the apache license, version 2.0 (the "license"); you may not use this file except in '
-        "compliance with the license. you may obtain a copy of the license at "
-        "http://www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing, "
-        'software distributed under the license is distributed on an "as is" basis, without warranties or '
-        "conditions of any kind, either express or implied. see the license for the specific language governing "
-        "permissions and limitations under the license.",
-    ),
     ("Apache-2.0", "licensed under the apache license, version 2.0."),
-    (
-        "GPL-3.0",
-        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu "
-        "general public license as published by the free software foundation, either version 3 of the license, "
-        "or (at your option) any later version. this program is distributed in the hope that it will be useful, "
-        "but without any warranty; without even the implied warranty of merchantability or fitness for a "
-        "particular purpose. see the gnu general public license for more details. you should have received a "
-        "copy of the gnu general public license along with this program. if not, see "
-        "<https://www.gnu.org/licenses/>.",
-    ),
     ("GPL-3.0", "this work is licensed under the gnu general public license, version 3."),
     ("GPL-2.0", "this work is licensed under the gnu general public license, version 2."),
     (
@@ -122,6 +135,9 @@ TEMPLATES = (
         "binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 )
+# A paragraph that licences share is named after the first of them.
+_paragraphs = {p: name for name, paragraphs in reversed(_LONG) for p in paragraphs}
+TEMPLATES = (*_SINGLE, *((name, p) for p, name in _paragraphs.items()))
 
 
 def _bigrams(words: str) -> Column:
