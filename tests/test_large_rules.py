@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import tidemark as tm
-from tidemark.operators import bridging, contraction, reach, rule_graph
+from tidemark.operators import bridging, contraction, reach, rule_graph, sent_rules
+from tidemark.operators import repair as repair_module
 
 EDGES = "attribute string, src string, dst string"
 
@@ -132,6 +133,34 @@ def test_large_hsq_runs_no_loop_of_jobs(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == [(1, 1.0), (2, 1.0)] and few < 60  # the chain has 101 values
 
 
+def test_masks_made_when_asked_for_are_those_made_at_once():
+    rnd = random.Random(10)
+    for _ in range(30):
+        pairs = dag(rnd, rnd.randint(2, 15), 0.3) or [("a", "b")]
+        at_once, lazily = sent_rules.relations_from(pairs, 100), sent_rules.relations_from(pairs, 0)
+        for code in range(len(at_once.older)):
+            for one, other in zip(at_once, lazily):
+                assert one[code] == other[code]
+
+
+@pytest.mark.parametrize("full", [10_000, 0])
+def test_long_entities_are_sliced_under_large_rules(spark, monkeypatch, full):
+    rnd = random.Random(11)
+    pairs = dag(rnd, 12, 0.3)
+    values = [*{v for p in pairs for v in p}, "odd", None]
+    rows = [(rnd.choice([1, 1, 1, 2]), k, f"r{rnd.randrange(30):02}", rnd.choice(values)) for k in range(200)]
+    df = spark.createDataFrame(rows, "e int, v int, ref string, x string")
+    book = {"x": pairs, "ref": [("r00", "r01")]}
+    want = sorted(map(tuple, tm.repair(df, ["e"], "v", "ref", "x", tm.RuleBook(book)).collect()), key=repr)
+    monkeypatch.setattr(rule_graph, "MAX_DRIVER_EDGES", 0)
+    monkeypatch.setattr(sent_rules, "FULL_VALUES", full)
+    monkeypatch.setattr(repair_module, "_scan_with_own_rules", None)  # no row may hold an entity's edges
+    rules = frame(spark, pairs).unionByName(frame(spark, book["ref"], "ref"))
+    got = tm.repair(df, ["e"], "v", "ref", "x", rules, max_entity_runs=20)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert want != sorted(rows, key=repr)
+
+
 def test_index_answers_like_the_closure():
     rnd = random.Random(1)
     for _ in range(60):

@@ -29,6 +29,7 @@ from tidemark.operators.repair_scan import (
     slice_summaries,
 )
 from tidemark.operators.rule_graph import RuleBook, _order_of, rules_in_use
+from tidemark.operators.sent_rules import SentRules, made, sent_rules
 from tidemark.operators.skew import bytes_of, hot_runs, join_runs, slices, split_groups, with_next
 from tidemark.session import materialize
 
@@ -90,8 +91,9 @@ def repair(
     ``keys`` identify an entity and ``(keys, vid)`` a row. With ``compress_runs``
     a run has one vote however many rows it has, and all its rows take the
     repaired value; this is a different algorithm, not a faster form of the
-    default. If the rules of the two attributes are too many for the driver, each
-    entity is scanned with the order of its own values only.
+    default. If the rules of the two attributes are too many for the driver, tasks make the order from
+    broadcast edges; if they are too many for that, too, each entity is scanned with the order of its own
+    values only.
 
     When many runs change, the rows are shuffled whole. Where they are wide, repair the
     narrow columns with :func:`repaired_cells` and put them back with :func:`join_back`,
@@ -112,6 +114,9 @@ def repair(
     votes = runs.drop("_rows")
     if isinstance(used, RuleBook):
         relations = relations_of(used.order(repair))
+    else:
+        relations = sent_rules(materialize(used.filter(F.col("attribute") == repair)))
+    if relations is not None:
         ordinary, large, total = split_groups(votes, inner, limit)
         scanned = _scan_by_entity(ordinary, inner, relations)
         if large is not None:
@@ -189,11 +194,11 @@ def _scan_schema(runs: DataFrame) -> T.StructType:
     )
 
 
-def _scan_by_entity(runs: DataFrame, keys: Sequence[str], relations: Relations) -> DataFrame:
+def _scan_by_entity(runs: DataFrame, keys: Sequence[str], relations: Relations | SentRules) -> DataFrame:
     keys = list(keys)
 
     def scan(batches):
-        yield from scan_stream(batches, keys, relations, changed_only=True)
+        yield from scan_stream(batches, keys, made(relations), changed_only=True)
 
     placed = runs.repartition(*keys) if keys else runs.coalesce(1)
     return placed.sortWithinPartitions(*keys, *RUN).mapInArrow(scan, _scan_schema(runs))
@@ -310,7 +315,7 @@ COMMON_STATES = 8
 
 
 def _scan_by_slice(
-    runs: DataFrame, keys: Sequence[str], relations: Relations, total: int, limit: int
+    runs: DataFrame, keys: Sequence[str], relations: Relations | SentRules, total: int, limit: int
 ) -> DataFrame:
     """Scan sorted slices in parallel, although a slice depends on the one before.
 
@@ -337,7 +342,7 @@ def _scan_by_slice(
         # summaries are small; the states of a round go out with its tasks
         part = sliced if len(todo) == len(ids) else sliced.filter(F.col("_slice").isin(list(todo)))
         for row in part.mapInArrow(_summarizer(keys, relations, todo, coming), SUMMARY).collect():
-            exit_ = State(int(row["window"]), row["lag"], row["previous"], row["current"])
+            exit_ = State(int(row["window"], 16), row["lag"], row["previous"], row["current"])
             known[row["slice"]][todo[row["slice"]][row["entry"]]] = (row["blame"], exit_)
         entries = _entries(ids, before, known)
         todo = {}
@@ -360,7 +365,7 @@ def _scan_by_slice(
             yield from scan_stream(
                 (b.drop_columns(["_slice"]) for b in rest),
                 keys,
-                relations,
+                made(relations),
                 entries.get(first),
                 coming.get(first, NONE),
                 tail.get(first, NONE),
@@ -404,7 +409,7 @@ def _ends(keys):
 def _summarizer(keys, relations, todo, coming):
     def summarize(batches):
         for number, rest in _one_slice(batches):
-            rows = slice_summaries(rest, keys, relations, todo[number], coming.get(number, NONE))
+            rows = slice_summaries(rest, keys, made(relations), todo[number], coming.get(number, NONE))
             out = [{"slice": number, "entry": k, **row} for k, row in enumerate(rows)]
             yield pa.RecordBatch.from_pylist(out, schema=_SUMMARY_ARROW)
 

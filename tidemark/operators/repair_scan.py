@@ -25,7 +25,7 @@ from typing import NamedTuple
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidemark.operators.rule_graph import AttributeOrder
+from tidemark.operators.rule_graph import AttributeOrder, _bits
 
 NONE = -1  # no code
 
@@ -108,8 +108,8 @@ def canonical(state: State, relations: Relations) -> State:
     if window & 1:
         # Every value is incomparable to one outside the rules, so only "is some
         # value newer" still depends on the rest: maximal values decide it.
-        for code in range(1, len(relations.newer)):
-            if window >> code & 1 and window & relations.newer[code]:
+        for code in _bits(window & ~1):
+            if window & relations.newer[code]:
                 window &= ~(1 << code)
     return State(window, state.lag, state.previous if state.lag else 0, state.current)
 
@@ -255,6 +255,6 @@ def slice_summaries(
         return []
     scan([held[0]], [held[1]], [start], [coming])
     return [
-        {"blame": b, "window": str(s.window), "lag": s.lag, "previous": s.previous, "current": s.current}
+        {"blame": b, "window": f"{s.window:x}", "lag": s.lag, "previous": s.previous, "current": s.current}
         for b, s in zip(blames, states)
     ]
