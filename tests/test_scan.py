@@ -133,7 +133,7 @@ def test_slices_chain_to_the_whole():
             tagged = (b.append_column("_slice", pa.array([k] * b.num_rows, pa.int32())) for b in batches_of([("e", part)], iter([3, 3, 3, 3])))
             summary = slice_summaries(tagged, ["eid"], relations, [State(0, True, 0, 0), state], coming)[1]
             blames.append(summary["blame"])
-            state = State(int(summary["window"]), summary["lag"], summary["previous"], summary["current"])
+            state = State(int(summary["window"], 16), summary["lag"], summary["previous"], summary["current"])
         for k, part in enumerate(cuts):
             tail = blames[k + 1] if k + 1 < len(cuts) else NONE
             for b in scan_stream(batches_of([("e", part)], iter([2] * 9)), ["eid"], relations, *entries[k], tail):
