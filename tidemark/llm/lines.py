@@ -1,12 +1,12 @@
-"""Fuzzy line deduplication: bottom-k character grams, edit similarity, connected groups.
+"""Fuzzy line deduplication: pieces of lines as blocks, SimHash, edit similarity, connected groups.
 
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
-one node. A node's keys are the GRAMS smallest hashes of its windows of five to twelve characters,
-together with its class of length; lines that differ by the edit bound fall into one class and
-share windows wherever they are intact. Members of a bucket are linked when the edit
-similarity of their normalised texts, 1 - Levenshtein / longer length, reaches the bound;
-counts of character pairs cut off, without loss, what cannot reach it.
-Of every connected group the first occurrence (document id, text hash, line number) stays.
+one node. Lines whose edits leave some pieces whole share them: a node's blocks are the GRAMS
+smallest hashes of its windows of five to twelve characters. Members of a block whose lengths allow
+the edit bound and whose SimHash fingerprints (112 bits over windows of four bytes) differ in at most
+RADIUS bits are candidates; their texts are fetched, and they are linked when the edit
+similarity, 1 - Levenshtein / longer length, reaches the bound. Of every connected group the first
+occurrence (document id, text hash, line number) stays.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import block_links, bucket_members
+from tidemark.llm.blocks import BLOCK_ROWS, SALTS, block_links
 from tidemark.llm.scratch import NULL_ID, components, given_id, saved
 from tidemark.llm.textbytes import (
     _BASE,
@@ -29,26 +29,28 @@ from tidemark.llm.textbytes import (
     _power,
     as_long,
     chunks,
+    list_array,
     mix,
 )
 
 U = np.uint64
-#: all lines that are not blank
-MIN_WORDS = 1
-#: bits of 64 in which the fingerprints of linked lines may differ: all, the edit bound alone decides
-RADIUS = 64
+#: bits of 112 in which the fingerprints of linked lines may differ
+RADIUS = 44
 EDIT_SIMILARITY = 0.9
-GRAMS = 16
+GRAMS = 10
 #: shorter lines have no similar line but equal ones: one edit is more than the bound allows
 FUZZY_CHARS = 10
-#: class k holds the lines from EDIT_SIMILARITY * EDGES[k] to below EDGES[k + 1] characters
-EDGES = FUZZY_CHARS * 1.5 ** np.arange(48)
-
-
-def _window(least: float) -> int:
-    """Characters of a window in the class from ``least`` characters on. Up to eight surely stay together
-    when every tenth is edited; edits at random places leave longer pieces in longer lines."""
-    return 5 if least < 20 else 6 if least < 30 else 7 if least < 40 else 8 if least < 60 else 10 if least < 100 else 12
+#: class k holds the lines from EDIT_SIMILARITY * EDGES[k] to below EDGES[k + 1] characters; its windows have
+#: WIDTHS[k]. Up to eight surely stay together when every tenth is edited; edits at random places leave
+#: longer pieces in longer lines
+EDGES = np.array([FUZZY_CHARS, 20, 30, 40, 60, 100, np.inf])
+WIDTHS = np.array([5, 6, 7, 8, 10, 12])
+#: lengths from here on count as equal among candidates; the edit similarity has the full ones
+LONG = 0xFFFF
+#: a task spreads the rows of a block that it has given so many members over SALTS
+HOT_ROWS, HOT_BATCH = BLOCK_ROWS, 16
+#: bits of the marks of candidate lines, a bound of what the driver holds
+MARKS = 1 << 26
 
 
 def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -79,9 +81,11 @@ def simhash(word_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np
     return out
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, starts, lengths, batch in chunks(batches):
-        text_hash = np.asarray(batch.column(batch.schema.names.index("_th")))
+class _Lines:
+    """The lines of some texts that are not blank: their text, its place in ``normal`` (words with one space
+    after each), number, two hashes of their words, and characters."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         w = Words(data, starts, lengths)
         breaks = np.flatnonzero(w.spaced == 0x0A)
         line_of_word = np.searchsorted(breaks, w.start)  # line breaks before the word
@@ -91,41 +95,70 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.append(cut, len(group)))
         ones = np.concatenate(([U(0)], np.cumsum(w.hash)))
         position = np.arange(len(w.hash)) - np.repeat(cut, counts)
-        placed = mix(w.hash ^ mix(position.astype(U) + U(1)))
-        sums = np.concatenate(([U(0)], np.cumsum(placed)))
-        h1 = mix(sums[cut + counts] - sums[cut])
-        h2 = mix(ones[cut + counts] - ones[cut] + counts.astype(U))
-        long = counts >= MIN_WORDS
-        cut, counts, h1, h2 = cut[long], counts[long], h1[long], h2[long]
-        doc = w.doc[cut]
-        # the words with one space after each, and the place of each line in them
+        sums = np.concatenate(([U(0)], np.cumsum(mix(w.hash ^ mix(position.astype(U) + U(1))))))
+        self.h1 = mix(sums[cut + counts] - sums[cut])
+        self.h2 = mix(ones[cut + counts] - ones[cut] + counts.astype(U))
+        self.doc, self.line = w.doc[cut], line_of_word[cut] - before[cut]
         kept = np.zeros(len(w.spaced) + 1, np.int8)
         kept[w.start] += 1
         kept[w.end + 1] -= 1
         kept = np.cumsum(kept[:-1], dtype=np.int8).astype(bool)
-        normal = _LOWER[w.spaced[kept]]
+        self.normal = _LOWER[w.spaced[kept]]
         at = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
-        normal[at[1:] - 1] = 0x20
-        begin, end = at[cut], at[cut + counts] - 1
-        chars = np.concatenate(([0], np.cumsum((normal & 0xC0) != 0x80)))
-        n_chars = chars[end] - chars[begin]
-        buffer = normal.tobytes()
-        texts = [buffer[i:j].decode(errors="replace") for i, j in zip(begin.tolist(), end.tolist())]
+        self.normal[at[1:] - 1] = 0x20
+        self.begin, self.end = at[cut], at[cut + counts] - 1
+        chars = np.concatenate(([0], np.cumsum((self.normal & 0xC0) != 0x80)))
+        self.size = chars[self.end] - chars[self.begin]
         owner = np.searchsorted(w.text_start, breaks, "right") - 1
-        n_lines = np.where(lengths > 0, np.bincount(owner, minlength=len(ids)) + 1, 0)
+        self.per_text = np.where(lengths > 0, np.bincount(owner, minlength=len(lengths)) + 1, 0)
+
+
+class _Seen:
+    """Which numbers come for the first time, as far as a bounded memory tells."""
+
+    def __init__(self):
+        self.had: set[int] = set()
+
+    def first(self, values: np.ndarray) -> np.ndarray:
+        """Places of the new ones among ``values``."""
+        if len(self.had) > 1_000_000:
+            self.had = set()
+        out = []
+        for k, v in enumerate(values.tolist()):
+            if v not in self.had:
+                self.had.add(v)
+                out.append(k)
+        return np.array(out, np.int64)
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
+    for ids, data, starts, lengths, batch in chunks(batches):
+        text_hash = np.asarray(batch.column(batch.schema.names.index("_th")))
+        x = _Lines(data, starts, lengths)
+        fuzzy = np.flatnonzero(x.size >= FUZZY_CHARS)
+        fuzzy = fuzzy[seen.first(x.h1[fuzzy])]
+        s1, s2 = np.zeros((2, len(x.doc)), U)
+        s1[fuzzy], s2[fuzzy] = fingerprints(x.normal, x.begin[fuzzy], x.end[fuzzy] - x.begin[fuzzy], x.size[fuzzy])
+        own, key = line_keys(x.normal, x.begin[fuzzy], x.end[fuzzy] - x.begin[fuzzy])
+        order = np.argsort(own, kind="stable")
+        n_keys = np.zeros(len(x.doc), np.int64)
+        n_keys[fuzzy] = np.bincount(own, minlength=len(fuzzy))
         none = np.zeros(len(ids), np.int64)
         # the lines, and after them a row for each text: line -1 with the number of lines
         yield pa.record_batch(
             [
-                pa.array(np.concatenate((ids[doc], ids))),
-                pa.array(np.concatenate((text_hash[doc], text_hash))),
-                pa.array(np.concatenate((line_of_word[cut] - before[cut], none - 1)).astype(np.int32)),
-                pa.array(np.concatenate((as_long(h1), none))),
-                pa.array(np.concatenate((as_long(h2), none))),
-                pa.array(np.concatenate((n_chars, n_lines)).astype(np.int64)),
-                pa.array(texts + [None] * len(ids), pa.string()),
+                pa.array(np.concatenate((ids[x.doc], ids))),
+                pa.array(np.concatenate((text_hash[x.doc], text_hash))),
+                pa.array(np.concatenate((x.line, none - 1)).astype(np.int32)),
+                pa.array(np.concatenate((as_long(x.h1), none))),
+                pa.array(np.concatenate((as_long(x.h2), none))),
+                pa.array(np.concatenate((x.size, x.per_text)).astype(np.int64)),
+                pa.array(np.concatenate((as_long(s1), none))),
+                pa.array(np.concatenate((as_long(s2), none))),
+                list_array(as_long(key[order]), np.concatenate((n_keys, none))),
             ],
-            ["_id", "_th", "_line", "_h1", "_h2", "_size", "_line_text"],
+            ["_id", "_th", "_line", "_h1", "_h2", "_size", "_s1", "_s2", "_keys"],
         )
 
 
@@ -224,6 +257,16 @@ def _smallest(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return run[taken], value[taken]
 
 
+def fingerprints(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the SimHash over windows of four bytes; the lowest 16 bits of the second are ``size``."""
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE_CODE[data] * _power(_BASE, len(data)), out=total[1:])
+    window = mix((total[4:] - total[:-4]) * _power(_BASE_INVERSE, len(data) + 1)[: max(0, len(data) - 3)]) if len(data) > 3 else total[:0]
+    s1 = simhash(window, starts, lengths - 3)
+    s2 = simhash(mix(window ^ U(0x5BD1E995A5A5A5A5)), starts, lengths - 3)
+    return s1, s2 & ~U(LONG) | np.minimum(size, LONG).astype(U)
+
+
 def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) for the keys of normalised lines given as bytes."""
     head = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(data)]))
@@ -236,23 +279,163 @@ def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     fuzzy = np.flatnonzero(n >= FUZZY_CHARS)
     twice = fuzzy[n[fuzzy] >= EDIT_SIMILARITY * EDGES[own[fuzzy] + 1] - 1]
     lines, classes = np.concatenate((fuzzy, twice)), np.concatenate((own[fuzzy], own[twice] + 1))
-    width = np.array([_window(e) for e in EDGES])[classes]
     out = [(np.zeros(0, np.int64), np.zeros(0, U))]
-    for g in np.unique(width):
-        of = np.flatnonzero(width == g)
+    for k, g in enumerate(WIDTHS):
+        of = np.flatnonzero(classes == k)
+        if not len(of):
+            continue
         counts = n[lines[of]] - g + 1
         at = np.repeat(begin[lines[of]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         low, high = head[at], head[at + g]
         run, value = _smallest(mix((total[high] - total[low]) * back[low]), counts)
-        out.append((lines[of][run], mix(value ^ mix(classes[of][run].astype(U) + U(1)))))
+        out.append((lines[of][run], mix(value ^ U(k))))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, starts, lengths, batch in chunks(batches):
-        line, key = line_keys(data, starts, lengths)
-        size = np.asarray(batch.column(batch.schema.names.index("_n")))
-        yield pa.record_batch([pa.array(ids[line]), pa.array(size[line]), pa.array(as_long(key))], ["_x", "_n", "_key"])
+    """A row for each key of each line. What is over HOT_ROWS of one key in a task is dealt over salts, and a row
+    without a line tells the others of that key."""
+    often: dict[int, int] = {}
+    for batch in batches:
+        names = batch.schema.names
+        x, s1, s2 = (np.asarray(batch.column(names.index(c))) for c in ("_h1", "_s1", "_s2"))
+        column = batch.column(names.index("_keys"))
+        key, row = np.asarray(column.flatten()), np.repeat(np.arange(len(x)), np.asarray(column.value_lengths()))
+        found, counts = np.unique(key, return_counts=True)
+        hot = []
+        for k, c in zip(found[counts >= HOT_BATCH].tolist(), counts[counts >= HOT_BATCH].tolist()):
+            often[k] = often.get(k, 0) + c
+            if often[k] > HOT_ROWS:
+                hot.append(k)
+        if len(often) > 1_000_000:
+            often = {k: c for k, c in often.items() if c > HOT_ROWS}
+        hot = np.array(hot, np.int64)
+        salt = np.where(np.isin(key, hot), 1 + (x[row].view(U) % U(SALTS)).astype(np.int64), 0)
+        none = np.zeros(len(hot), np.int64)
+        yield pa.record_batch(
+            [
+                pa.array(np.concatenate((hot, key))),
+                pa.array(np.concatenate((none, salt)).astype(np.int32)),
+                pa.array(np.concatenate((none - 1, s2[row] & LONG)).astype(np.int32)),
+                pa.array(np.concatenate((none, x[row]))),
+                pa.array(np.concatenate((none, s1[row]))),
+                pa.array(np.concatenate((none, s2[row]))),
+            ],
+            ["_key", "_salt", "_n", "_x", "_s1", "_s2"],
+        )
+
+
+def _parts(key: np.ndarray, n: np.ndarray, x: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, place) of the members of groups of two and more that candidates form. Rows are sorted by
+    key and length, so that each is compared with those after it while key and length allow."""
+    label = np.arange(len(key))
+    edges, at = [], np.arange(len(key))
+    most = n / EDIT_SIMILARITY + 1e-9
+    for lag in range(1, len(key)):
+        at = at[at + lag < len(key)]
+        at = at[(key[at] == key[at + lag]) & ((n[at + lag] <= most[at]) | (n[at + lag] == LONG))]
+        if not len(at):
+            break
+        other = at + lag
+        bits = np.bitwise_count(s1[at] ^ s1[other]) + np.bitwise_count((s2[at] ^ s2[other]) >> U(16))
+        near = bits <= RADIUS
+        edges.append((at[near], other[near]))
+    if edges:
+        a, b = (np.concatenate(e) for e in zip(*edges))
+        while True:
+            low = np.minimum(label[a], label[b])
+            if (low == label[a]).all() and (low == label[b]).all():
+                break
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            label = label[label]
+            label[a], label[b] = label[label[a]], label[label[b]]
+    place = np.flatnonzero(np.bincount(label, minlength=len(key))[label] > 1)
+    least = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, x)
+    return least[label[place]], place
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of each key: its rows stand together, sorted by length. A key of at most BLOCK_ROWS lines is settled
+    here (_leader, _x, _n); the lines of larger ones go on as they are, with the key."""
+
+    def settled(rows):
+        leader, place = _parts(rows[0], rows[2], rows[3], rows[4].view(U), rows[5].view(U))
+        return out([None] * len(place), leader, rows[3][place], rows[2][place])
+
+    def large(rows):
+        real = rows[2] >= 0
+        return out(rows[0][real], rows[3][real], rows[3][real], rows[2][real])
+
+    def out(key, leader, x, n):
+        arrays = [pa.array(key, pa.int64()), pa.array(leader, pa.int64()), pa.array(x), pa.array(n.astype(np.int64))]
+        return pa.record_batch(arrays, ["_key", "_leader", "_x", "_n"])
+
+    held = np.zeros((6, 0), np.int64)
+    passing = None
+    for batch in batches:
+        rows = np.concatenate((held, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])), axis=1)
+        if not rows.shape[1]:
+            continue
+        # equal lines of several tasks are neighbours
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)
+        rows = rows[:, new]
+        cut = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+        size = np.diff(np.append(cut, rows.shape[1]))
+        # salted rows, those of a key with a mark, and too many are not settled here
+        big = (rows[1, cut] > 0) | (rows[2, cut] < 0) | (size > BLOCK_ROWS)
+        big |= [tuple(rows[:2, cut[0]]) == passing] + [False] * (len(cut) - 1)
+        last = cut[-1]
+        passing = tuple(rows[:2, last]) if big[-1] else None
+        if big.any():
+            yield large(rows[:, np.repeat(big, size)])
+        rest = ~np.repeat(big, size)
+        rest[last:] = False
+        if rest.any():
+            yield settled(rows[:, rest])
+        # of a large key one row is kept, to know its repeats; it may be given twice
+        held = rows[:, -1:] if big[-1] else rows[:, last:]
+    if held.shape[1] > 1 and passing is None:
+        yield settled(held)
+
+
+def _candidate_texts(marks):
+    """(_x, _h2, _line_text) of the marked lines, each once as far as a task remembers."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        seen = _Seen()
+        for _, data, starts, lengths, _ in chunks(batches):
+            x = _Lines(data, starts, lengths)
+            place = x.h1 & U(MARKS - 1)
+            taken = (bits[(place >> U(5)).astype(np.int64)] >> (place & U(31)) & U(1)).astype(bool)
+            taken = np.flatnonzero(taken & (x.size >= FUZZY_CHARS))
+            taken = taken[seen.first(x.h1[taken])]
+            buffer = x.normal.tobytes()
+            texts = [buffer[i:j].decode(errors="replace") for i, j in zip(x.begin[taken].tolist(), x.end[taken].tolist())]
+            yield pa.record_batch(
+                [pa.array(as_long(x.h1[taken])), pa.array(as_long(x.h2[taken])), pa.array(texts, pa.string())],
+                ["_x", "_h2", "_line_text"],
+            )
+
+    return read
+
+
+def _marks(wanted: DataFrame):
+    """A mark for each of MARKS remainders of the wanted lines, broadcast: it only saves texts that nobody needs
+    from being shuffled, and says less the more lines there are."""
+    place = F.col("_x").bitwiseAND(MARKS - 1)
+    words = (
+        wanted.select(F.shiftright(place, 5).cast("int").alias("_word"), place.bitwiseAND(31).cast("int").alias("_bit"))
+        .groupBy("_word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+        .toArrow()
+    )
+    bits = np.zeros(MARKS // 32, U)
+    bits[np.asarray(words["_word"])] = np.asarray(words["_bits"]).view(U)
+    return wanted.sparkSession.sparkContext.broadcast(bits)
 
 
 def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -267,37 +450,54 @@ def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _read_lines(texts: DataFrame) -> DataFrame:
     return saved(
         texts.mapInArrow(
-            _line_rows, "_id long, _th long, _line int, _h1 long, _h2 long, _size long, _line_text string"
+            _line_rows,
+            "_id long, _th long, _line int, _h1 long, _h2 long, _size long, _s1 long, _s2 long, _keys array<long>",
         )
     )
 
 
+def _similar_lines(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(_h1, _h2, _component) of the lines that are linked with others."""
+    entries = lines.filter("size(_keys) > 0").select("_h1", "_s1", "_s2", "_keys")
+    found = saved(
+        entries.mapInArrow(_entries, "_key long, _salt int, _n int, _x long, _s1 long, _s2 long")
+        .repartition("_key", "_salt")
+        .sortWithinPartitions("_key", "_salt", "_n", "_x")
+        .mapInArrow(_candidates, "_key long, _leader long, _x long, _n long")
+    )
+    large = found.filter("_key is not null").drop("_leader")
+    leaders = large.groupBy("_key").agg(F.min("_x").alias("_leader"))
+    members = found.filter("_key is null").select("_leader", "_x", "_n")
+    members = saved(members.union(large.join(leaders, "_key").select("_leader", "_x", "_n")).distinct())
+    wanted = members.select("_x").distinct()
+    # two lines of one 64-bit hash: the one of the smaller second hash takes part
+    payload = saved(
+        texts.select("_id", "_text")
+        .mapInArrow(_candidate_texts(_marks(wanted)), "_x long, _h2 long, _line_text string")
+        .join(wanted.hint("merge"), "_x", "left_semi")
+        .groupBy("_x")
+        .agg(F.min(F.struct("_h2", "_line_text")).alias("_l"))
+        .select("_x", "_l._h2", "_l._line_text")
+    )
+    label = components(block_links(members, payload.drop("_h2"), linked_lines))
+    return payload.select(F.col("_x").alias("_h1"), "_h2").join(
+        label.select(F.col("node").alias("_h1"), F.col("component").alias("_component")), "_h1"
+    )
+
+
 def repeated_lines(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """The lines to drop: (_id, _th, _drop array<int>), line numbers from 0, for documents that
     have any; _th is xxhash64 of the text, so rows with one id and different texts differ."""
     lines = rows.filter("_line >= 0")
-    nodes = saved(
-        lines.groupBy("_h1", "_h2").agg(
-            F.min(F.struct("_id", "_th", "_line", "_size", "_line_text")).alias("_first"), F.count("*").alias("_m")
-        )
-    )
-    fuzzy = nodes.filter(f"_first._size >= {FUZZY_CHARS}").select(
-        F.col("_h1").alias("_id"), F.col("_first._size").alias("_n"), F.col("_first._line_text").alias("_text")
-    )
-    members = bucket_members(fuzzy.mapInArrow(_entries, "_x long, _n long, _key long"))
-    wanted = members.select("_x").distinct()
-    payload = fuzzy.select(F.col("_id").alias("_x"), F.col("_text").alias("_line_text")).join(
-        wanted.hint("merge"), "_x", "left_semi"
-    )
-    label = components(block_links(members, payload, linked_lines))
-    groups = (
-        nodes.join(label, F.col("_h1") == F.col("node"), "left")
-        .select("_h1", "_h2", "_m", F.struct("_first._id", "_first._th", "_first._line").alias("_first"), F.coalesce("component", "_h1").alias("_group"))
+    nodes = lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_th", "_line")).alias("_first"), F.count("*").alias("_m"))
+    groups = saved(
+        nodes.join(_similar_lines(texts, lines).hint("merge"), ["_h1", "_h2"], "left").filter("_m > 1 or _component is not null")
     )
-    firsts = groups.groupBy("_group").agg(F.min("_first").alias("_keep"), F.sum("_m").alias("_all"))
-    keep = groups.join(firsts.filter("_all > 1"), "_group").select("_h1", "_h2", "_keep")
+    firsts = groups.filter("_component is not null").groupBy("_component").agg(F.min("_first").alias("_least"))
+    keep = groups.join(firsts, "_component", "left").select("_h1", "_h2", F.coalesce("_least", "_first").alias("_keep"))
     return (
-        lines.join(keep, ["_h1", "_h2"])
+        lines.select("_id", "_th", "_line", "_h1", "_h2")
+        .join(keep, ["_h1", "_h2"])
         .filter(F.struct("_id", "_th", "_line") > F.col("_keep"))
         .groupBy("_id", "_th")
         .agg(F.sort_array(F.collect_set("_line")).alias("_drop"))
