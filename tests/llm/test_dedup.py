@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward, bag, frame, order, words_of
 
@@ -261,3 +262,36 @@ def test_empty_tables(spark, empty):
     assert repeats.repeated_strings(df).count() == n
     assert lines.line_report(df).count() == n
     assert lines.drop_repeated_lines(df).count() == n
+
+
+def test_crowds_of_lines_over_salts(spark, monkeypatch):
+    """Blocks larger than a task settles, with keys dealt over salts, give the same groups."""
+    rnd = random.Random(21)
+    body = " ".join(f"part{rnd.randrange(900)}" for _ in range(30))
+    rows = [(k, f"{body} end{k:03}", *[None] * 7) for k in range(200)]
+    rows += [(200 + k, " ".join(f"q{rnd.randrange(10**6)}" for _ in range(9)), *[None] * 7) for k in range(40)]
+    for name, value in (("BLOCK_ROWS", 24), ("HOT_ROWS", 20), ("HOT_BATCH", 2)):
+        monkeypatch.setattr(lines, name, value)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 24)
+    got = {r["doc_id"] for r in lines.line_report(frame(spark, rows).repartition(3)).filter("n_dropped > 0").collect()}
+    assert got == set(range(1, 200))
+
+
+def test_candidates_settle_keys_across_batches():
+    """Groups cut by batch borders, equal rows, marks and salts: members as if all came in one batch."""
+    rnd = np.random.default_rng(4)
+    key = np.sort(rnd.integers(1, 12, 400)) << 16
+    n = rnd.integers(50, 54, 400)
+    x = rnd.integers(1, 60, 400)
+    order = np.lexsort((x, n, key))
+    k, x = (key | n)[order], x[order]
+    none = np.zeros(400, np.int64)
+    table = pa.record_batch([pa.array(v) for v in (k, x, none, none)], ["_k", "_x", "_s1", "_s2"])
+
+    def members(size):
+        out = [b for b in lines._candidates(iter([table.slice(i, size) for i in range(0, 400, size)]))]
+        return {tuple(r.values()) for b in out for r in b.to_pylist()}
+
+    whole = members(400)
+    assert whole and all(members(size) == whole for size in (1, 7, 64, 399))
+    assert {r[1] for r in whole} <= {r[2] for r in whole}

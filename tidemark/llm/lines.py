@@ -3,7 +3,7 @@
 A line is normalised to its words (A-Z lower-cased, white space collapsed). Equal lines are
 one node. Lines whose edits leave some pieces whole share them: a node's blocks are the GRAMS
 smallest hashes of its windows of five to twelve characters. Members of a block whose lengths allow
-the edit bound and whose SimHash fingerprints (112 bits over windows of four bytes) differ in at most
+the edit bound and whose SimHash fingerprints (112 bits over windows of six bytes) differ in at most
 RADIUS bits are candidates; their texts are fetched, and they are linked when the edit
 similarity, 1 - Levenshtein / longer length, reaches the bound. Of every connected group the first
 occurrence (document id, text hash, line number) stays.
@@ -34,8 +34,10 @@ from tidemark.llm.textbytes import (
 )
 
 U = np.uint64
+#: bytes of the windows that make fingerprints
+PRINT_BYTES = 6
 #: bits of 112 in which the fingerprints of linked lines may differ
-RADIUS = 44
+RADIUS = 47
 EDIT_SIMILARITY = 0.9
 GRAMS = 10
 #: shorter lines have no similar line but equal ones: one edit is more than the bound allows
@@ -47,6 +49,8 @@ EDGES = np.array([FUZZY_CHARS, 20, 30, 40, 60, 100, np.inf])
 WIDTHS = np.array([5, 6, 7, 8, 10, 12])
 #: lengths from here on count as equal among candidates; the edit similarity has the full ones
 LONG = 0xFFFF
+#: bits of a key that are compared; the lowest 16 hold a length
+KEY = 0x7FFFFFFFFFFF0000
 #: a task spreads the rows of a block that it has given so many members over SALTS
 HOT_ROWS, HOT_BATCH = BLOCK_ROWS, 16
 #: bits of the marks of candidate lines, a bound of what the driver holds
@@ -139,7 +143,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fuzzy = np.flatnonzero(x.size >= FUZZY_CHARS)
         fuzzy = fuzzy[seen.first(x.h1[fuzzy])]
         s1, s2 = np.zeros((2, len(x.doc)), U)
-        s1[fuzzy], s2[fuzzy] = fingerprints(x.normal, x.begin[fuzzy], x.end[fuzzy] - x.begin[fuzzy], x.size[fuzzy])
+        s1[fuzzy], s2[fuzzy] = fingerprints(x.normal, x.begin[fuzzy], x.end[fuzzy] - x.begin[fuzzy])
         own, key = line_keys(x.normal, x.begin[fuzzy], x.end[fuzzy] - x.begin[fuzzy])
         order = np.argsort(own, kind="stable")
         n_keys = np.zeros(len(x.doc), np.int64)
@@ -257,14 +261,15 @@ def _smallest(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return run[taken], value[taken]
 
 
-def fingerprints(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two halves of the SimHash over windows of four bytes; the lowest 16 bits of the second are ``size``."""
+def fingerprints(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the SimHash over windows of PRINT_BYTES; the lowest 16 bits of the second are 0."""
+    n = max(0, len(data) - PRINT_BYTES + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE_CODE[data] * _power(_BASE, len(data)), out=total[1:])
-    window = mix((total[4:] - total[:-4]) * _power(_BASE_INVERSE, len(data) + 1)[: max(0, len(data) - 3)]) if len(data) > 3 else total[:0]
-    s1 = simhash(window, starts, lengths - 3)
-    s2 = simhash(mix(window ^ U(0x5BD1E995A5A5A5A5)), starts, lengths - 3)
-    return s1, s2 & ~U(LONG) | np.minimum(size, LONG).astype(U)
+    window = mix((total[len(total) - n :] - total[:n]) * _power(_BASE_INVERSE, len(data) + 1)[:n])
+    counts = lengths - PRINT_BYTES + 1
+    s2 = simhash(mix(window ^ U(0x5BD1E995A5A5A5A5)), starts, counts)
+    return simhash(window, starts, counts), s2 & ~U(LONG)
 
 
 def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,14 +298,15 @@ def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of each line. What is over HOT_ROWS of one key in a task is dealt over salts, and a row
-    without a line tells the others of that key."""
+    """A row for each key of each line: _k is 47 bits of the key and the length (up to LONG), _s2 ends with the salt. What
+    is over HOT_ROWS of one key in a task is dealt over salts, and a row of length 0 tells the others of that key."""
     often: dict[int, int] = {}
     for batch in batches:
         names = batch.schema.names
-        x, s1, s2 = (np.asarray(batch.column(names.index(c))) for c in ("_h1", "_s1", "_s2"))
+        x, size, s1, s2 = (np.asarray(batch.column(names.index(c))) for c in ("_h1", "_size", "_s1", "_s2"))
         column = batch.column(names.index("_keys"))
-        key, row = np.asarray(column.flatten()), np.repeat(np.arange(len(x)), np.asarray(column.value_lengths()))
+        key = np.asarray(column.flatten()) & KEY
+        row = np.repeat(np.arange(len(x)), np.asarray(column.value_lengths()))
         found, counts = np.unique(key, return_counts=True)
         hot = []
         for k, c in zip(found[counts >= HOT_BATCH].tolist(), counts[counts >= HOT_BATCH].tolist()):
@@ -314,14 +320,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(len(hot), np.int64)
         yield pa.record_batch(
             [
-                pa.array(np.concatenate((hot, key))),
-                pa.array(np.concatenate((none, salt)).astype(np.int32)),
-                pa.array(np.concatenate((none - 1, s2[row] & LONG)).astype(np.int32)),
+                pa.array(np.concatenate((hot, key | np.minimum(size[row], LONG)))),
                 pa.array(np.concatenate((none, x[row]))),
                 pa.array(np.concatenate((none, s1[row]))),
-                pa.array(np.concatenate((none, s2[row]))),
+                pa.array(np.concatenate((none, s2[row] | salt))),
             ],
-            ["_key", "_salt", "_n", "_x", "_s1", "_s2"],
+            ["_k", "_x", "_s1", "_s2"],
         )
 
 
@@ -365,7 +369,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out([None] * len(place), leader, rows[3][place], rows[2][place])
 
     def large(rows):
-        real = rows[2] >= 0
+        real = rows[2] > 0
         return out(rows[0][real], rows[3][real], rows[3][real], rows[2][real])
 
     def out(key, leader, x, n):
@@ -375,7 +379,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros((6, 0), np.int64)
     passing = None
     for batch in batches:
-        rows = np.concatenate((held, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])), axis=1)
+        k, x, s1, s2 = (np.asarray(c) for c in batch.columns)
+        rows = np.concatenate((held, np.stack((k & KEY, s2 & LONG, k & LONG, x, s1, s2))), axis=1)
         if not rows.shape[1]:
             continue
         # equal lines of several tasks are neighbours
@@ -385,7 +390,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
         size = np.diff(np.append(cut, rows.shape[1]))
         # salted rows, those of a key with a mark, and too many are not settled here
-        big = (rows[1, cut] > 0) | (rows[2, cut] < 0) | (size > BLOCK_ROWS)
+        big = (rows[1, cut] > 0) | (rows[2, cut] == 0) | (size > BLOCK_ROWS)
         big |= [tuple(rows[:2, cut[0]]) == passing] + [False] * (len(cut) - 1)
         last = cut[-1]
         passing = tuple(rows[:2, last]) if big[-1] else None
@@ -458,11 +463,12 @@ def _read_lines(texts: DataFrame) -> DataFrame:
 
 def _similar_lines(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """(_h1, _h2, _component) of the lines that are linked with others."""
-    entries = lines.filter("size(_keys) > 0").select("_h1", "_s1", "_s2", "_keys")
+    entries = lines.filter("size(_keys) > 0").select("_h1", "_size", "_s1", "_s2", "_keys")
+    key, salt = F.shiftright("_k", 16), F.col("_s2").bitwiseAND(LONG)
     found = saved(
-        entries.mapInArrow(_entries, "_key long, _salt int, _n int, _x long, _s1 long, _s2 long")
-        .repartition("_key", "_salt")
-        .sortWithinPartitions("_key", "_salt", "_n", "_x")
+        entries.mapInArrow(_entries, "_k long, _x long, _s1 long, _s2 long")
+        .repartition(key, salt)
+        .sortWithinPartitions(key, salt, "_k", "_x")
         .mapInArrow(_candidates, "_key long, _leader long, _x long, _n long")
     )
     large = found.filter("_key is not null").drop("_leader")
