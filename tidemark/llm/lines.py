@@ -244,19 +244,19 @@ def linked_lines(table: pa.Table) -> list[tuple[int, int]]:
     return edges
 
 
-def _smallest(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(run, value) of the GRAMS smallest distinct values of each run of counts[k] > 0 values."""
-    run = np.repeat(np.arange(len(counts)), counts)
-    # sorting all would cost most: those below a bound that nearly always leaves enough, or else the run
-    bound = np.minimum((GRAMS + 3 * GRAMS**0.5) / counts, 1.0) * 2.0**53
-    below = (value >> U(11)) <= bound.astype(U)[run]
-    below |= (np.bincount(run[below], minlength=len(counts)) < GRAMS)[run]
-    run, value = run[below], value[below]
+def _bound(counts: np.ndarray) -> np.ndarray:
+    """Hashes (without their lowest 11 bits) below which a run of so many values nearly always has GRAMS."""
+    return (np.minimum((GRAMS + 3 * GRAMS**0.5) / counts, 1.0) * 2.0**53).astype(U)
+
+
+def _smallest(run: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, value) of the GRAMS smallest distinct values of each of ``n`` runs."""
     order = np.lexsort((value, run))
     run, value = run[order], value[order]
-    new = np.concatenate(([True], (run[1:] != run[:-1]) | (value[1:] != value[:-1])))
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (value[1:] != value[:-1])
     run, value = run[new], value[new]
-    first = np.searchsorted(run, np.arange(len(counts)))
+    first = np.searchsorted(run, np.arange(n))
     taken = np.arange(len(run)) - first[run] < GRAMS
     return run[taken], value[taken]
 
@@ -279,21 +279,38 @@ def line_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     n = np.searchsorted(head, starts + lengths) - begin
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE_CODE[data] * _power(_BASE, len(data)), out=total[1:])
-    back = _power(_BASE_INVERSE, len(data) + 1)
+    total, back = total[head], _power(_BASE_INVERSE, len(data) + 1)[head]
     own = np.searchsorted(EDGES, n, "right") - 1
     fuzzy = np.flatnonzero(n >= FUZZY_CHARS)
     twice = fuzzy[n[fuzzy] >= EDIT_SIMILARITY * EDGES[own[fuzzy] + 1] - 1]
     lines, classes = np.concatenate((fuzzy, twice)), np.concatenate((own[fuzzy], own[twice] + 1))
     out = [(np.zeros(0, np.int64), np.zeros(0, U))]
     for k, g in enumerate(WIDTHS):
-        of = np.flatnonzero(classes == k)
+        of = np.sort(lines[classes == k])
         if not len(of):
             continue
-        counts = n[lines[of]] - g + 1
-        at = np.repeat(begin[lines[of]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        low, high = head[at], head[at + g]
-        run, value = _smallest(mix((total[high] - total[low]) * back[low]), counts)
-        out.append((lines[of][run], mix(value ^ U(k))))
+        counts, first = n[of] - g + 1, begin[of]
+        bound = _bound(counts)
+        if 2 * counts.sum() > len(data):  # most windows: all at once, those outside these lines never under a bound
+            value = mix((total[g:] - total[:-g]) * back[:-g])
+            gap = first - np.concatenate(([0], first[:-1] + counts[:-1]))
+            limit = np.repeat(np.stack((np.zeros(len(of), U), bound), 1).ravel(), np.stack((gap, counts), 1).ravel())
+            hit = np.flatnonzero((value[: len(limit)] >> U(11)) < limit)
+            run, value = np.searchsorted(first, hit, "right") - 1, value[hit]
+        else:
+            run = np.repeat(np.arange(len(of)), counts)
+            at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            value = mix((total[at + g] - total[at]) * back[at])
+            under = (value >> U(11)) < bound[run]
+            run, value = run[under], value[under]
+        few = np.bincount(run, minlength=len(of)) < np.minimum(GRAMS, counts)
+        if few.any():  # all windows of the lines that had too few under the bound
+            c, f = counts[few], first[few]
+            at = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            run = np.concatenate((run, np.repeat(np.flatnonzero(few), c)))
+            value = np.concatenate((value, mix((total[at + g] - total[at]) * back[at])))
+        run, value = _smallest(run, value, len(of))
+        out.append((of[run], mix(value ^ U(k))))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -475,6 +492,13 @@ def _similar_lines(texts: DataFrame, lines: DataFrame) -> DataFrame:
     leaders = large.groupBy("_key").agg(F.min("_x").alias("_leader"))
     members = found.filter("_key is null").select("_leader", "_x", "_n")
     members = saved(members.union(large.join(leaders, "_key").select("_leader", "_x", "_n")).distinct())
+    # a group whose leader belongs to another joins it: one line of many groups would travel with its text for each
+    under = members.filter("_leader < _x").groupBy(F.col("_x").alias("_leader")).agg(F.min("_leader").alias("_top"))
+    members = saved(
+        members.join(under.hint("merge"), "_leader", "left")
+        .select(F.coalesce("_top", "_leader").alias("_leader"), "_x", "_n")
+        .distinct()
+    )
     wanted = members.select("_x").distinct()
     # two lines of one 64-bit hash: the one of the smaller second hash takes part
     payload = saved(
