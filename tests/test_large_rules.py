@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import tidemark as tm
-from tidemark.operators import bridging, contraction, reach, rule_graph, sent_rules
+from tidemark.operators import bridging, contraction, parts, reach, rule_graph, sent_rules
 from tidemark.operators import repair as repair_module
 
 EDGES = "attribute string, src string, dst string"
@@ -241,3 +241,45 @@ def test_merged_histograms_score_like_all_rows(spark):
     for of_rows, of_counts in ((tm.cvq, tm.cvq_of), (tm.hsq, tm.hsq_of)):
         want = of_rows(make(rows), ["e"], ["x", "y"], book).collect()
         assert sorted(map(tuple, of_counts(merged, ["e"], ["x", "y"], book).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+# --- connected parts -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("task_links", [500_000, 0])
+def test_connected_parts(spark, monkeypatch, task_links):
+    rnd = random.Random(12)
+    pairs = [(a, b) for k in range(0, 400, 20) for a, b in ((rnd.randrange(k, k + 20), rnd.randrange(k, k + 20)) for _ in range(25))]
+    pairs += [(1000 + k, 1001 + k) for k in range(200)] + [(2000, 2001 + k) for k in range(200)] + [(3000, 3000)]
+    monkeypatch.setattr(parts, "TASK_LINKS", task_links)
+    got = {r["node"]: r["part"] for r in parts.connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    want = {v: v for p in pairs for v in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert set(got) == set(want)
+    assert len({(got[v], want[v]) for v in want}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_a_large_attribute_is_walked_in_its_parts(spark, monkeypatch):
+    """No joins step by step while every connected part fits a task; one that does not is still walked by them."""
+    rnd = random.Random(13)
+    pairs = [(f"{c}.{k}", f"{c}.{k + d}") for c in range(6) for k in range(7) for d in (2, 3)] + [("a", "b"), ("b", "c")]
+    values = sorted({v for p in pairs for v in p})
+    rows = [(rnd.choice([1, 2, 3, None]), rnd.choice([*values, "odd", None])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "e int, x string")
+    two = spark.createDataFrame([(k, rnd.choice(values), rnd.choice(values)) for k in range(200)] + [(k, *pairs[k]) for k in range(40)], "k int, a string, b string")
+    calls = (
+        lambda r: tm.present_edges(df, ["e"], ["x"], r), lambda r: tm.latest_values(df, ["e"], ["x"], r),
+        lambda r: tm.cvq(df, ["e"], ["x"], r), lambda r: tm.hsq(df, ["e"], ["x"], r), lambda r: tm.relation(two, "a", "b", "x", r),
+        lambda r: tm.rule_rank(r, spark),
+    )
+    want = [sorted(map(tuple, f(tm.RuleBook({"x": pairs})).collect()), key=repr) for f in calls]
+    monkeypatch.setattr(rule_graph, "MAX_DRIVER_EDGES", 0)
+    monkeypatch.setattr(rule_graph, "MAX_TASK_EDGES", 15)
+    for module, name in ((bridging, "_by_frontier"), (reach, "_by_search"), (rule_graph, "_levels_by_joins")):
+        monkeypatch.setattr(module, name, None)
+    edges = frame(spark, pairs)
+    assert [sorted(map(tuple, f(edges).collect()), key=repr) for f in calls] == want
+    with pytest.raises(ValueError, match="'b' -> 'c' -> 'd' -> 'b'|'c' -> 'd' -> 'b' -> 'c'|'d' -> 'b' -> 'c' -> 'd'"):
+        tm.cvq(df, ["e"], ["x"], frame(spark, [*pairs, ("c", "d"), ("d", "b")]))

@@ -2,7 +2,8 @@
 
 Up to a closure of ``MAX_DRIVER_PAIRS`` the pairs are listed and broadcast. Beyond it, the distinct pairs of the
 rows are tested. If the attribute's edges fit a task, they go to the tasks that hold the pairs, under as many salts
-as the pairs need, and each task builds an index (:class:`Index`). Otherwise pairs whose levels leave the
+as the pairs need, and each task builds an index (:class:`Index`). Otherwise the attribute's connected parts do so,
+and pairs of two parts are not ordered. In a part that does not fit a task, pairs whose levels leave the
 question open are searched by joins, over the rules contracted to the values of these pairs.
 """
 
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rule_graph
 from tidemark.operators.contraction import contract
+from tidemark.operators.parts import part_of_values
 from tidemark.operators.rule_graph import (
     RuleBook,
+    _by_size,
     _distributed_ranks,
     _levels_of,
+    in_parts,
     rule_edges,
     rules_in_use,
     small,
@@ -32,6 +36,8 @@ TASK_PAIRS = 100_000
 #: numbers a table of chains may hold; wider graphs get interval labels and a search
 CHAIN_CELLS = 20_000_000
 INTERVALS = 3
+#: edges up to which a task makes the set of all values that a value reaches
+FEW_EDGES = 2_000
 
 
 class Index:
@@ -136,55 +142,98 @@ class Index:
         return False
 
 
+def _below(pairs: list[tuple[str, str]]) -> tuple[dict[str, int], list[int]]:
+    """Numbers of the values of a small graph, and the values that each reaches, as bits."""
+    level, successors = _levels_of("", pairs)
+    values = sorted(level, key=level.__getitem__, reverse=True)
+    number = {v: i for i, v in enumerate(values)}
+    below = []
+    for v in values:
+        mask = 0
+        for w in successors[v]:
+            mask |= below[number[w]] | 1 << number[w]
+        below.append(mask)
+    return number, below
+
+
+def _ordered(edges: list[tuple[str, str]], pairs: list[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
+    """(a, b, relation) of the ``pairs`` that ``edges`` order."""
+    if len(edges) <= FEW_EDGES:
+        number, below = _below(edges)
+        for a, b in pairs:
+            u, v = number.get(a), number.get(b)
+            if u is not None and v is not None and u != v:
+                if below[u] >> v & 1:
+                    yield a, b, "<"
+                elif below[v] >> u & 1:
+                    yield a, b, ">"
+        return
+    index = Index(edges)
+    known = [(a, b) for a, b in pairs if a in index.number and b in index.number]
+    if not known:
+        return
+    u, v = np.array([(index.number[a], index.number[b]) for a, b in known]).T
+    forward = index.reaches(u, v)
+    backward = np.zeros(len(u), bool)
+    backward[~forward] = index.reaches(v[~forward], u[~forward])
+    for k in np.flatnonzero(forward | backward).tolist():
+        yield *known[k], "<" if forward[k] else ">"
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a salt, then its pairs: the pairs that are ordered, with their relation."""
-    at, edges, index = None, [], None
+    """Edges of a part and salt, then its pairs: the pairs that are ordered, with their relation."""
+    at, edges, pairs, out = None, [], [], []
+
+    def flushed():
+        batch = pa.record_batch([pa.array(c, pa.string()) for c in zip(*out)], ["_a", "_b", "_rel"])
+        out.clear()
+        return batch
+
     for batch in batches:
-        salts, kinds, a, b = (batch.column(c).to_pylist() for c in range(4))
-        cuts = [0, *(k for k in range(1, len(salts)) if (salts[k], kinds[k]) != (salts[k - 1], kinds[k - 1])), len(salts)]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            if low == high:
-                continue
-            if salts[low] != at:
-                at, edges, index = salts[low], [], None
-            if kinds[low] == 0:
-                edges += zip(a[low:high], b[low:high])
-                continue
-            index = index or Index(edges)
-            known = [(k, index.number[a[k]], index.number[b[k]]) for k in range(low, high) if a[k] in index.number and b[k] in index.number]
-            if not known:
-                continue
-            row, u, v = np.array(known).T
-            forward = index.reaches(u, v)
-            backward = np.zeros(len(u), bool)
-            backward[~forward] = index.reaches(v[~forward], u[~forward])
-            hit = np.flatnonzero(forward | backward)
-            yield pa.record_batch(
-                [
-                    pa.array([a[k] for k in row[hit]], pa.string()), pa.array([b[k] for k in row[hit]], pa.string()),
-                    pa.array(np.where(forward[hit], "<", ">").tolist(), pa.string()),
-                ],
-                ["_a", "_b", "_rel"],
-            )
+        parts, salts, kinds, a, b = (batch.column(c).to_pylist() for c in range(5))
+        for here, kind, pair in zip(zip(parts, salts), kinds, zip(a, b)):
+            if here != at:
+                if edges and pairs:
+                    out.extend(_ordered(edges, pairs))
+                    if len(out) >= 50_000:
+                        yield flushed()
+                at, edges, pairs = here, [], []
+            (pairs if kind else edges).append(pair)
+    if edges and pairs:
+        out.extend(_ordered(edges, pairs))
+    if out:
+        yield flushed()
 
 
 def ordered_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(_a, _b, _rel) of the distinct materialized ``pairs`` (_a, _b) that the materialized acyclic ``edges``
     (attribute, src, dst; one attribute) order; ``_rel`` is < or >."""
-    if edges.count() > rule_graph.MAX_TASK_EDGES:
-        return _by_search(pairs, edges)
-    salts = max(1, -(-pairs.count() // TASK_PAIRS))
-    copies = edges.select(
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(0).alias("_kind"),
+    edges = in_parts(edges)
+    ordinary, large = _by_size(edges, F.count("*"), rule_graph.MAX_TASK_EDGES)
+    if "_part" in edges.columns:
+        values = part_of_values(edges).select(F.col("value").alias("_v"), "_part")
+        ends = [values.select(F.col("_v").alias(c), F.col("_part").alias(f"_part{c}")) for c in ("_a", "_b")]
+        pairs = pairs.join(ends[0], "_a").join(ends[1], "_b").filter("_part_a = _part_b")
+        pairs = materialize(pairs.select("_a", "_b", F.col("_part_a").alias("_part")))
+    else:
+        ordinary, pairs = (x.withColumn("_part", F.lit(0).cast("long")) for x in (ordinary, pairs))
+    salts = pairs.groupBy("_part").agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("_salts"))
+    salts = materialize(salts.join(ordinary.select("_part").distinct(), "_part", "left_semi"))
+    copies = ordinary.join(salts, "_part").select(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"),
         F.col("src").alias("_a"), F.col("dst").alias("_b"),
     )
-    rows = pairs.select(
-        F.pmod(F.xxhash64("_a", "_b"), F.lit(salts)).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "_a", "_b"
+    rows = pairs.join(small(salts), "_part").select(
+        "_part", F.pmod(F.xxhash64("_a", "_b"), F.col("_salts")).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "_a", "_b"
     )
-    return (
-        copies.unionByName(rows).repartition("_salt").sortWithinPartitions("_salt", "_kind")
+    found = (
+        copies.unionByName(rows).repartition("_part", "_salt").sortWithinPartitions("_part", "_salt", "_kind")
         .mapInArrow(_answer, "_a string, _b string, _rel string")
     )
+    if large is None:
+        return found
+    rest = materialize(pairs.join(F.broadcast(large.select("_part").distinct()), "_part", "left_semi").select("_a", "_b"))
+    return found.unionByName(_by_search(rest, large.drop("_part")))
 
 
 def _by_search(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -243,8 +292,7 @@ def relation(
         backward = closure.select(F.col("dst").alias("_ra"), F.col("src").alias("_rb"), F.lit(">").alias("_rel"))
         related = F.broadcast(forward.unionByName(backward))
     else:
-        edges = used if isinstance(used, DataFrame) else rule_edges(used.frame(spark))
-        edges = materialize(edges.filter(F.col("attribute") == attribute))
+        edges = used if isinstance(used, DataFrame) else materialize(rule_edges(used.frame(spark)))
         pairs = df.select(lhs.alias("_a"), rhs.alias("_b")).filter("_a <> _b").distinct()
         related = small(materialize(ordered_pairs(materialize(pairs), edges)))
         related = related.withColumnsRenamed({"_a": "_ra", "_b": "_rb"})
