@@ -88,6 +88,22 @@ def test_scores(spark, monkeypatch, heavy):
         assert g["score"] == pytest.approx(tree.log10(r[1]), rel=1e-5, abs=1e-5)
 
 
+@pytest.mark.parametrize("held", [1_000_000, 50, 0])
+def test_rare_contexts_count(spark, monkeypatch, held):
+    """More training bytes than any bound on contexts there was, in tasks, groups and rows of all sizes."""
+    monkeypatch.setattr(ctw, "HELD", held)
+    monkeypatch.setattr(ctw, "_ROWS", 700)
+    rnd = random.Random(6)
+    rows = [(k, prose(rnd, 60) + f" {k:x}q \u4e0a" + chr(0x4E00 + k), *[None] * 7) for k in range(150)]
+    train = [r for r in rows if not held_out(r[0])]
+    assert sum(len(r[1].encode()) for r in train) > 33_000
+    tree = Tree([r[1] for r in train])
+    got = {r["doc_id"]: r["score"] for r in ctw.lm_scores(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r[0]] == pytest.approx(tree.log10(r[1]), rel=1e-5, abs=1e-5)
+
+
 def test_bytes_of_a_context_sum_to_one(spark):
     rnd = random.Random(2)
     rows = [(k, prose(rnd, 60), *[None] * 7) for k in range(30)]

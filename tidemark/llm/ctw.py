@@ -7,11 +7,11 @@ the product over the contexts one byte longer. That fixes, for each node, the we
 stopping at it; a byte's probability is the product over its bits of the estimates
 of all depths, mixed by these weights along the context.
 
-Counting runs over all training texts and grows with them. What the scoring tasks get is bounded:
-a context with less than one in CONTEXTS of the training bytes is never left for a longer one,
-so each depth has at most CONTEXTS contexts. Words, of which there is no bound, follow the
-same idea in the base score: words with one in HEAVY of the training tokens, at most HEAVY of
-them, go to the tasks, and all others are joined.
+A byte's chance hangs on the DEPTH bytes before it alone, so it is worked out once for every distinct
+gram, DEPTH bytes and the byte, from the nodes of all contexts: those of SHORT bytes are few (the bytes bound
+them, not the texts) and go to all tasks, longer ones meet their grams in an exchange. The most frequent
+grams, at most HELD of them, go to the scoring tasks, and all others are joined. Words of the base
+score do the same: those with one in HEAVY of the training tokens, at most HEAVY of them, go to the tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +29,18 @@ from tidemark.llm.textbytes import Words, as_long, chunks, list_array
 
 U = np.uint64
 DEPTH = 4
-CONTEXTS = 32_768
-HEAVY = 500_000
+#: None: the model has every context; a number: on request a smaller model, without the contexts that have less
+#: than one in so many of the training bytes
+CONTEXTS = None
+#: contexts of up to so many bytes go to all tasks; a group of longer ones has SHORT + 1 bytes in common
+SHORT = 2
+HEAVY, HELD = 500_000, 1_000_000
 #: the token that ends each text
 END = np.uint64(0x7E57E7D0C0FFEE11)
 WORD, GRAM = 0, 1
 _CHUNK = 1_000_000
+#: rows of nodes and grams that are worked on at once, and the rest of their last group
+_ROWS = 4_000
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +67,17 @@ def _padded(data, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
+def _grams(padded: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes before each place and its byte, which is lowest."""
+    gram = np.zeros(len(place), U)
+    for back in range(DEPTH, -1, -1):
+        gram = gram << U(8) | padded[place - back]
+    return gram
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word and (DEPTH + 1)-byte counts of training texts, merged over all a task reads so far."""
+    """Word and gram counts of training texts, merged over all a task reads so far; grams of the texts that
+    are held out are listed with nothing."""
     parts = {WORD: [], GRAM: []}
     held = {WORD: 0, GRAM: 0}
 
@@ -73,17 +89,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["_kind", "_key", "_c"],
         )
 
-    for ids, data, starts, lengths, _ in chunks(batches, _CHUNK):
+    for ids, data, starts, lengths, batch in chunks(batches, _CHUNK):
+        trains = ~np.asarray(batch.column(batch.schema.names.index("_held")).to_numpy(zero_copy_only=False)).astype(bool)
         words = Words(data, starts, lengths)
-        padded, place = _padded(data, starts, lengths)
-        gram = np.zeros(len(place), U)
-        for back in range(DEPTH, -1, -1):
-            gram = gram << U(8) | padded[place - back]
-        tokens = np.concatenate((words.hash, np.full(len(ids), END)))
-        for kind, values in ((WORD, tokens), (GRAM, gram)):
+        gram, of = _grams(*_padded(data, starts, lengths)), np.repeat(trains, lengths)
+        tokens = np.concatenate((words.hash[trains[words.doc]], np.full(trains.sum(), END)))
+        for kind, values, counted in ((WORD, tokens, 1), (GRAM, gram[of], 1), (GRAM, gram[~of], 0)):
             if len(values):
-                parts[kind].append(_runs(values))
-                held[kind] += len(parts[kind][-1][0])
+                keys, counts = _runs(values)
+                parts[kind].append((keys, counts * counted))
+                held[kind] += len(keys)
             if held[kind] > 2_000_000:
                 merged = _merged(parts[kind])
                 parts[kind], held[kind] = [merged], len(merged[0])
@@ -140,10 +155,11 @@ def weighted_nodes(grams: DataFrame, least: int) -> list[DataFrame]:
             low = F.least("_own", F.col("_below") + half)
             level = level.withColumn("_all", high + F.log1p(F.exp(low - high)))
         level = saved(level)
-        # the first node of a context has all its bytes
-        big = level.filter(f"_node = 1 and _a + _o >= {least}").select("_context")
+        kept = level
+        if least > 1:  # the first node of a context has all its bytes
+            kept = level.join(level.filter(f"_node = 1 and _a + _o >= {least}").select("_context"), "_context")
         out.append(
-            level.join(big, "_context").select(
+            kept.select(
                 "_context",
                 F.col("_node").cast("short").alias("_node"),
                 ((F.col("_o") + 0.5) / (F.col("_a") + F.col("_o") + 1.0)).alias("_kt"),
@@ -158,9 +174,35 @@ def weighted_nodes(grams: DataFrame, least: int) -> list[DataFrame]:
     return out[::-1]
 
 
+#: contexts, and for them by node: the part of a one's chance that shorter contexts give, the weight that they leave,
+#: the own estimate, and the weight of going on
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NONE: Level = (np.zeros(0, np.int64), np.zeros((1, 256)), np.ones((1, 256)), np.zeros((0, 256)), np.zeros((0, 256)))
+
+
+def _left(level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """What a context hands to the longer ones: the part given so far and the weight left."""
+    _, mixed, free, kt, go = level
+    return mixed + free * (1 - go) * kt, free * go
+
+
+def _longer(shorter: np.ndarray, mixed: np.ndarray, free: np.ndarray, depth: int, nodes) -> Level:
+    """The contexts of a depth, given the ``shorter`` ones and what they hand on; ``nodes`` has _context, _node, _kt, _go."""
+    found, row = np.unique(np.asarray(nodes["_context"]), return_inverse=True)
+    if depth:  # a context's bytes: the latest is lowest, so the shorter context is the lower part
+        parent = np.searchsorted(shorter, found & ((1 << 8 * (depth - 1)) - 1))
+        mixed, free = mixed[parent], free[parent]
+    kt, go = np.full((2, len(found), 256), 0.5)
+    node = np.asarray(nodes["_node"]).astype(np.int64)
+    kt[row, node] = np.asarray(nodes["_kt"])
+    go[row, node] = np.asarray(nodes["_go"])
+    return found, mixed, free, kt, go
+
+
 class Model:
-    """Bounded tables for scoring: ``step[d]`` leads from a state of depth d and the byte before it to a
-    state of depth d + 1 (or -1), ``logs[state]`` has log10 of the chance of each byte."""
+    """Tables of the contexts of the first depths: ``step[d]`` leads from a state of depth d and the byte before it
+    to a state of depth d + 1 (or -1), ``logs[state]`` has log10 of the chance of each byte where no longer
+    context is known; ``last`` has the contexts of the last depth and what they hand to longer ones."""
 
     def __init__(self, nodes: list[pa.Table]):
         size = [0]
@@ -168,27 +210,23 @@ class Model:
             size.append(size[-1] + len(np.unique(np.asarray(table["_context"]))))
         self.logs = np.empty((max(1, size[-1]), 256), np.float32)
         self.step = []
-        contexts, free, mixed = np.zeros(0, np.int64), np.ones((1, 256)), np.zeros((1, 256))
-        kt = go = np.zeros((0, 256))
+        level, given = _NONE, _NONE[1:3]
         for depth, table in enumerate(nodes):
-            found, row = np.unique(np.asarray(table["_context"]), return_inverse=True)
-            if depth:  # a context's bytes: the latest is lowest, so the shorter context is the lower part
-                parent = np.searchsorted(contexts, found & ((1 << 8 * (depth - 1)) - 1))
-                step = np.full((max(1, len(contexts)), 256), -1, np.int32)
+            shorter = level[0]
+            level = _longer(shorter, *given, depth, table)
+            found, mixed, free, kt, _ = level
+            if depth:
+                parent = np.searchsorted(shorter, found & ((1 << 8 * (depth - 1)) - 1))
+                step = np.full((max(1, len(shorter)), 256), -1, np.int32)
                 step[parent, found >> 8 * (depth - 1)] = np.arange(len(found))
                 self.step.append(step)
-                mixed = (mixed + free * (1 - go) * kt)[parent]
-                free = (free * go)[parent]
-            kt, go = np.full((2, len(found), 256), 0.5)
-            node = np.asarray(table["_node"]).astype(np.int64)
-            kt[row, node] = np.asarray(table["_kt"])
-            go[row, node] = np.asarray(table["_go"])
-            if len(found):  # where no longer context is kept, all the weight that is left stops
+            if len(found):  # where no longer context is known, all the weight that is left stops
                 self.logs[size[depth] : size[depth + 1]] = self._bytes(mixed + free * kt)
-            contexts = found
+            given = _left(level)
         if not size[-1]:  # no training text
             self.logs[0] = -8 * np.log10(2)
         self.first = size[:-1]
+        self.last = (level[0], *(x.astype(np.float32) for x in given))
 
     @staticmethod
     def _bytes(one: np.ndarray) -> np.ndarray:
@@ -205,57 +243,164 @@ class Model:
         return self.logs, self.step, self.first
 
 
-def byte_logs(tables: tuple[np.ndarray, list[np.ndarray], list[int]], padded: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 of the chance of the byte at each place, after the bytes before it."""
+def byte_logs(tables: tuple[np.ndarray, list[np.ndarray], list[int]], gram: np.ndarray) -> np.ndarray:
+    """log10 of the chance of the last byte of each gram by the contexts in ``tables``."""
     logs, steps, first = tables
-    state = np.zeros(len(place), np.int64)
-    row = np.zeros(len(place), np.int64)
-    going = np.ones(len(place), bool)
+    state = np.zeros(len(gram), np.int64)
+    row = np.zeros(len(gram), np.int64)
+    going = np.ones(len(gram), bool)
     for depth, step in enumerate(steps):
-        state = step[np.where(going, state, 0), padded[place - depth - 1]]
+        state = step[np.where(going, state, 0), gram >> 8 * (depth + 1) & 255]
         going &= state >= 0
         row = np.where(going, first[depth + 1] + state, row)
-    return logs[row, padded[place]]
+    return logs[row, gram & 255]
+
+
+def _chances(model):
+    """(_key, _log) of the grams among rows of contexts longer than SHORT and grams, which stand by common bytes."""
+
+    def logs(part: pa.Table) -> pa.RecordBatch:
+        short, level = model.value
+        kind = np.asarray(part["_kind"])
+        gram = np.asarray(part["_context"])[kind > DEPTH]
+        out = byte_logs(short, gram).astype(np.float64)
+        for depth in range(SHORT + 1, DEPTH + 1):
+            found, mixed, free, kt, _ = now = _longer(*level, depth, part.filter(pa.array(kind == depth)))
+            level = (found, *_left(now))
+            if not len(found):
+                break
+            context = gram >> 8 & ((1 << 8 * depth) - 1)
+            row = np.minimum(np.searchsorted(found, context), len(found) - 1)
+            at = np.flatnonzero(found[row] == context)
+            one, byte = mixed + free * kt, gram[at] & 255
+            out[at] = 0.0
+            for k in range(8):
+                p = one[row[at], (1 << k) | byte >> (8 - k)]
+                out[at] += np.log10(np.where(byte >> (7 - k) & 1, p, 1 - p))
+        return pa.record_batch([pa.array(gram), pa.array(out)], ["_key", "_log"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n < _ROWS:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            group = np.asarray(part["_group"])
+            cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1)]  # whole groups; the last may go on
+            at = 0
+            while cut[-1] - at > 0:
+                end = cut[max(np.searchsorted(cut, at + _ROWS, "right") - 1, np.searchsorted(cut, at, "right"))]
+                yield logs(part.slice(at, end - at).combine_chunks())
+                at = end
+            held = part.slice(at).combine_chunks().to_batches()
+            n = len(part) - at
+        if n:
+            yield logs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def gram_logs(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(_key, _log) for each of the distinct ``grams`` (_key): log10 of the chance of its last byte, given all the
+    contexts in ``nodes``. A group of rows that a task holds has SHORT + 1 bytes in common, so that its size is bounded."""
+    short = Model([x.toArrow() for x in nodes[: SHORT + 1]])
+    model = grams.sparkSession.sparkContext.broadcast((short.tables(), short.last))
+    none = F.lit(None)
+    rows = grams.select(
+        F.lit(DEPTH + 1).alias("_kind"),
+        F.col("_key").alias("_context"),
+        none.cast("short").alias("_node"),
+        none.cast("double").alias("_kt"),
+        none.cast("float").alias("_go"),
+        F.shiftright("_key", 8).alias("_four"),
+    )
+    for depth in range(SHORT + 1, DEPTH + 1):
+        own = nodes[depth].select(F.lit(depth).alias("_kind"), "_context", "_node", "_kt", "_go", F.col("_context").alias("_four"))
+        rows = rows.union(own)
+    group = F.col("_four").bitwiseAND((1 << 8 * (SHORT + 1)) - 1)
+    return saved(
+        rows.withColumn("_group", group)
+        .drop("_four")
+        .repartition("_group")
+        .sortWithinPartitions("_group")
+        .mapInArrow(_chances(model), "_key long, _log double")
+    )
+
 
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the table has, and their logs (else 0)."""
+    have, logs = table
+    if not len(have):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    known = have[at] == keys
+    return known, np.where(known, logs[at], 0.0)
 
-def _score(model, heavy):
+
+def _score(heavy):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, (keys, logs) = model.value, heavy.value
+        words_held, grams_held = heavy.value
+        row = TaskContext.get().partitionId() << 40
         for ids, data, starts, lengths, batch in chunks(batches, _CHUNK):
-            names = batch.schema.names
             words = Words(data, starts, lengths)
-            padded, place = _padded(data, starts, lengths)
-            bounds = np.concatenate((starts, [len(data)]))
-            by_byte = np.concatenate(([0.0], np.cumsum(byte_logs(tables, padded, place), dtype=np.float64)))
-            at = np.minimum(np.searchsorted(keys, words.hash), max(len(keys) - 1, 0))
-            is_heavy = keys[at] == words.hash if len(keys) else np.zeros(len(at), bool)
-            value = np.where(is_heavy, logs[at], 0.0) if len(keys) else np.zeros(len(at))
+            is_heavy, value = _found(words_held, words.hash)
             base = np.bincount(words.doc, value, len(ids))
             known = np.bincount(words.doc, is_heavy, len(ids)).astype(np.int64)
-            # the rest: distinct words of each text with their counts
+            # distinct words of each text that are not held, with their counts
             rest = np.flatnonzero(~is_heavy)
             order = rest[np.lexsort((words.hash[rest], words.doc[rest]))]
             h, d = words.hash[order], words.doc[order]
             cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.zeros(0, int)
-            per_doc = np.bincount(d[cut], minlength=len(ids))
+            # distinct grams of each text: a gram has 40 bits, the number of the text is below
+            gram = _grams(*_padded(data, starts, lengths)) << U(24) | np.repeat(np.arange(len(ids), dtype=U), lengths)
+            gram, times = _runs(gram)
+            gram, of = gram >> U(24), (gram & U(0xFFFFFF)).astype(np.int64)
+            is_held, value = _found(grams_held, gram)
+            rest = ~is_held
+            doc = np.concatenate((d[cut], of[rest]))
+            order = np.argsort(doc, kind="stable")
+            per_doc = np.bincount(doc, minlength=len(ids))
+            kinds = np.repeat(np.array([WORD, GRAM], np.int8), [len(cut), rest.sum()])
             yield pa.record_batch(
                 [
+                    pa.array(row + np.arange(len(ids))),
                     pa.array(ids),
-                    batch.column(names.index("_th")),
-                    batch.column(names.index("_held")),
+                    batch.column(batch.schema.names.index("_held")),
                     pa.array(words.counts.astype(np.int64) + 1),
                     pa.array(known),
                     pa.array(base),
-                    pa.array(by_byte[bounds[1:]] - by_byte[bounds[:-1]]),
-                    list_array(as_long(h[cut]), per_doc),
-                    list_array(np.diff(np.append(cut, len(h))).astype(np.int32), per_doc),
+                    pa.array(np.bincount(of, value * times, len(ids)).astype(np.float64)),
+                    list_array(kinds[order], per_doc),
+                    list_array(as_long(np.concatenate((h[cut], gram[rest]))[order]), per_doc),
+                    list_array(np.concatenate((np.diff(np.append(cut, len(h))), times[rest]))[order].astype(np.int32), per_doc),
                 ],
-                ["_id", "_th", "_held", "_tokens", "_known", "_base", "_score", "_rare", "_times"],
+                ["_row", "_id", "_held", "_tokens", "_known", "_base", "_score", "_kinds", "_rare", "_times"],
             )
+            row += len(ids)
 
     return score
 
 
+def _most_frequent(grams: DataFrame) -> int:
+    """The count from which on grams are held: at most HELD have it."""
+    powers = grams.filter("_c > 0").groupBy((F.length(F.bin("_c")) - 1).alias("_p")).agg(F.count("*").alias("_n")).collect()
+    total, least = 0, 2**62
+    for p, n in sorted(powers, reverse=True):
+        total += n
+        if total > HELD:
+            break
+        least = 2**p
+    return least
+
+
+def _sorted_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = rows.select("_key", "_log").toArrow()
+    keys, logs = np.asarray(table["_key"]).view(U), np.asarray(table["_log"])
+    order = np.argsort(keys)
+    return keys[order], logs[order]
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 of the model's chance of the text).
@@ -271,59 +416,59 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     held = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % 10 == 0
     texts = docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(text).alias("_th"),
         held.alias("_held"),
         text.alias("_text"),
     )
     counts = saved(
-        texts.filter("not _held")
-        .mapInArrow(_count, "_kind int, _key long, _c long")
-        .groupBy("_kind", "_key")
-        .agg(F.sum("_c").alias("_c"))
+        texts.mapInArrow(_count, "_kind int, _key long, _c long").groupBy("_kind", "_key").agg(F.sum("_c").alias("_c"))
     )
     vocabulary = counts.filter(f"_kind = {WORD}").select("_key", "_c")
     grams = counts.filter(f"_kind = {GRAM}").select("_key", "_c")
     v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("_c"), F.lit(0))).first()
-    n_bytes = grams.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-    tables = [x.toArrow() for x in weighted_nodes(grams, max(1, -(-n_bytes // CONTEXTS)))]
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Model(tables).tables())
-    # at most HEAVY words have one in HEAVY of all tokens
-    heavy = vocabulary.filter(F.col("_c") * HEAVY >= n).toArrow()
+    least = 1
+    if CONTEXTS is not None:
+        least = max(1, -(-grams.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0] // CONTEXTS))
+    chances = gram_logs(grams.select("_key"), weighted_nodes(grams.filter("_c > 0"), least))
+    from_on = _most_frequent(grams)
+    held_grams = chances.join(grams.filter(F.col("_c") >= from_on), "_key")
     norm = n + 0.1 * (v + 1)
-    keys, c = np.asarray(heavy["_key"]).view(U), np.asarray(heavy["_c"])
-    order = np.argsort(keys)
-    words = sc.broadcast((keys[order], np.log10((c[order] + 0.1) / norm)))
+    # at most HEAVY words have one in HEAVY of all tokens
+    logs = vocabulary.select("_key", "_c", F.log10((F.col("_c") + 0.1) / F.lit(norm)).alias("_log"))
+    tables = (_sorted_table(logs.filter(F.col("_c") * HEAVY >= n)), _sorted_table(held_grams))
+    heavy = docs.sparkSession.sparkContext.broadcast(tables)
     scored = saved(
         texts.mapInArrow(
-            _score(model, words),
-            "_id long, _th long, _held boolean, _tokens long, _known long, _base double, _score double, "
-            "_rare array<long>, _times array<int>",
+            _score(heavy),
+            "_row long, _id long, _held boolean, _tokens long, _known long, _base double, _score double, "
+            "_kinds array<tinyint>, _rare array<long>, _times array<int>",
         )
     )
-    rare = (
-        scored.select("_id", "_th", "_rare", "_times").dropDuplicates(["_id", "_th"])
-        .select("_id", "_th", F.explode(F.arrays_zip("_rare", "_times")).alias("_w"))
-        .select("_id", "_th", F.col("_w._rare").alias("_key"), F.col("_w._times").alias("_times"))
+    rare = scored.select("_row", F.explode(F.arrays_zip("_kinds", "_rare", "_times")).alias("_w")).select(
+        "_row", F.col("_w._kinds").alias("_kind"), F.col("_w._rare").alias("_key"), F.col("_w._times").alias("_times")
+    )
+    light = logs.filter(F.col("_c") * HEAVY < n).select(F.lit(WORD).cast("tinyint").alias("_kind"), "_key", "_log")
+    light = light.union(
+        chances.join(grams.filter(F.col("_c") < from_on), "_key").select(F.lit(GRAM).cast("tinyint"), "_key", "_log")
     )
-    light = vocabulary.filter(F.col("_c") * HEAVY < n)
-    log = F.log10((F.coalesce("_c", F.lit(0)) + 0.1) / F.lit(norm))
+    new = float(np.log10(0.1 / norm))
+    word = F.col("_kind") == WORD
     added = (
-        rare.join(light, "_key", "left")
-        .groupBy("_id", "_th")
+        rare.join(light, ["_kind", "_key"], "left")
+        .groupBy("_row")
         .agg(
-            F.sum(F.col("_times") * log).alias("_more"),
-            F.sum(F.when(F.col("_c") > 0, F.col("_times")).otherwise(0)).alias("_found"),
+            F.sum(F.when(word, F.col("_times") * F.coalesce("_log", F.lit(new)))).alias("_more"),
+            F.sum(F.when(word & F.col("_log").isNotNull(), F.col("_times"))).alias("_found"),
+            F.sum(F.when(~word, F.col("_times") * F.col("_log"))).alias("_gram_logs"),
         )
     )
     ends = vocabulary.filter(F.col("_key") == int(END.view(np.int64))).select("_c").first()
     end = ends[0] if ends else 0
-    return scored.join(added, ["_id", "_th"], "left").select(
+    return scored.join(added, "_row", "left").select(
         given_id().alias("doc_id"),
         F.col("_held").alias("held_out"),
         F.col("_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_found", F.lit(0)) + int(end > 0)).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0)) + float(np.log10((end + 0.1) / norm))).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("_score") + F.coalesce("_gram_logs", F.lit(0.0))).alias("score"),
     )
