@@ -277,6 +277,39 @@ def test_crowds_of_lines_over_salts(spark, monkeypatch):
     assert got == set(range(1, 200))
 
 
+def test_common_windows_at_other_places_make_no_candidates():
+    """Rows of one key: lines whose common window cannot be one of similar lines stay apart, whatever their fingerprints."""
+    n = np.array([100, 100, 104, 100, 300])
+    step = np.array([100, 130, 480, lines.ANYWHERE, 100])
+    x, none = np.arange(10, 15), np.zeros(5, lines.U)
+
+    def groups_of(*rows):
+        rows = np.array(rows)
+        s2 = (step[rows] << lines.SALT_BITS).astype(np.int64).view(lines.U)
+        leader, place = lines._parts(np.ones(len(rows), np.int64), n[rows], x[rows], none[rows], s2)
+        return sorted(zip(leader.tolist(), x[rows][place].tolist()))
+
+    assert groups_of(0, 1) == []  # six characters before it and six after it: twelve edits of ten
+    assert groups_of(0, 2) == []
+    assert groups_of(0, 3) == [(10, 10), (10, 13)]
+    assert groups_of(0, 0) == [(10, 10), (10, 10)]
+    assert groups_of(0, 4) == []
+
+
+def test_places_of_keys():
+    """A window at its place among the steps of the line, and ANYWHERE if the line has it again."""
+    rnd = random.Random(5)
+    for text in ["".join(rnd.choice("abcdefgh \u00e9") for _ in range(240)), "0123456789ab" * 9, "x" * 50, "short lines"]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, key, place = lines.line_keys(data, np.array([0]), np.array([len(data)]))
+        own = int(np.searchsorted(lines.EDGES, len(text), "right")) - 1
+        width = int(lines.WIDTHS[own])
+        windows = [text[k : k + width] for k in range(len(text) - width + 1)]
+        once = {k * lines.ANYWHERE // len(text) for k, w in enumerate(windows) if windows.count(w) == 1}
+        assert len(key) and {int(p) for p in place[: lines.GRAMS]} <= once | {lines.ANYWHERE}
+        assert (lines.ANYWHERE in place) == (len(set(windows)) < len(windows))
+
+
 def test_candidates_settle_keys_across_batches():
     """Groups cut by batch borders, equal rows, marks and salts: members as if all came in one batch."""
     rnd = np.random.default_rng(4)
