@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from cases import awkward, bag, frame, order, words_of
 
-from tidemark.llm import blocks, lines, near, repeats
+from tidemark.llm import blocks, edits, lines, near, repeats
 from tidemark.llm.scratch import components
 
 
@@ -162,6 +162,76 @@ def test_edit_distance():
         assert (lines.edit_distance(a, b, 3) <= 3) == (true <= 3)
 
 
+@pytest.mark.parametrize("alone", [-1, 10**9])
+def test_many_edit_distances_at_once(monkeypatch, alone):
+    """Bounds met and missed by one, bands of one to four words, empty strings, pairs taken out on the way."""
+    monkeypatch.setattr(edits, "ALONE", alone)
+    monkeypatch.setattr(edits, "PAIRS", 50)
+    rnd = random.Random(9)
+    texts, most = [], []
+    for k in range(400):
+        a = [rnd.choice("abcd") for _ in range(rnd.choice([0, 3, 20, 64, 150] + [400] * (k % 20 == 0)))]
+        b = list(a)
+        for _ in range(rnd.randrange(len(a) // 3 + 2)):
+            p = rnd.randrange(len(b) + 1)
+            b[p : p + rnd.choice([0, 1, 1, 9])] = rnd.choice([["x"], [], ["a", "b"]])
+        a, b = "".join(a), "".join(b)
+        true = naive_distance(a, b)
+        for bound in {0, true - 1, true, rnd.randrange(250)} - {-1}:
+            texts += [a, b]
+            most.append((bound, true))
+    size = np.array([len(t) for t in texts])
+    code = np.array(["abcdx".index(c) for c in "".join(texts)])
+    first = np.arange(0, len(texts), 2)
+    got = edits.within(code, np.cumsum(size) - size, size, first, first + 1, np.array([m for m, _ in most]))
+    assert got.tolist() == [true <= bound for bound, true in most]
+
+
+def test_many_blocks_of_lines_at_once(monkeypatch):
+    """Blocks cut by batch borders give the groups of brute force, and lines that meet in a block of their own are not
+    compared again where their block meets another."""
+    monkeypatch.setattr(lines, "LINK_ROWS", 30)
+    monkeypatch.setattr(lines, "PAIR_ROWS", 64)
+    rnd = random.Random(12)
+    rows = []
+    for leader in range(12):
+        base = "".join(rnd.choice("etaoin shrdlu\u00e9\u4e0a") for _ in range(rnd.choice([12, 40, 120])))
+        for k in range(rnd.choice([1, 2, 3, 25])):
+            line = list(base)
+            for _ in range(rnd.randrange(len(base) // 8 + 1)):
+                line[rnd.randrange(len(line))] = rnd.choice("qxz")
+            rows.append((leader, 0, 0, 0, 1000 * leader + k, "".join(line)))
+    many = [r for r in rows if r[0] == max(rows, key=lambda r: r[4] % 1000)[0]]
+    cross = [(99, 0, 1, k % 2, 99000 + k, r[5]) for k, r in enumerate(many)]
+    names = ["_leader", "_i", "_j", "_own", "_x", "_line_text"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, *cross)))))
+    compared = []
+    within = edits.within
+    monkeypatch.setattr(lines, "within", lambda c, s, n, a, b, m: (compared.append(len(a)), within(c, s, n, a, b, m))[1])
+
+    def root_of(edges):
+        root = {x: x for x in table["_x"].to_pylist()}
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        return root
+
+    def far(a, b):
+        return naive_distance(a, b) > 0.1 * max(len(a), len(b))
+
+    every = rows + cross
+    want = root_of((a[4], b[4]) for k, a in enumerate(every) for b in every[:k] if a[0] == b[0] and (a[1] == a[2] or a[3] != b[3]) and not far(a[5], b[5]))
+    for size in (1, 7, len(every)):
+        compared.clear()
+        out = lines.linked_lines(iter(table.to_batches(max_chunksize=size)))
+        edges = [(r["a"], r["b"]) for batch in out for r in batch.to_pylist()]
+        assert root_of(edges) == want
+        assert len(edges) == len(every) - len(set(want.values()))
+    assert len(set(want.values())) > 20 and max(compared) > 10
+    pair = pa.table(dict(zip(names, map(list, zip((1, 0, 1, 0, 5, "the same line of text"), (1, 0, 1, 0, 6, "the same line of texts"))))))
+    assert sum(b.num_rows for b in lines.linked_lines(iter(pair.to_batches()))) == 0
+
+
 def test_line_dedup(spark):
     rows = awkward(3)
     long = " ".join(f"longword{k}" for k in range(80))
