@@ -1,8 +1,10 @@
 """Operators 2, 5 and 10 against brute force."""
 
+import glob
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from cases import awkward, bag, frame, order, words_of
 
-from tidemark.llm import blocks, edits, lines, near, repeats
+from tidemark.llm import blocks, edits, lines, near, repeats, scratch
 from tidemark.llm.scratch import components
 
 
@@ -398,3 +400,85 @@ def test_candidates_settle_keys_across_batches():
     whole = members(400)
     assert whole and all(members(size) == whole for size in (1, 7, 64, 399))
     assert {r[1] for r in whole} <= {r[2] for r in whole}
+
+
+def grouped(rows, find):
+    """What ``find`` makes of rows (_k, _x, _s1, _s2), sorted as an exchange leaves them."""
+    table = pa.Table.from_batches(rows)
+    order = np.lexsort([np.asarray(table[c]) for c in ("_x", "_k")])
+    return pa.Table.from_batches(find(iter(table.take(pa.array(order)).to_batches(max_chunksize=500))))
+
+
+def test_lines_of_a_large_key_meet_only_where_they_are_alike():
+    """2,400 lines with one window in common, one in forty nearly like the one before: no text of the others is fetched."""
+    rnd = np.random.default_rng(31)
+    n, step = rnd.integers(100, 300, 2_400), rnd.integers(0, lines.ANYWHERE, 2_400)
+    s1, s2 = rnd.integers(0, 2**63, (2, 2_400))
+    for v in (n, step, s1, s2):
+        v[1::40] = v[::40]
+    n[1::40] += 3
+    s1[1::40] ^= 0xF00 << 20  # another character
+    x = rnd.permutation(2_400)
+    columns = (7 << 16 | n, x, s1, s2 & ~lines.LONG | step << lines.SALT_BITS)
+    found = grouped([pa.record_batch([pa.array(v) for v in columns], ["_k", "_x", "_s1", "_s2"])], lines._candidates)
+    assert len(set(found["_x"].to_pylist())) == 2_400 and found["_key"].null_count == 0
+    cells = grouped([*lines._cells(iter(found.to_batches()))], lines._cell_candidates)
+    assert cells["_key"].null_count == cells.num_rows
+    members = {(r["_leader"], r["_x"]) for r in cells.to_pylist()}
+    assert {(min(p), w) for p in zip(x[::40].tolist(), x[1::40].tolist()) for w in p} <= members
+    assert len(members) <= 240  # 120 belong there
+
+
+def test_lines_of_one_cell_are_all_that_may_go_together():
+    """Every pair that lengths and places of a window allow shares a cell, at bounds too."""
+    rnd = np.random.default_rng(9)
+    n = np.concatenate((rnd.integers(10, 400, 300), rnd.integers(60_000, lines.LONG + 1, 40), [90, 100, 900, 1000, lines.LONG]))
+    step = rnd.integers(0, lines.ANYWHERE + 1, len(n))
+    x, none = np.arange(len(n)), np.zeros(len(n), np.int64)
+    batch = pa.record_batch([pa.array(v) for v in (none, x, n, none, step << lines.SALT_BITS)], ["_key", "_x", "_n", "_s1", "_s2"])
+    cells = pa.Table.from_batches(lines._cells(iter([batch])))
+    of = {}
+    for k, who in zip(cells["_k"].to_pylist(), cells["_x"].to_pylist()):
+        of.setdefault(who, set()).add(k & lines.KEY)
+    order = np.lexsort((x, n))
+    for a, b in zip(*(order[v] for v in np.triu_indices(len(n), 1))):
+        pair = np.array([a, b])
+        s2 = (step[pair] << lines.SALT_BITS).view(lines.U)
+        if len(lines._parts(none[:2], n[pair], x[pair], none[:2].view(lines.U), s2)[0]) and n[a] >= 0.9 * n[b] - 1e-6:
+            assert of[a] & of[b], (n[pair], step[pair])
+    assert max(map(len, of.values())) <= 22
+
+
+def test_characters_beside_a_window():
+    """What is after and before a place within its line, characters of several bytes as one."""
+    text = "qé上bcdefg hijklmnopqrstuvwxyz"
+    data = np.frombuffer(text.encode(), np.uint8)
+    head = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(data)]))
+    beside, at = lines._Beside(data, head), np.array([0, 3, 14, len(text)])
+    letter = {c: int(beside.after(np.array([k]), np.array([1]))[0]) for k, c in enumerate(text)}
+    assert all(1 <= v <= 15 for v in letter.values())
+    for k, after, before in zip(at, beside.after(at, len(text) - at), beside.before(at, at)):
+        assert int(after) == sum(letter[c] << 4 * j for j, c in enumerate(text[k : k + lines.AHEAD]))
+        left = text[max(0, k - lines.BEHIND) : k]
+        assert int(before) == sum(letter[c] << 4 * (lines.BEHIND - len(left) + j) for j, c in enumerate(left))
+    one = beside.after(np.array([3]), np.array([20]))
+    assert lines._missed(one, one, lines.AHEAD).tolist() == [0]
+    moved = beside.after(np.array([5]), np.array([20]))
+    assert lines._missed(one, moved, lines.AHEAD)[0] <= 2 < lines._missed(one, ~one, lines.AHEAD)[0]
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    dirs = [d.toString() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = shuffled()
+    kept = scratch.saved(spark.range(20_000).repartition(3, "id"))
+    for _ in range(50):  # files go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == 20_000
+    assert spark.conf.get(scratch.CLEANUP) == "false"
